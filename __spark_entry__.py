@@ -30,8 +30,7 @@ def _r(c, n):
 
 # ---------------------------------------------------------------- flagship
 def method_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = roc.all_methods(spark, roc.evaluate_methods(cat.scores(spark, sf_dir)))
-    t = rep.result_table(m)
+    t = rep.result_table(cat.metrics(spark, sf_dir))
     return t.select("method", "method_order", _r("auroc", 6), _r("fpr95", 6), _r("tpr05", 6),
                     "auroc_pct", "fpr95_pct", "tpr05_pct")
 
@@ -111,7 +110,8 @@ def q_scores_without_zlib(spark, sf_dir):
 
 
 def q_roc_points(spark, sf_dir):
-    p = roc.roc_points(cat.scores(spark, sf_dir).filter(F.col("method") != "zlib"))
+    p = roc.roc_points(cat.scores(spark, sf_dir).filter(F.col("method") != "zlib"),
+                       row_bound=cat.row_count(spark, sf_dir))
     return p.select("method", "threshold", _r("fpr", 9), _r("tpr", 9))
 
 
@@ -120,20 +120,19 @@ def q_method_metrics_no_zlib(spark, sf_dir):
 
 
 def q_top_methods(spark, sf_dir):
-    m = roc.all_methods(spark, roc.evaluate_methods(cat.scores(spark, sf_dir)))
-    return rep.top_methods(rep.result_table(m), 5)
+    return rep.top_methods(rep.result_table(cat.metrics(spark, sf_dir)), 5)
 
 
 def q_raw_metrics(spark, sf_dir):
     raw = cat.raw_scores(spark, sf_dir).filter(F.col("method") != "zlib")
-    m = roc.evaluate_methods(raw)
+    m = roc.evaluate_methods(raw, row_bound=cat.row_count(spark, sf_dir))
     return m.select("method", _r("auroc", 6), _r("fpr95", 6), _r("tpr05", 6))
 
 
 def q_label_metrics(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
     s = cat.scores(spark, sf_dir).filter(F.col("method") != "zlib").drop("label").join(lab, "doc_id")
-    m = roc.evaluate_methods(s, label_col="quality")
+    m = roc.evaluate_methods(s, label_col="quality", row_bound=cat.row_count(spark, sf_dir))
     return m.select("method", _r("auroc", 6), _r("fpr95", 6), _r("tpr05", 6))
 
 

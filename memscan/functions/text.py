@@ -22,8 +22,11 @@ def clean_text(c: Column) -> Column:
 
 
 def token_array(c: Column) -> Column:
-    """Tokens of a text: clean, lower-case, split on space, no empty token."""
-    return F.filter(F.split(F.lower(clean_text(c)), " "), lambda t: t != F.lit(""))
+    """Tokens of a text: clean, lower-case, split on space, no empty token.
+    After cleaning, spaces are single and trimmed, so only an empty text can
+    give an empty token."""
+    cleaned = F.lower(clean_text(c))
+    return F.when(cleaned == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(cleaned, " "))
 
 
 def word_count(c: Column) -> Column:

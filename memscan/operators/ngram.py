@@ -41,12 +41,26 @@ class Scalars:
         return self.M2 - self.M1 * self.M1
 
 
+# Estimated in-memory bytes per model-table row (two short strings, a few
+# numbers, row overhead) used by the broadcast size check.
+ROW_BYTES = 96
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+
+
 @dataclass
 class BigramModel:
     unigram: DataFrame
     bigram: DataFrame
     contexts: DataFrame
     s: Scalars
+    n_bigrams: int = -1
+    n_contexts: int = -1
+
+    def broadcastable(self, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+        """True when every lookup table is proven small enough to broadcast
+        (row counts are known exactly from the fit)."""
+        rows = max(self.n_bigrams, self.n_contexts, self.s.V + 1)
+        return self.n_bigrams >= 0 and rows * ROW_BYTES <= max_bytes
 
 
 def unigram_counts(train_dt: DataFrame) -> DataFrame:
@@ -133,17 +147,20 @@ def fit_bigram(spark: SparkSession, train_dt: DataFrame, store=None) -> BigramMo
            .select("ctx", "n_c", "d_c", "lam", "mu", "var", "xhat", "p_xhat"))
     ctx = keep("contexts", ctx)
     bigram = big.select("ctx", "tok", "cnt", "p")
-    return BigramModel(unigram=uni, bigram=bigram, contexts=ctx, s=s)
+    n_b = bigram.count()   # Parquet row counts come from file metadata
+    n_c = ctx.count()
+    return BigramModel(unigram=uni, bigram=bigram, contexts=ctx, s=s, n_bigrams=n_b, n_contexts=n_c)
 
 
 def pair_lookup(df: DataFrame, model: BigramModel, ctx: str, tok: str, prefix: str,
-                with_context: bool = True) -> DataFrame:
+                with_context: bool = True, broadcast: bool = False) -> DataFrame:
     """Attach p(tok | ctx) (and the context's moments and top-1) to each row.
 
     Three left joins -- contexts on ctx, unigram on tok, bigram on (ctx, tok).
-    They are plain equi-joins: AQE turns each into a broadcast when the
-    runtime size of the model side is small, and otherwise keeps a shuffle
-    join whose hot keys it splits (skew join).
+    With ``broadcast`` (only after ``BigramModel.broadcastable`` proved the
+    tables small) they are broadcast hash joins, which keep the row order and
+    partitioning of ``df``.  Otherwise they are shuffle joins; AQE may still
+    broadcast on runtime statistics and splits hot keys (skew join).
     """
     s = model.s
     c = model.contexts.select(
@@ -153,6 +170,8 @@ def pair_lookup(df: DataFrame, model: BigramModel, ctx: str, tok: str, prefix: s
     u = model.unigram.select(F.col("tok").alias(f"{prefix}_utok"), F.col("q").alias(f"{prefix}_uq"))
     b = model.bigram.select(F.col("ctx").alias(f"{prefix}_bctx"), F.col("tok").alias(f"{prefix}_btok"),
                             F.col("p").alias(f"{prefix}_bp"))
+    if broadcast:
+        c, u, b = F.broadcast(c), F.broadcast(u), F.broadcast(b)
     out = (df.join(c, F.col(ctx) == F.col(f"{prefix}_cctx"), "left")
            .join(u, F.col(tok) == F.col(f"{prefix}_utok"), "left")
            .join(b, (F.col(ctx) == F.col(f"{prefix}_bctx")) & (F.col(tok) == F.col(f"{prefix}_btok")), "left"))

@@ -48,11 +48,22 @@ def prepare(scores: DataFrame, score_col: str = "score", label_col: str = "label
                     F.col(label_col).cast("int").alias("label")))
 
 
-def _ranges(spark: SparkSession, g: DataFrame, totals: DataFrame, n_ranges: int | None) -> DataFrame:
+def auto_ranges(totals: DataFrame, row_bound: int | None) -> int:
+    """Ranges per method so that one range holds about TARGET_ROWS_PER_RANGE
+    distinct scores.  The number of distinct scores of a method is at most
+    the number of score rows of the input, so a small input needs no pass
+    over the data to be sized."""
+    if row_bound is not None and row_bound <= TARGET_ROWS_PER_RANGE:
+        return 1
+    biggest = totals.agg(F.max("n_points")).first()[0] or 0
+    return min(MAX_RANGES, max(1, math.ceil(biggest / TARGET_ROWS_PER_RANGE)))
+
+
+def _ranges(spark: SparkSession, g: DataFrame, totals: DataFrame, n_ranges: int | None,
+            row_bound: int | None = None) -> DataFrame:
     """Attach a range index to each distinct score (ascending with s)."""
     if n_ranges is None:
-        biggest = totals.agg(F.max("n_points")).first()[0] or 0
-        n_ranges = min(MAX_RANGES, max(1, math.ceil(biggest / TARGET_ROWS_PER_RANGE)))
+        n_ranges = auto_ranges(totals, row_bound)
     if n_ranges <= 1:
         return g.withColumn("rng", F.lit(0))
     probs = [j / n_ranges for j in range(1, n_ranges)]
@@ -66,9 +77,11 @@ def _ranges(spark: SparkSession, g: DataFrame, totals: DataFrame, n_ranges: int
 
 
 def roc_table(scores: DataFrame, n_ranges: int | None = None, score_col: str = "score",
-              label_col: str = "label") -> tuple[DataFrame, DataFrame]:
+              label_col: str = "label", row_bound: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Per distinct score: cumulative counts, fpr, tpr and the kept flag.
 
+    ``row_bound`` (optional) is an upper bound of the input rows, e.g. the
+    metadata row count of a materialised score table.
     Returns (points, totals); totals has one row per method."""
     spark = scores.sparkSession
     g = (prepare(scores, score_col, label_col).groupBy("method", "s")
@@ -76,7 +89,7 @@ def roc_table(scores: DataFrame, n_ranges: int | None = None, score_col: str = "
               F.sum(F.lit(1) - F.col("label")).cast("long").alias("fp")))
     totals = g.groupBy("method").agg(F.sum("tp").alias("P"), F.sum("fp").alias("N"),
                                      F.count(F.lit(1)).alias("n_points"))
-    g = _ranges(spark, g, totals, n_ranges)
+    g = _ranges(spark, g, totals, n_ranges, row_bound)
     top = F.max_by(F.struct("tp", "fp"), "s")
     summ = g.groupBy("method", "rng").agg(F.sum("tp").alias("r_tp"), F.sum("fp").alias("r_fp"),
                                          top.alias("r_top"))

@@ -43,42 +43,54 @@ def _z_infill(lp: Column, mu: Column, sd: Column, clip_inf: bool) -> Column:
     return (lp - mu) / sd
 
 
-def infill_terms(base_lp, base_lpx, mu, var, fut_lp, fut_mu, fut_var, alt_lp, alt_mu, alt_var,
-                 has_future: Column, clip_inf: bool) -> tuple[Column, Column]:
-    """Look-ahead ratio at a position for L = 0 and for L >= 1.
+def infill_terms(df: DataFrame, clip_inf: bool, has_future: Column) -> DataFrame:
+    """Look-ahead ratios r0 (L = 0) and r1 (L >= 1) at every position.
 
     base  = z_i(x[i+1]) - z_i(xhat)         (causal: alternative stats at i are the original's)
     term  = z_{i+1}(x[i+2]) - z'_{i+1}(x[i+2])   only while i+1 <= T-3
     clip off: a non-finite term is skipped; clip on: lp, mu >= -100, each z in
     [-50, 50], the ratio in [-200, 200], and NaN flows through.
+
+    Every intermediate is its own column, so each NaN-aware clamp evaluates
+    its input once and the projection stays small enough for codegen.
     """
-    sd = sd_floor(var)
-    base = _z_infill(base_lp, mu, sd, clip_inf) - _z_infill(base_lpx, mu, sd, clip_inf)
-    a = _z_infill(fut_lp, fut_mu, sd_floor(fut_var), clip_inf)
-    b = _z_infill(alt_lp, alt_mu, sd_floor(alt_var), clip_inf)
+    c = F.col
+    df = df.withColumns({"_sd": sd_floor(c("var")), "_sd_next": sd_floor(c("var_next")),
+                         "_sd_alt": sd_floor(c("var_alt"))})
+    df = df.withColumns({
+        "_zo": _z_infill(c("lp"), c("mu"), c("_sd"), clip_inf),
+        "_zx": _z_infill(c("lp_xhat"), c("mu"), c("_sd"), clip_inf),
+        "_za": _z_infill(c("lp_next"), c("mu_next"), c("_sd_next"), clip_inf),
+        "_zb": _z_infill(c("lp_alt"), c("mu_alt"), c("_sd_alt"), clip_inf)})
     if clip_inf:
-        term = F.when(has_future, a - b).otherwise(dlit(0.0))
-        return clamp(base, *RATIO_CLIP), clamp(base + term, *RATIO_CLIP)
-    term = F.when(has_future & is_finite(a) & is_finite(b), a - b).otherwise(dlit(0.0))
-    return base, base + term
+        df = df.withColumns({"_base": c("_zo") - c("_zx"),
+                             "_term": F.when(has_future, c("_za") - c("_zb")).otherwise(dlit(0.0))})
+        df = df.withColumns({"r0": clamp(c("_base"), *RATIO_CLIP), "_r1": c("_base") + c("_term")})
+        df = df.withColumn("r1", clamp(c("_r1"), *RATIO_CLIP))
+    else:
+        ok = has_future & is_finite(c("_za")) & is_finite(c("_zb"))
+        df = df.withColumns({"_base": c("_zo") - c("_zx"),
+                             "_term": F.when(ok, c("_za") - c("_zb")).otherwise(dlit(0.0))})
+        df = df.withColumns({"r0": c("_base"), "r1": c("_base") + c("_term")})
+    return df.drop("_sd", "_sd_next", "_sd_alt", "_zo", "_zx", "_za", "_zb", "_base", "_term", "_r1")
 
 
 def position_values(ts: DataFrame, clip_inf: bool = False) -> DataFrame:
     """Add lp_m (min-k), z (min-k++), r0 / r1 (infill ratios) and the loss."""
     w = Window.partitionBy("doc_id").orderBy("pos")
     wall = Window.partitionBy("doc_id")
-    v = (ts.withColumn("lp_next", F.lead("lp").over(w))
-         .withColumn("mu_next", F.lead("mu").over(w))
-         .withColumn("var_next", F.lead("var").over(w))
-         .withColumn("loss", F.avg("lp").over(wall)))
-    lp_m = clamp_min(F.col("lp"), MIN_LOG_PROB) if clip_inf else F.col("lp")
-    has_future = F.col("pos") <= F.col("T") - 4
-    r0, r1 = infill_terms(F.col("lp"), F.col("lp_xhat"), F.col("mu"), F.col("var"),
-                          F.col("lp_next"), F.col("mu_next"), F.col("var_next"),
-                          F.col("lp_alt"), F.col("mu_alt"), F.col("var_alt"), has_future, clip_inf)
-    return (v.withColumn("lp_m", lp_m)
-            .withColumn("z", zscore_token(F.col("lp"), F.col("mu"), F.col("var"), clip_inf))
-            .withColumn("r0", r0).withColumn("r1", r1))
+    v = ts.withColumns({"lp_next": F.lead("lp").over(w), "mu_next": F.lead("mu").over(w),
+                        "var_next": F.lead("var").over(w), "loss": F.avg("lp").over(wall)})
+    if clip_inf:
+        v = v.withColumns({"lp_m": clamp_min(F.col("lp"), MIN_LOG_PROB),
+                           "_mu_c": clamp_min(F.col("mu"), MIN_LOG_PROB),
+                           "_var_c": clamp_min(F.col("var"), MIN_VARIANCE)})
+        v = v.withColumn("_zraw", safe_div(F.col("lp_m") - F.col("_mu_c"), safe_sqrt(F.col("_var_c"))))
+        v = v.withColumn("z", clamp(F.col("_zraw"), *Z_CLIP)).drop("_mu_c", "_var_c", "_zraw")
+    else:
+        v = v.withColumns({"lp_m": F.col("lp"), "_sqv": safe_sqrt(F.col("var"))})
+        v = v.withColumn("z", safe_div(F.col("lp") - F.col("mu"), F.col("_sqv"))).drop("_sqv")
+    return infill_terms(v, clip_inf, F.col("pos") <= F.col("T") - 4)
 
 
 def _ratio_array() -> Column:
@@ -94,12 +106,18 @@ def smallest_k_mean(values: DataFrame, key: list[str], n_col: str = "n") -> Data
     ratios from one sort: rows (key..., r_ix, kmean).  NaN sorts last and
     -inf first, as in an ascending array sort.  Groups with k = 0 for a ratio
     give no row for it (the caller decides the default)."""
-    w = Window.partitionBy(*key).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = (values.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy("v")))
-         .withColumn("cs", F.sum("v").over(w)))
-    hit = F.filter(F.sequence(F.lit(0), F.lit(len(RATIOS) - 1)),
-                   lambda j: k_of(F.col(n_col), F.get(_ratio_array(), j)) == F.col("rn"))
-    return (s.withColumn("r_ix", F.explode(hit))
+    order = Window.partitionBy(*key).orderBy("v")
+    w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n, rn = F.col(n_col), F.col("rn")
+    ks = [k_of(n, dlit(r)) for r in RATIOS]
+    hit_any = ks[0] == rn
+    for k in ks[1:]:
+        hit_any = hit_any | (k == rn)
+    s = (values.withColumn("rn", F.row_number().over(order))
+         .withColumn("cs", F.sum("v").over(w))
+         .filter(hit_any))          # about ten rows per group survive
+    hits = F.array_compact(F.array(*[F.when(k == rn, F.lit(j)) for j, k in enumerate(ks)]))
+    return (s.withColumn("r_ix", F.explode(hits))
             .withColumn("kmean", F.col("cs") / F.col("rn").cast("double")))
 
 
@@ -113,13 +131,11 @@ def raw_scores(pv: DataFrame, docs: DataFrame, extra: list[str] | None = None) -
     the scores of empty selections (k = 0, or T < 2)."""
     extra = extra or []
     has_infill = F.col("T") >= 3
-    kinds = F.array(
-        F.struct(F.lit("lp").alias("kind"), F.col("lp_m").alias("v")),
-        F.struct(F.lit("z").alias("kind"), F.col("z").alias("v")),
-        F.struct(F.lit("r0").alias("kind"), nan_to_num(F.col("r0")).alias("v")),
-        F.struct(F.lit("r1").alias("kind"), nan_to_num(F.col("r1")).alias("v")),
-    )
-    kinds = F.filter(kinds, lambda s: has_infill | s.getField("kind").isin("lp", "z"))
+    two = [F.struct(F.lit("lp").alias("kind"), F.col("lp_m").alias("v")),
+           F.struct(F.lit("z").alias("kind"), F.col("z").alias("v"))]
+    four = two + [F.struct(F.lit("r0").alias("kind"), nan_to_num(F.col("r0")).alias("v")),
+                  F.struct(F.lit("r1").alias("kind"), nan_to_num(F.col("r1")).alias("v"))]
+    kinds = F.when(has_infill, F.array(*four)).otherwise(F.array(*two))
     long = pv.select("doc_id", "T", "clen", "loss", *extra, F.inline(kinds)).withColumn(
         "n", F.col("T") - 1)
     ks = smallest_k_mean(long, ["doc_id", "kind"])

@@ -29,14 +29,13 @@ def tokens(dt: DataFrame) -> DataFrame:
 
 def positions(dt: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """One row per scored position i in 0..T-2: context x0 = tok[i], observed
-    next token x1 = tok[i+1], and x2 = tok[i+2] (NULL past the end)."""
+    next token x1 = tok[i+1], and x2 = tok[i+2] (NULL past the end).
+
+    posexplode plus array indexing stays inside whole-stage codegen (no
+    per-element lambda)."""
     extra = extra or []
-    seq = F.when(F.col("T") >= 2, F.sequence(F.lit(0), F.col("T") - 2)).otherwise(
-        F.array().cast("array<int>"))
-    st = F.transform(seq, lambda i: F.struct(
-        i.alias("i"),
-        F.get(F.col("toks"), i).alias("x0"),
-        F.get(F.col("toks"), i + 1).alias("x1"),
-        F.get(F.col("toks"), i + 2).alias("x2"),
-    ))
-    return dt.select("doc_id", "T", *extra, F.inline(st))
+    return (dt.select("doc_id", "T", *extra, "toks", F.posexplode("toks").alias("i", "x0"))
+            .filter(F.col("i") <= F.col("T") - 2)
+            .select("doc_id", "T", *extra, F.col("i").cast("int").alias("i"), "x0",
+                    F.get("toks", F.col("i") + 1).alias("x1"),
+                    F.get("toks", F.col("i") + 2).alias("x2")))

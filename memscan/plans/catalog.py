@@ -22,6 +22,7 @@ _cache: dict[tuple, object] = {}
 
 
 def _key(spark: SparkSession, *parts) -> tuple:
+    parts = tuple(p.rstrip("/") if isinstance(p, str) else p for p in parts)
     return (spark.sparkContext.applicationId, *parts)
 
 
@@ -44,10 +45,20 @@ def _tag(sf_dir: str) -> str:
     return sf_dir.rstrip("/").split("/")[-1].replace(".", "_")
 
 
+def parallelism(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def _spread(spark: SparkSession, snippets: DataFrame) -> DataFrame:
+    """Hash-partition the raw texts by doc_id so tokenising and compressing
+    run in parallel even when the source is one unsplittable row group."""
+    return snippets.repartition(parallelism(spark), "doc_id")
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_tokens of the documents table (label = member split)."""
     return _memo(spark, ("docs", sf_dir), lambda: store(spark).put(
-        f"{_tag(sf_dir)}/docs", tk.doc_tokens(documents_snippets(spark, sf_dir))))
+        f"{_tag(sf_dir)}/docs", tk.doc_tokens(_spread(spark, documents_snippets(spark, sf_dir)))))
 
 
 def model(spark: SparkSession, sf_dir: str) -> ngram.BigramModel:
@@ -62,15 +73,22 @@ def model(spark: SparkSession, sf_dir: str) -> ngram.BigramModel:
     return _memo(spark, ("model", sf_dir), build)
 
 
+def token_stats_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ts_op.token_stats(docs(spark, sf_dir), model(spark, sf_dir), ["label", "clen"],
+                             parallelism(spark))
+
+
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
+    """The per-position table, written out (for users who read it)."""
     return _memo(spark, ("ts", sf_dir), lambda: store(spark).put(
-        f"{_tag(sf_dir)}/token_stats", ts_op.token_stats(d, model(spark, sf_dir), ["label", "clen"])))
+        f"{_tag(sf_dir)}/token_stats", token_stats_plan(spark, sf_dir)))
 
 
 def raw_scores(spark: SparkSession, sf_dir: str, clip_inf: bool = False) -> DataFrame:
+    """Scores straight from the documents in one plan: the position table is
+    not written out in between."""
     def build():
-        ts = token_stats(spark, sf_dir)
+        ts = token_stats_plan(spark, sf_dir)
         pv = sc.position_values(ts, clip_inf)
         d = docs(spark, sf_dir).select("doc_id", "T", "clen", "label")
         return store(spark).put(f"{_tag(sf_dir)}/raw_scores_clip{int(clip_inf)}",
@@ -85,11 +103,26 @@ def scores(spark: SparkSession, sf_dir: str, clip_inf: bool = False) -> DataFram
 def benchmark_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages scored by the model of the member documents."""
     def build():
-        bd = tk.doc_tokens(benchmark_snippets(spark, sf_dir))
+        bd = tk.doc_tokens(_spread(spark, benchmark_snippets(spark, sf_dir)))
         bd = store(spark).put(f"{_tag(sf_dir)}/bench_docs", bd)
         m = model(spark, sf_dir)
-        ts = ts_op.token_stats(bd, m, ["label", "clen"])
+        ts = ts_op.token_stats(bd, m, ["label", "clen"], parallelism(spark))
         pv = sc.position_values(ts, False)
         raw = sc.raw_scores(pv, bd.select("doc_id", "T", "clen", "label"), ["label"])
         return store(spark).put(f"{_tag(sf_dir)}/bench_raw", raw)
     return sc.sanitize_scores(_memo(spark, ("bench", sf_dir), build))
+
+
+def row_count(spark: SparkSession, sf_dir: str, clip_inf: bool = False) -> int:
+    """Rows of the materialised raw score table (Parquet metadata)."""
+    return _memo(spark, ("raw_n", sf_dir, clip_inf), lambda: raw_scores(spark, sf_dir, clip_inf).count())
+
+
+def metrics(spark: SparkSession, sf_dir: str, clip_inf: bool = False) -> DataFrame:
+    """All 122 methods evaluated, written once per application."""
+    from ..operators.roc import all_methods, evaluate_methods
+
+    def build():
+        m = evaluate_methods(scores(spark, sf_dir, clip_inf), row_bound=row_count(spark, sf_dir, clip_inf))
+        return store(spark).put(f"{_tag(sf_dir)}/metrics_clip{int(clip_inf)}", all_methods(spark, m))
+    return _memo(spark, ("metrics", sf_dir, clip_inf), build)

@@ -19,8 +19,12 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app: str = "memscan") -> SparkSession:
     """Session for local runs and tests.  On a cluster, use the cluster's."""
     master = master or os.environ.get("MEMSCAN_MASTER", "local[8]")
+    b = SparkSession.builder
+    ev = os.environ.get("MEMSCAN_EVENT_LOG_DIR")
+    if ev:   # stage and task times for profiling, written to a scratch folder
+        b = b.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", ev)
     spark = (
-        SparkSession.builder.master(master).appName(app)
+        b.master(master).appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
