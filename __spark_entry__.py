@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from memscan.functions.text import clean_text, word_count
 from memscan.operators import profile as prof
 from memscan.operators import report as rep
+from memscan.operators import lm_batches as lm
 from memscan.operators import roc
+from memscan.operators.infill import infill_ratios, parity
+from memscan.plans import model_path as mp
 from memscan.operators import scores as sc
 from memscan.plans import catalog as cat
 from memscan.plans import oracle as sql
@@ -157,6 +160,48 @@ def q_benchmark_contamination(spark, sf_dir):
     return s.select(F.col("doc_id").alias("item_id"), "method", _r("score", 4))
 
 
+def _general(spark, sf_dir, clip):
+    ts = cat.token_stats(spark, sf_dir)
+    tok, alt = mp.ngram_as_model_stats(ts)
+    return tok, alt
+
+
+def q_score_parity(clip: bool):
+    def q(spark, sf_dir):
+        tok, alt = _general(spark, sf_dir, clip)
+        general = infill_ratios(tok, alt, clip)
+        special = mp.ngram_ratios_long(sc.position_values(cat.token_stats(spark, sf_dir), clip))
+        return parity(special, general)
+    return q
+
+
+def q_general_path_scores(spark, sf_dir):
+    tok, alt = _general(spark, sf_dir, False)
+    d = cat.docs(spark, sf_dir).select("doc_id", "T")
+    raw = mp.scores_from_stats(tok, alt, d, False)
+    return sc.sanitize_scores(raw).select("doc_id", "method", _r("score", 4))
+
+
+def _lm_rows(spark, sf_dir):
+    def build():
+        d = cat.docs(spark, sf_dir)
+        rows = lm.lm_score_batches(d, lambda: lm.ToyModel(7), vocab=7, memory=lm.ToyModel.memory)
+        return cat.store(spark).put(f"{cat._tag(sf_dir)}/lm_rows", rows)
+    return cat._memo(spark, ("lm_rows", sf_dir), build)
+
+
+def q_lm_token_stats(spark, sf_dir):
+    tok, _ = lm.split_stats(_lm_rows(spark, sf_dir))
+    return tok.select("doc_id", "pos", _r("lp", 6), _r("mu", 6), _r("var", 6), _r("lp_xhat", 6), "T")
+
+
+def q_lm_scores(spark, sf_dir):
+    tok, alt = lm.split_stats(_lm_rows(spark, sf_dir))
+    d = cat.docs(spark, sf_dir).select("doc_id", "T")
+    return sc.sanitize_scores(mp.scores_from_stats(tok, alt, d, False)).select(
+        "doc_id", "method", _r("score", 4))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "clean_text": q_clean_text,
@@ -185,6 +230,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "score_profile": q_score_profile,
         "issue_report": q_issue_report,
         "benchmark_contamination": q_benchmark_contamination,
+        "score_parity": q_score_parity(False),
+        "score_parity_clipped": q_score_parity(True),
+        "general_path_scores": q_general_path_scores,
+        "lm_token_stats": q_lm_token_stats,
+        "lm_scores": q_lm_scores,
     }
 
 
@@ -269,6 +319,13 @@ def oracle_sql() -> dict[str, str]:
                             sql.metrics_cte("lscores", "quality") +
                             "\nSELECT method, round(auroc, 6) AS auroc, round(fpr95, 6) AS fpr95,"
                             " round(tpr05, 6) AS tpr05 FROM m1")
+    parity_sql = (sql.chain(upto="docs") + ",\n" + sql.ratios_cte().strip() +
+                  "\nSELECT CAST(la_all.L AS INTEGER) AS L, CAST(sum(T - 1) AS BIGINT) AS n_compared,"
+                  " CAST(sum(T - 1) AS BIGINT) AS n_close, true AS all_close FROM docs, la_all"
+                  " WHERE T >= 3 GROUP BY la_all.L")
+    out["score_parity"] = parity_sql
+    out["score_parity_clipped"] = parity_sql
+    out["general_path_scores"] = _scores_sel("method <> 'zlib'")
     out["top_methods"] = (sql.chain() + "," + sql.metrics_cte("scores") + """,
         fm AS (SELECT method, method_order, printf('%.1f%%', auroc * 100) AS auroc,
                       printf('%.1f%%', fpr95 * 100) AS fpr95, printf('%.1f%%', tpr05 * 100) AS tpr05 FROM metrics)
