@@ -109,11 +109,13 @@ def roc_table(scores: DataFrame, n_ranges: int | None = None, score_col: str = "
     first = (F.col("cum_tp") == F.col("tp")) & (F.col("cum_fp") == F.col("fp"))
     last = F.col("nxt").isNull()
     kept = first | last | (F.col("nxt.tp") != F.col("tp")) | (F.col("nxt.fp") != F.col("fp"))
-    pts = (pts.withColumn("kept", kept)
-           .withColumn("tpr", F.col("cum_tp").cast("double") / F.col("P").cast("double"))
-           .withColumn("fpr", F.col("cum_fp").cast("double") / F.col("N").cast("double"))
-           .withColumn("tpr_prev", (F.col("cum_tp") - F.col("tp")).cast("double") / F.col("P").cast("double"))
-           .withColumn("fpr_prev", (F.col("cum_fp") - F.col("fp")).cast("double") / F.col("N").cast("double")))
+    def ratio(num, den):          # NULL for a single-class method (guarded later)
+        return F.when(F.col(den) > 0, num.cast("double") / F.col(den).cast("double"))
+    pts = pts.withColumns({
+        "kept": kept,
+        "tpr": ratio(F.col("cum_tp"), "P"), "fpr": ratio(F.col("cum_fp"), "N"),
+        "tpr_prev": ratio(F.col("cum_tp") - F.col("tp"), "P"),
+        "fpr_prev": ratio(F.col("cum_fp") - F.col("fp"), "N")})
     return pts, totals
 
 
@@ -139,8 +141,8 @@ def evaluate_methods(scores: DataFrame, n_ranges: int | None = None, **kw) -> Da
         F.min(F.when(F.col("kept") & (F.col("tpr") >= dlit(0.95)), F.col("fpr"))).alias("fpr95"),
         F.max(F.when(F.col("kept") & (F.col("fpr") <= dlit(0.05)), F.col("tpr"))).alias("tpr05"),
     )
-    t = totals.withColumn("n", F.col("P") + F.col("N"))
-    good = (F.col("n") >= 2) & (F.col("P") > 0) & (F.col("N") > 0)
+    t = totals.withColumn("n_rows", F.col("P") + F.col("N"))   # not "n": names are case-insensitive
+    good = (F.col("n_rows") >= 2) & (F.col("P") > 0) & (F.col("N") > 0)
     return (t.join(m, "method", "left").select(
         "method",
         F.when(good, F.col("auroc")).otherwise(dlit(0.0)).alias("auroc"),
