@@ -202,6 +202,20 @@ def q_lm_scores(spark, sf_dir):
         "doc_id", "method", _r("score", 4))
 
 
+def q_stream_score(spark, sf_dir):
+    """Documents streamed through a file source, scored per micro-batch."""
+    import uuid
+
+    from memscan.streaming import start_stream_score
+    sink = f"{cat.store(spark).base}/stream/{uuid.uuid4().hex}"
+    q = start_stream_score(spark, sf_dir, cat.model(spark, sf_dir), sink, file_glob="documents.parquet",
+                           select_expr=["CAST(doc_id AS BIGINT) AS doc_id", "text",
+                                        "CAST(pmod(doc_id, 2) = 0 AS INT) AS label"])
+    q.awaitTermination()
+    out = spark.read.parquet(sink)
+    return out.filter(F.col("method") != "zlib").select("doc_id", "method", _r("score", 4))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "clean_text": q_clean_text,
@@ -235,6 +249,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "general_path_scores": q_general_path_scores,
         "lm_token_stats": q_lm_token_stats,
         "lm_scores": q_lm_scores,
+        "stream_score": q_stream_score,
     }
 
 
@@ -326,6 +341,7 @@ def oracle_sql() -> dict[str, str]:
     out["score_parity"] = parity_sql
     out["score_parity_clipped"] = parity_sql
     out["general_path_scores"] = _scores_sel("method <> 'zlib'")
+    out["stream_score"] = _scores_sel("method <> 'zlib'")
     out["top_methods"] = (sql.chain() + "," + sql.metrics_cte("scores") + """,
         fm AS (SELECT method, method_order, printf('%.1f%%', auroc * 100) AS auroc,
                       printf('%.1f%%', fpr95 * 100) AS fpr95, printf('%.1f%%', tpr05 * 100) AS tpr05 FROM metrics)
