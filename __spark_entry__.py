@@ -182,21 +182,23 @@ def q_general_path_scores(spark, sf_dir):
     return sc.sanitize_scores(raw).select("doc_id", "method", _r("score", 4))
 
 
-def _lm_rows(spark, sf_dir):
+def _lm_stats(spark, sf_dir):
     def build():
         d = cat.docs(spark, sf_dir)
-        rows = lm.lm_score_batches(d, lambda: lm.ToyModel(7), vocab=7, memory=lm.ToyModel.memory)
-        return cat.store(spark).put(f"{cat._tag(sf_dir)}/lm_rows", rows)
-    return cat._memo(spark, ("lm_rows", sf_dir), build)
+        tok, alt = lm.lm_score_batches(d, lambda: lm.ToyModel(7), vocab=7, memory=lm.ToyModel.memory)
+        st = cat.store(spark)
+        return (st.put(f"{cat._tag(sf_dir)}/lm_token_stats", tok),
+                st.put(f"{cat._tag(sf_dir)}/lm_alt_stats", alt))
+    return cat._memo(spark, ("lm_stats", sf_dir), build)
 
 
 def q_lm_token_stats(spark, sf_dir):
-    tok, _ = lm.split_stats(_lm_rows(spark, sf_dir))
+    tok, _ = _lm_stats(spark, sf_dir)
     return tok.select("doc_id", "pos", _r("lp", 6), _r("mu", 6), _r("var", 6), _r("lp_xhat", 6), "T")
 
 
 def q_lm_scores(spark, sf_dir):
-    tok, alt = lm.split_stats(_lm_rows(spark, sf_dir))
+    tok, alt = _lm_stats(spark, sf_dir)
     d = cat.docs(spark, sf_dir).select("doc_id", "T")
     return sc.sanitize_scores(mp.scores_from_stats(tok, alt, d, False)).select(
         "doc_id", "method", _r("score", 4))
