@@ -11,6 +11,12 @@ from ..functions.text import word_count
 SAMPLE_ROWS = 100
 
 
+def sample_head(df: DataFrame, n: int = SAMPLE_ROWS, order: str = "doc_id") -> DataFrame:
+    """The first ``n`` rows in a declared order (a top-k: the limit is the
+    feature)."""
+    return df.orderBy(order).limit(n)
+
+
 def dataset_statistics(snippets: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row: total, members, non-members, member share, and the mean word
     count of the first ``sample_rows`` snippets in doc_id order.  An empty set
@@ -19,7 +25,7 @@ def dataset_statistics(snippets: DataFrame, sample_rows: int = SAMPLE_ROWS) -> D
                        F.sum("label").cast("long").alias("members"),
                        F.lit(None).cast("double").alias("avg_words"))
     # top-k by doc_id: a limit that is the feature (the first 100 rows)
-    head = (snippets.select("doc_id", "text").orderBy("doc_id").limit(sample_rows)
+    head = (sample_head(snippets.select("doc_id", "text"), sample_rows)
             .agg(F.lit(None).cast("long").alias("total"), F.lit(None).cast("long").alias("members"),
                  F.avg(word_count(F.col("text")).cast("double")).alias("avg_words")))
     both = tot.unionByName(head).agg(F.max("total").alias("total"), F.max("members").alias("members"),

@@ -50,9 +50,19 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def _spread(spark: SparkSession, snippets: DataFrame) -> DataFrame:
-    """Hash-partition the raw texts by doc_id so tokenising and compressing
-    run in parallel even when the source is one unsplittable row group."""
-    return snippets.repartition(parallelism(spark), "doc_id")
+    """Hash-partition the raw texts by doc_id when the source has fewer
+    splits than the cluster has task slots (e.g. one unsplittable row group),
+    so tokenising and compressing run in parallel.  A source that is already
+    split finely is left alone: no shuffle of the raw text at scale."""
+    n = parallelism(spark)
+    if snippets.rdd.getNumPartitions() >= n:
+        return snippets
+    return snippets.repartition(n, "doc_id")
+
+
+def load_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus the model is estimated from: member documents' tokens."""
+    return docs(spark, sf_dir).filter(F.col("label") == 1)
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +79,7 @@ def model(spark: SparkSession, sf_dir: str) -> ngram.BigramModel:
         class _Sub:
             def put(self, name, df):
                 return st.put(f"{prefix}/model/{name}", df)
-        return ngram.fit_bigram(spark, docs(spark, sf_dir).filter(F.col("label") == 1), _Sub())
+        return ngram.fit_bigram(spark, load_corpus(spark, sf_dir), _Sub())
     return _memo(spark, ("model", sf_dir), build)
 
 
