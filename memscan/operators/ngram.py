@@ -56,9 +56,13 @@ class BigramModel:
     n_bigrams: int = -1
     n_contexts: int = -1
 
-    def broadcastable(self, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    def broadcastable(self, max_bytes: int | None = None) -> bool:
         """True when every lookup table is proven small enough to broadcast
-        (row counts are known exactly from the fit)."""
+        (row counts are known exactly from the fit).  The bound is the
+        session setting ``spark.memscan.broadcastMaxBytes`` (default 256 MiB)."""
+        if max_bytes is None:
+            conf = self.bigram.sparkSession.conf.get("spark.memscan.broadcastMaxBytes", None)
+            max_bytes = int(conf) if conf is not None else BROADCAST_MAX_BYTES
         rows = max(self.n_bigrams, self.n_contexts, self.s.V + 1)
         return self.n_bigrams >= 0 and rows * ROW_BYTES <= max_bytes
 
