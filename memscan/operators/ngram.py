@@ -114,7 +114,7 @@ def fit_bigram(spark: SparkSession, train_dt: DataFrame, store=None) -> BigramMo
     s = Scalars(N=N, V=V, lam0=lam0, q_unk=q_unk, M1=float(r2["M1"]), M2=float(r2["M2"]),
                 top1=r2["best"][1], q_top1=-float(r2["best"][0]))
 
-    b0 = keep("bigram_counts", bigram_counts(train_dt))
+    b0 = bigram_counts(train_dt)      # used twice below; one plan, the exchange is reused
     c0 = (b0.groupBy("ctx").agg(F.sum("cnt").alias("n_c"), F.count(F.lit(1)).alias("d_c"))
           .withColumn("lam", F.col("d_c").cast("double") / (F.col("n_c") + F.col("d_c")).cast("double")))
     u = uni.select("tok", "q", "lnq")

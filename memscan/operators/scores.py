@@ -121,7 +121,9 @@ def smallest_k_mean(values: DataFrame, key: list[str], n_col: str = "n") -> Data
             .withColumn("kmean", F.col("cs") / F.col("rn").cast("double")))
 
 
-KINDS = ["lp", "z", "r0", "r1"]
+# value kinds, as small integer codes so the per-document sort compares
+# numbers only: 0 = lp (min-k), 1 = z (min-k++), 2 = r0 (infill L=0), 3 = r1
+K_LP, K_Z, K_R0, K_R1 = 0, 1, 2, 3
 
 
 def raw_scores(pv: DataFrame, docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -131,10 +133,10 @@ def raw_scores(pv: DataFrame, docs: DataFrame, extra: list[str] | None = None) -
     the scores of empty selections (k = 0, or T < 2)."""
     extra = extra or []
     has_infill = F.col("T") >= 3
-    two = [F.struct(F.lit("lp").alias("kind"), F.col("lp_m").alias("v")),
-           F.struct(F.lit("z").alias("kind"), F.col("z").alias("v"))]
-    four = two + [F.struct(F.lit("r0").alias("kind"), nan_to_num(F.col("r0")).alias("v")),
-                  F.struct(F.lit("r1").alias("kind"), nan_to_num(F.col("r1")).alias("v"))]
+    def kv(code, v):
+        return F.struct(F.lit(code).cast("tinyint").alias("kind"), v.alias("v"))
+    two = [kv(K_LP, F.col("lp_m")), kv(K_Z, F.col("z"))]
+    four = two + [kv(K_R0, nan_to_num(F.col("r0"))), kv(K_R1, nan_to_num(F.col("r1")))]
     kinds = F.when(has_infill, F.array(*four)).otherwise(F.array(*two))
     long = pv.select("doc_id", "T", "clen", "loss", *extra, F.inline(kinds)).withColumn(
         "n", F.col("T") - 1)
@@ -148,13 +150,13 @@ def raw_scores(pv: DataFrame, docs: DataFrame, extra: list[str] | None = None) -
     r1_names = F.transform(later, lambda L: F.concat(F.lit("infill_"), L.cast("string"), F.lit("_"),
                                                      F.get(F.array(*[F.lit(ratio_name(r)) for r in RATIOS]), ridx)))
     entries = (
-        F.when(F.col("kind") == "lp", F.array(F.struct(mink.alias("method"), F.col("kmean").alias("score"))))
-        .when(F.col("kind") == "z", F.array(F.struct(minkpp.alias("method"), F.col("kmean").alias("score"))))
-        .when(F.col("kind") == "r0", F.array(F.struct(inf0.alias("method"), infill_val.alias("score"))))
+        F.when(F.col("kind") == K_LP, F.array(F.struct(mink.alias("method"), F.col("kmean").alias("score"))))
+        .when(F.col("kind") == K_Z, F.array(F.struct(minkpp.alias("method"), F.col("kmean").alias("score"))))
+        .when(F.col("kind") == K_R0, F.array(F.struct(inf0.alias("method"), infill_val.alias("score"))))
         .otherwise(F.transform(r1_names, lambda nm: F.struct(nm.alias("method"), infill_val.alias("score"))))
     )
     # loss and zlib ride on the row holding the whole-document mean of lp
-    whole = (F.col("kind") == "lp") & (F.col("rn") == F.col("n")) & (ridx == len(RATIOS) - 1)
+    whole = (F.col("kind") == K_LP) & (F.col("rn") == F.col("n")) & (ridx == len(RATIOS) - 1)
     extra_entries = F.when(whole, F.array(
         F.struct(F.lit("loss").alias("method"), F.col("loss").alias("score")),
         F.struct(F.lit("zlib").alias("method"), safe_div(F.col("loss"), F.col("clen").cast("double")).alias("score")),
