@@ -344,6 +344,11 @@ def oracle_sql() -> dict[str, str]:
     out["score_parity_clipped"] = parity_sql
     out["general_path_scores"] = _scores_sel("method <> 'zlib'")
     out["stream_score"] = _scores_sel("method <> 'zlib'")
+    toy = lm.ToyModel(7)
+    out["lm_scores"] = sql.lm_scores_sql(toy.A.tolist(), toy.B.tolist())
+    out["lm_token_stats"] = (sql.chain(upto="docs") + "," + sql.lm_toy_cte(toy.A.tolist(), toy.B.tolist()) +
+                             "\nSELECT doc_id, i AS pos, round(lp, 6) AS lp, round(mu, 6) AS mu,"
+                             " round(var, 6) AS var, round(lp_xhat, 6) AS lp_xhat, T FROM lts")
     out["top_methods"] = (sql.chain() + "," + sql.metrics_cte("scores") + """,
         fm AS (SELECT method, method_order, printf('%.1f%%', auroc * 100) AS auroc,
                       printf('%.1f%%', fpr95 * 100) AS fpr95, printf('%.1f%%', tpr05 * 100) AS tpr05 FROM metrics)

@@ -262,3 +262,86 @@ m1 AS (SELECT t.method, CASE WHEN t.P + t.N >= 2 AND t.P > 0 AND t.N > 0 THEN m0
 metrics AS (SELECT mo.method, mo.method_order, coalesce(m1.auroc, 0.0) AS auroc,
                    coalesce(m1.fpr95, 1.0) AS fpr95, coalesce(m1.tpr05, 0.0) AS tpr05
             FROM mo LEFT JOIN m1 ON mo.method = m1.method)"""
+
+
+def lm_toy_cte(A, B) -> str:
+    """The toy model (logits A[x_p] + B[x_(p-1)], memory 2) over ``docs``:
+    per-position statistics, the two alternative positions per i, and the
+    look-ahead ratios for all ten L (absent alternative rows are zero)."""
+    V = len(A)
+    wa = ", ".join(f"({a}, {v}, {d(A[a][v])})" for a in range(V) for v in range(V))
+    wb = ", ".join(f"({b}, {v}, {d(B[b][v])})" for b in range(V) for v in range(V))
+    ids = ", ".join(f"({v})" for v in range(V))
+    sd = sd_floor("var")
+    return f"""
+vv AS (SELECT * FROM (VALUES {ids}) t(v)),
+wa AS (SELECT * FROM (VALUES {wa}) t(a, v, w)),
+wb AS (SELECT * FROM (VALUES {wb}) t(b, v, w)),
+combos AS (SELECT c.v AS cur, p.v AS prev FROM vv c, (SELECT v FROM vv UNION ALL SELECT NULL) p),
+lg AS (SELECT k.cur, k.prev, vv.v, wa.w + coalesce(wb.w, 0.0::DOUBLE) AS logit
+       FROM combos k CROSS JOIN vv JOIN wa ON wa.a = k.cur AND wa.v = vv.v
+       LEFT JOIN wb ON wb.b = k.prev AND wb.v = vv.v),
+lg2 AS (SELECT *, logit - max(logit) OVER (PARTITION BY cur, prev) AS zz FROM lg),
+lg3 AS (SELECT *, zz - ln(sum(exp(zz)) OVER (PARTITION BY cur, prev)) AS lp FROM lg2),
+cs AS (SELECT cur, prev, v, lp FROM lg3),
+cm0 AS (SELECT cur, prev, sum(exp(lp) * lp) AS mu, sum(exp(lp) * lp * lp) AS m2raw FROM lg3 GROUP BY cur, prev),
+cbest AS (SELECT cur, prev, v AS xh, lp AS lpx FROM (
+            SELECT cur, prev, v, lp, row_number() OVER (PARTITION BY cur, prev ORDER BY lp DESC, v) AS rn FROM lg3)
+          WHERE rn = 1),
+cm AS (SELECT a.cur, a.prev, a.mu, a.m2raw - a.mu * a.mu AS var, b.xh, b.lpx FROM cm0 a JOIN cbest b
+       ON a.cur = b.cur AND a.prev IS NOT DISTINCT FROM b.prev),
+lmid AS (SELECT doc_id, label, T, list_transform(toks, lambda t: length(t) % {V}) AS ids FROM docs),
+lmp0 AS (SELECT doc_id, label, T, ids, unnest(range(0, greatest(T - 1, 0))) AS i FROM lmid),
+lmp AS (SELECT doc_id, label, T, CAST(i AS INTEGER) AS i, ids[i + 1] AS cur,
+               CASE WHEN i >= 1 THEN ids[i] END AS prev, ids[i + 2] AS obs, ids[i + 3] AS obs2,
+               ids[i + 4] AS obs3 FROM lmp0),
+lts AS (SELECT p.*, s.lp, m.mu, m.var, m.xh, m.lpx AS lp_xhat
+        FROM lmp p JOIN cs s ON s.cur = p.cur AND s.prev IS NOT DISTINCT FROM p.prev AND s.v = p.obs
+        JOIN cm m ON m.cur = p.cur AND m.prev IS NOT DISTINCT FROM p.prev),
+lz AS (SELECT *, {sd} AS sdv FROM lts),
+lz2 AS (SELECT *, (lp - mu) / sdv AS z_o, (lp_xhat - mu) / sdv AS z_x FROM lz),
+alt1 AS (SELECT p.doc_id, p.i, ((s.lp - m.mu) / {sd_floor('m.var')}) AS z_a FROM lz2 p
+         JOIN cs s ON s.cur = p.xh AND s.prev = p.cur AND s.v = p.obs2
+         JOIN cm m ON m.cur = p.xh AND m.prev = p.cur WHERE p.i <= p.T - 4),
+alt2 AS (SELECT p.doc_id, p.i, ((s.lp - m.mu) / {sd_floor('m.var')}) AS z_a FROM lz2 p
+         JOIN cs s ON s.cur = p.obs2 AND s.prev = p.xh AND s.v = p.obs3
+         JOIN cm m ON m.cur = p.obs2 AND m.prev = p.xh WHERE p.i <= p.T - 5),
+lrat AS (SELECT b.doc_id, b.label, b.T, b.i, b.z_o - b.z_x AS base,
+                coalesce(CASE WHEN isfinite(n1.z_o) AND isfinite(a1.z_a) THEN n1.z_o - a1.z_a END, 0.0) AS d1,
+                coalesce(CASE WHEN isfinite(n2.z_o) AND isfinite(a2.z_a) THEN n2.z_o - a2.z_a END, 0.0) AS d2
+         FROM lz2 b LEFT JOIN alt1 a1 ON a1.doc_id = b.doc_id AND a1.i = b.i
+              LEFT JOIN lz2 n1 ON n1.doc_id = b.doc_id AND n1.i = b.i + 1
+              LEFT JOIN alt2 a2 ON a2.doc_id = b.doc_id AND a2.i = b.i
+              LEFT JOIN lz2 n2 ON n2.doc_id = b.doc_id AND n2.i = b.i + 2
+         WHERE b.T >= 3)"""
+
+
+def lm_scores_sql(A, B) -> str:
+    """All scores but zlib of the toy model, sanitised, like scores_from_stats."""
+    la_all = ", ".join(f"({L})" for L in LOOK_AHEADS)
+    rows = ", ".join(f"({j}, {d(r)}, '{ratio_name(r)}')" for j, r in enumerate(RATIOS))
+    z = z_token("lp", "mu", "var", False)
+    return chain(upto="docs") + "," + lm_toy_cte(A, B) + f""",
+rt AS (SELECT * FROM (VALUES {rows}) t(r_ix, r, rname)),
+la_all AS (SELECT * FROM (VALUES {la_all}) t(L)),
+lv AS (SELECT doc_id, T - 1 AS n, 'mink_' AS fam, lp AS v FROM lts
+       UNION ALL SELECT doc_id, T - 1, 'mink++_', {z} FROM lts
+       UNION ALL SELECT r.doc_id, r.T - 1, 'infill_' || CAST(la_all.L AS VARCHAR) || '_',
+                        {nan_to_num("(r.base + CASE WHEN la_all.L >= 1 THEN r.d1 ELSE 0.0 END + CASE WHEN la_all.L >= 2 THEN r.d2 ELSE 0.0 END)")}
+                 FROM lrat r, la_all),
+ks AS (SELECT *, row_number() OVER (PARTITION BY doc_id, fam ORDER BY v) AS rn,
+              sum(v) OVER (PARTITION BY doc_id, fam ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cs
+       FROM lv),
+km AS (SELECT ks.*, rt.rname, cs / CAST(rn AS DOUBLE) AS kmean FROM ks JOIN rt
+       ON floor(CAST(ks.n AS DOUBLE) * rt.r) = ks.rn),
+raw AS (SELECT doc_id, fam || rname AS method,
+               CASE WHEN starts_with(fam, 'infill_') THEN {finite_or0('kmean')} ELSE kmean END AS score FROM km
+        UNION ALL SELECT doc_id, 'loss', avg(lp) FROM lts GROUP BY doc_id
+        UNION ALL SELECT doc_id, 'mink_' || rname, {NAN} FROM docs, rt
+                  WHERE floor(CAST(greatest(T - 1, 0) AS DOUBLE) * r) = 0
+        UNION ALL SELECT doc_id, 'mink++_' || rname, {NAN} FROM docs, rt
+                  WHERE floor(CAST(greatest(T - 1, 0) AS DOUBLE) * r) = 0
+        UNION ALL SELECT doc_id, 'infill_' || CAST(la_all.L AS VARCHAR) || '_' || rname, 0.0::DOUBLE
+                  FROM docs, rt, la_all WHERE T >= 3 AND floor(CAST(T - 1 AS DOUBLE) * r) = 0
+        UNION ALL SELECT doc_id, 'loss', {NAN} FROM docs WHERE T < 2)
+SELECT doc_id, method, round({finite_or0('score')}, 4) AS score FROM raw"""
