@@ -104,10 +104,10 @@ def fit_bigram(spark: SparkSession, train_dt: DataFrame, store=None) -> BigramMo
     q_unk = lam0 / (V + 1)
     q = (dlit(1.0) - dlit(lam0)) * F.col("cnt").cast("double") / dlit(N) + dlit(lam0) / dlit(V + 1)
     unk = spark.range(1).select(F.lit(UNK).alias("tok"), F.lit(0).cast("long").alias("cnt"))
+    # a projection of the materialised counts: no write of its own
     uni = (uc.unionByName(unk)
            .withColumn("q", F.when(F.col("tok") == UNK, dlit(q_unk)).otherwise(q))
            .withColumn("lnq", F.ln("q")))
-    uni = keep("unigram", uni)
     r2 = uni.agg(F.sum(F.col("q") * F.col("lnq")).alias("M1"),
                  F.sum(F.col("q") * F.col("lnq") * F.col("lnq")).alias("M2"),
                  F.min(F.struct((-F.col("q")).alias("nq"), F.col("tok").alias("tok"))).alias("best")).first()
