@@ -56,15 +56,22 @@ class BigramModel:
     n_bigrams: int = -1
     n_contexts: int = -1
 
+    def _bound(self, max_bytes: int | None) -> int:
+        if max_bytes is not None:
+            return max_bytes
+        conf = self.bigram.sparkSession.conf.get("spark.memscan.broadcastMaxBytes", None)
+        return int(conf) if conf is not None else BROADCAST_MAX_BYTES
+
+    def fits(self, table: str, max_bytes: int | None = None) -> bool:
+        """Is one lookup table ('unigram', 'contexts', 'bigram') proven small
+        enough to broadcast?  Row counts are exact (known from the fit); the
+        bound is ``spark.memscan.broadcastMaxBytes`` (default 256 MiB)."""
+        rows = {"unigram": self.s.V + 1, "contexts": self.n_contexts, "bigram": self.n_bigrams}[table]
+        return rows >= 0 and rows * ROW_BYTES <= self._bound(max_bytes)
+
     def broadcastable(self, max_bytes: int | None = None) -> bool:
-        """True when every lookup table is proven small enough to broadcast
-        (row counts are known exactly from the fit).  The bound is the
-        session setting ``spark.memscan.broadcastMaxBytes`` (default 256 MiB)."""
-        if max_bytes is None:
-            conf = self.bigram.sparkSession.conf.get("spark.memscan.broadcastMaxBytes", None)
-            max_bytes = int(conf) if conf is not None else BROADCAST_MAX_BYTES
-        rows = max(self.n_bigrams, self.n_contexts, self.s.V + 1)
-        return self.n_bigrams >= 0 and rows * ROW_BYTES <= max_bytes
+        """True when every lookup table can be broadcast."""
+        return all(self.fits(t, max_bytes) for t in ("unigram", "contexts", "bigram"))
 
 
 def unigram_counts(train_dt: DataFrame) -> DataFrame:
@@ -157,14 +164,17 @@ def fit_bigram(spark: SparkSession, train_dt: DataFrame, store=None) -> BigramMo
 
 
 def pair_lookup(df: DataFrame, model: BigramModel, ctx: str, tok: str, prefix: str,
-                with_context: bool = True, broadcast: bool = False) -> DataFrame:
+                with_context: bool = True, broadcast: bool | None = None) -> DataFrame:
     """Attach p(tok | ctx) (and the context's moments and top-1) to each row.
 
     Three left joins -- contexts on ctx, unigram on tok, bigram on (ctx, tok).
-    With ``broadcast`` (only after ``BigramModel.broadcastable`` proved the
-    tables small) they are broadcast hash joins, which keep the row order and
-    partitioning of ``df``.  Otherwise they are shuffle joins; AQE may still
-    broadcast on runtime statistics and splits hot keys (skew join).
+    Each table is broadcast only when ``BigramModel.fits`` proved it small
+    (``broadcast=None``, the default, decides per table; True/False forces):
+    a broadcast hash join keeps the row order and partitioning of ``df``.
+    A table beyond the bound is a shuffle join; AQE may still broadcast on
+    runtime statistics and splits hot keys (skew join).  At corpus scale the
+    vocabulary-sized unigram and context tables usually stay broadcast and
+    only the bigram lookup shuffles the positions.
     """
     s = model.s
     c = model.contexts.select(
@@ -174,8 +184,11 @@ def pair_lookup(df: DataFrame, model: BigramModel, ctx: str, tok: str, prefix: s
     u = model.unigram.select(F.col("tok").alias(f"{prefix}_utok"), F.col("q").alias(f"{prefix}_uq"))
     b = model.bigram.select(F.col("ctx").alias(f"{prefix}_bctx"), F.col("tok").alias(f"{prefix}_btok"),
                             F.col("p").alias(f"{prefix}_bp"))
-    if broadcast:
-        c, u, b = F.broadcast(c), F.broadcast(u), F.broadcast(b)
+    def bc(name):
+        return model.fits(name) if broadcast is None else broadcast
+    c = F.broadcast(c) if bc("contexts") else c
+    u = F.broadcast(u) if bc("unigram") else u
+    b = F.broadcast(b) if bc("bigram") else b
     out = (df.join(c, F.col(ctx) == F.col(f"{prefix}_cctx"), "left")
            .join(u, F.col(tok) == F.col(f"{prefix}_utok"), "left")
            .join(b, (F.col(ctx) == F.col(f"{prefix}_bctx")) & (F.col(tok) == F.col(f"{prefix}_btok")), "left"))

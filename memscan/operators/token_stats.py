@@ -23,11 +23,12 @@ def token_stats(dt: DataFrame, model: BigramModel, extra: list[str] | None = Non
                 partitions: int | None = None) -> DataFrame:
     """Per-position statistics of the documents ``dt`` (doc_tokens rows).
 
-    When the model passes its broadcast size check, the compact token arrays
-    are hash-partitioned by doc_id once and all lookups are broadcast joins:
-    the position rows then never move, and the per-document windows that
-    follow reuse this partitioning (no shuffle of the position table).
-    Beyond the bound the lookups are shuffle joins under AQE.
+    When every model table passes its broadcast size check, the compact token
+    arrays are hash-partitioned by doc_id once and all lookups are broadcast
+    joins: the position rows then never move, and the per-document windows
+    that follow reuse this partitioning (no shuffle of the position table).
+    Otherwise each table is decided on its own (``pair_lookup``): typically
+    only the two bigram lookups shuffle the positions.
     """
     extra = extra or []
     bc = model.broadcastable()
@@ -35,9 +36,9 @@ def token_stats(dt: DataFrame, model: BigramModel, extra: list[str] | None = Non
         n = partitions or int(dt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dt = dt.repartition(n, "doc_id")
     p = positions(dt, extra)
-    a = pair_lookup(p, model, "x0", "x1", "o", broadcast=bc)
+    a = pair_lookup(p, model, "x0", "x1", "o")
     a = a.withColumn("xhat", F.col("o_xhat"))
-    b = pair_lookup(a, model, "xhat", "x2", "h", with_context=False, broadcast=bc)
+    b = pair_lookup(a, model, "xhat", "x2", "h", with_context=False)
     return b.select(
         "doc_id", "T", *extra, F.col("i").alias("pos"),
         F.col("x0").alias("ctx"), F.col("x1").alias("tok"), F.col("x2").alias("next_tok"),

@@ -60,3 +60,31 @@ def test_broadcast_path_keeps_one_exchange(spark):
     # one hash exchange of the token arrays by doc_id; the windows reuse it
     assert plan.count("Exchange hashpartitioning") == 1
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_mixed_path_broadcasts_small_tables(spark):
+    """Only the bigram table beyond the bound: contexts and unigram stay
+    broadcast, the two bigram lookups become shuffle joins."""
+    d = cat.docs(spark, SF001)
+    m = cat.model(spark, SF001)
+    bound = (max(m.n_contexts, m.s.V + 1) + 1) * 96
+    assert m.n_bigrams * 96 > bound
+    want = {(r["doc_id"], r["pos"]): (r["lp"], r["lp_alt"])
+            for r in ts_op.token_stats(d, m, ["label", "clen"]).collect()}
+    spark.conf.set("spark.memscan.broadcastMaxBytes", str(bound))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert m.fits("contexts") and m.fits("unigram") and not m.fits("bigram")
+        ts = ts_op.token_stats(d, m, ["label", "clen"])
+        plan = _plan(ts)
+        assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") == 4
+        got = {(r["doc_id"], r["pos"]): (r["lp"], r["lp_alt"]) for r in ts.collect()}
+        assert got == want
+    finally:
+        spark.conf.unset("spark.memscan.broadcastMaxBytes")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "64m")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
