@@ -66,9 +66,11 @@ def load_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_tokens of the documents table (label = member split)."""
+    """doc_tokens of the documents table (label = member split), written
+    partitioned by label so the training scan prunes to the member half."""
     return _memo(spark, ("docs", sf_dir), lambda: store(spark).put(
-        f"{_tag(sf_dir)}/docs", tk.doc_tokens(_spread(spark, documents_snippets(spark, sf_dir)))))
+        f"{_tag(sf_dir)}/docs", tk.doc_tokens(_spread(spark, documents_snippets(spark, sf_dir))),
+        partition_by=["label"]).select("doc_id", "label", "toks", "clen", "T"))
 
 
 def model(spark: SparkSession, sf_dir: str) -> ngram.BigramModel:
