@@ -218,6 +218,16 @@ def q_stream_score(spark, sf_dir):
     return out.filter(F.col("method") != "zlib").select("doc_id", "method", _r("score", 4))
 
 
+def q_results_csv(spark, sf_dir):
+    """The result table through the sink: CSV (header, no index) read back."""
+    from memscan.sources import write_results
+    out = f"{cat.store(spark).base}/results"
+    path = write_results(rep.result_table(cat.metrics(spark, sf_dir)), out, "org/ngram-bigram",
+                         "documents", clip_inf=False)
+    csv = spark.read.option("header", True).csv(path)
+    return csv.filter(F.col("method") != "zlib").select("method", "auroc", "fpr95", "tpr05")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "clean_text": q_clean_text,
@@ -252,6 +262,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lm_token_stats": q_lm_token_stats,
         "lm_scores": q_lm_scores,
         "stream_score": q_stream_score,
+        "results_csv": q_results_csv,
     }
 
 
@@ -344,6 +355,10 @@ def oracle_sql() -> dict[str, str]:
     out["score_parity_clipped"] = parity_sql
     out["general_path_scores"] = _scores_sel("method <> 'zlib'")
     out["stream_score"] = _scores_sel("method <> 'zlib'")
+    out["results_csv"] = (sql.chain() + "," + sql.metrics_cte("scores") +
+                          "\nSELECT method, printf('%.1f%%', auroc * 100) AS auroc,"
+                          " printf('%.1f%%', fpr95 * 100) AS fpr95, printf('%.1f%%', tpr05 * 100) AS tpr05"
+                          " FROM metrics WHERE method <> 'zlib'")
     toy = lm.ToyModel(7)
     out["lm_scores"] = sql.lm_scores_sql(toy.A.tolist(), toy.B.tolist())
     out["lm_token_stats"] = (sql.chain(upto="docs") + "," + sql.lm_toy_cte(toy.A.tolist(), toy.B.tolist()) +
