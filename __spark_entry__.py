@@ -7,8 +7,12 @@ same column names for each query that SQL can express.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +44,7 @@ def method_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entry(spark: SparkSession) -> DataFrame:
     """All 122 scores of sf0.001 documents evaluated by AUROC / FPR95 / TPR05."""
+    cat.store(spark)        # session settings and the package for Python workers
     return method_metrics(spark, FLAGSHIP_DIR)
 
 

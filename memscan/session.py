@@ -38,8 +38,34 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``memscan`` importable in Python workers (pandas UDF,
+    mapInPandas) by adding a zip of the package with ``addPyFile``, once per
+    application.  The zip is built on the driver; Spark distributes it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="memscan-pkg-"), "memscan.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(zpath)
+    _shipped.add(app)
+
+
 def tune(spark: SparkSession) -> None:
     """Runtime settings the plans rely on (safe to call on any session)."""
+    ship_package(spark)
     conf = spark.conf
     # AQE: runtime join re-planning (broadcast only when the shuffle statistics
     # prove the side small), partition coalescing and skew-join splitting.
