@@ -20,6 +20,7 @@ from ..constants import (LOOK_AHEADS, MIN_LOG_PROB, MIN_SD, MIN_VARIANCE, RATIO_
                          RATIOS, Z_CLIP, ratio_name)
 from ..functions.numeric import (clamp, clamp_min, dlit, finite_or, is_finite, k_of,
                                  nan_to_num, safe_div, safe_sqrt)
+from ..session import checkpoint_root
 
 NAN = float("nan")
 
@@ -77,8 +78,10 @@ def infill_terms(df: DataFrame, clip_inf: bool, has_future: Column) -> DataFrame
 
 def position_values(ts: DataFrame, clip_inf: bool = False) -> DataFrame:
     """Add lp_m (min-k), z (min-k++), r0 / r1 (infill ratios) and the loss."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    wall = Window.partitionBy("doc_id")
+    # T is constant per document: partitioning by (doc_id, T) groups exactly
+    # as by doc_id, and lets filters on T reach the document scan
+    w = Window.partitionBy("doc_id", "T").orderBy("pos")
+    wall = Window.partitionBy("doc_id", "T")
     v = ts.withColumns({"lp_next": F.lead("lp").over(w), "mu_next": F.lead("mu").over(w),
                         "var_next": F.lead("var").over(w), "loss": F.avg("lp").over(wall)})
     if clip_inf:
@@ -101,32 +104,87 @@ def _names(prefix: str) -> Column:
     return F.array(*[F.lit(f"{prefix}{ratio_name(r)}") for r in RATIOS])
 
 
-def smallest_k_mean(values: DataFrame, key: list[str], n_col: str = "n") -> DataFrame:
-    """Mean of the k = int(n * r) smallest values of each group, for all ten
-    ratios from one sort: rows (key..., r_ix, kmean).  NaN sorts last and
-    -inf first, as in an ascending array sort.  Groups with k = 0 for a ratio
-    give no row for it (the caller decides the default)."""
-    order = Window.partitionBy(*key).orderBy("v")
-    w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+SPLIT_ROWS = 4_000_000     # groups with more values are range-split
+MAX_SPLIT_RANGES = 1024
+
+
+def _hits(df: DataFrame, n_col: str) -> DataFrame:
+    """Keep the rows whose rank equals some k = int(n * r); one row per hit."""
     n, rn = F.col(n_col), F.col("rn")
     ks = [k_of(n, dlit(r)) for r in RATIOS]
     hit_any = ks[0] == rn
     for k in ks[1:]:
         hit_any = hit_any | (k == rn)
-    s = (values.withColumn("rn", F.row_number().over(order))
-         .withColumn("cs", F.sum("v").over(w))
-         .filter(hit_any))          # about ten rows per group survive
     hits = F.array_compact(F.array(*[F.when(k == rn, F.lit(j)) for j, k in enumerate(ks)]))
-    return (s.withColumn("r_ix", F.explode(hits))
+    return (df.filter(hit_any)                  # about ten rows per group survive
+            .withColumn("r_ix", F.explode(hits))
             .withColumn("kmean", F.col("cs") / F.col("rn").cast("double")))
 
 
+def _kmean_window(values: DataFrame, key: list[str], n_col: str) -> DataFrame:
+    order = Window.partitionBy(*key).orderBy("v")
+    w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = values.withColumns({"rn": F.row_number().over(order), "cs": F.sum("v").over(w)})
+    return _hits(s, n_col)
+
+
+def _kmean_ranges(values: DataFrame, key: list[str], n_col: str, split_rows: int) -> DataFrame:
+    """The same ranks and running sums for very large groups without putting
+    a group into one task: each group's value axis is cut into ranges at
+    approximate quantiles (big groups x ranges cut points, checkpointed so a
+    retry sees the same cuts), each range computes local running sums, and
+    offsets come from a window over the small (group, range) summary."""
+    spark = values.sparkSession
+    biggest = values.agg(F.max(n_col)).first()[0]
+    if biggest is None:
+        empty = values.filter(F.lit(False))      # folded to an empty relation
+        return _hits(empty.withColumns({"rn": F.lit(1), "cs": dlit(0.0)}), n_col)
+    b = min(MAX_SPLIT_RANGES, max(2, -(-int(biggest) // split_rows)))
+    probs = F.array(*[dlit(j / b) for j in range(1, b)])
+    cuts = (values.filter(~F.isnan("v")).groupBy(*key)
+            .agg(F.percentile_approx("v", probs, 10000).alias("cuts")))
+    checkpoint_root(spark)
+    cuts = cuts.checkpoint(eager=True)        # groups with > split_rows values only: bounded
+    ranged = (values.join(F.broadcast(cuts), key, "left")
+              .withColumn("rng", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("v"))), F.lit(0)))
+              .drop("cuts"))
+    summ = ranged.groupBy(*key, "rng").agg(F.count(F.lit(1)).alias("r_cnt"), F.sum("v").alias("r_sum"))
+    before = Window.partitionBy(*key).orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.select(*key, "rng", F.coalesce(F.sum("r_cnt").over(before), F.lit(0)).alias("off_cnt"),
+                       F.coalesce(F.sum("r_sum").over(before), dlit(0.0)).alias("off_sum"))
+    order = Window.partitionBy(*key, "rng").orderBy("v")
+    w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = (ranged.join(F.broadcast(summ), [*key, "rng"])     # big groups x ranges rows
+         .withColumns({"rn": F.col("off_cnt") + F.row_number().over(order),
+                       "cs": F.col("off_sum") + F.sum("v").over(w)})
+         .drop("rng", "off_cnt", "off_sum"))
+    return _hits(s, n_col)
+
+
+def smallest_k_mean(values: DataFrame, key: list[str], n_col: str = "n",
+                    split_rows: int | None = None) -> DataFrame:
+    """Mean of the k = int(n * r) smallest values of each group, for all ten
+    ratios from one sort: rows (key..., r_ix, kmean).  NaN sorts last and
+    -inf first, as in an ascending array sort.  Groups with k = 0 for a ratio
+    give no row for it (the caller decides the default).
+
+    Groups of at most ``split_rows`` values use one window per group (which
+    reuses a partitioning by the group key); larger groups are range-split
+    (``_kmean_ranges``).  ``n_col`` must be constant within a group, so the
+    size filter can be pushed down to where the group is produced."""
+    split_rows = SPLIT_ROWS if split_rows is None else split_rows
+    small = _kmean_window(values.filter(F.col(n_col) <= split_rows), key, n_col)
+    big = values.filter(F.col(n_col) > split_rows)
+    return small.unionByName(_kmean_ranges(big, key, n_col, split_rows))
+
+
 # value kinds, as small integer codes so the per-document sort compares
 # numbers only: 0 = lp (min-k), 1 = z (min-k++), 2 = r0 (infill L=0), 3 = r1
 K_LP, K_Z, K_R0, K_R1 = 0, 1, 2, 3
 
 
-def raw_scores(pv: DataFrame, docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
+def raw_scores(pv: DataFrame, docs: DataFrame, extra: list[str] | None = None,
+               split_rows: int | None = None) -> DataFrame:
     """Unsanitised scores (doc_id, *extra, method, score) from position values.
 
     ``docs`` has one row per document (doc_id, T, clen, *extra) and supplies
@@ -140,7 +198,7 @@ def raw_scores(pv: DataFrame, docs: DataFrame, extra: list[str] | None = None) -
     kinds = F.when(has_infill, F.array(*four)).otherwise(F.array(*two))
     long = pv.select("doc_id", "T", "clen", "loss", *extra, F.inline(kinds)).withColumn(
         "n", F.col("T") - 1)
-    ks = smallest_k_mean(long, ["doc_id", "kind"])
+    ks = smallest_k_mean(long, ["doc_id", "kind"], split_rows=split_rows)
     ridx = F.col("r_ix")
     mink = F.get(_names("mink_"), ridx)
     minkpp = F.get(_names("mink++_"), ridx)
