@@ -58,32 +58,49 @@ def infill_terms(df: DataFrame, clip_inf: bool, has_future: Column) -> DataFrame
     c = F.col
     df = df.withColumns({"_sd": sd_floor(c("var")), "_sd_next": sd_floor(c("var_next")),
                          "_sd_alt": sd_floor(c("var_alt"))})
-    df = df.withColumns({
-        "_zo": _z_infill(c("lp"), c("mu"), c("_sd"), clip_inf),
-        "_zx": _z_infill(c("lp_xhat"), c("mu"), c("_sd"), clip_inf),
-        "_za": _z_infill(c("lp_next"), c("mu_next"), c("_sd_next"), clip_inf),
-        "_zb": _z_infill(c("lp_alt"), c("mu_alt"), c("_sd_alt"), clip_inf)})
     if clip_inf:
+        # clamp each input once, as its own column, then z, then clamp z:
+        # no clamp is ever expanded inside another (keeps codegen small)
+        lo = MIN_LOG_PROB
+        df = df.withColumns({"_lp": clamp_min(c("lp"), lo), "_mu": clamp_min(c("mu"), lo),
+                             "_lpx": clamp_min(c("lp_xhat"), lo), "_lpn": clamp_min(c("lp_next"), lo),
+                             "_mun": clamp_min(c("mu_next"), lo), "_lpa": clamp_min(c("lp_alt"), lo),
+                             "_mua": clamp_min(c("mu_alt"), lo)})
+        df = df.withColumns({"_zo0": (c("_lp") - c("_mu")) / c("_sd"), "_zx0": (c("_lpx") - c("_mu")) / c("_sd"),
+                             "_za0": (c("_lpn") - c("_mun")) / c("_sd_next"),
+                             "_zb0": (c("_lpa") - c("_mua")) / c("_sd_alt")})
+        df = df.withColumns({"_zo": clamp(c("_zo0"), *Z_CLIP), "_zx": clamp(c("_zx0"), *Z_CLIP),
+                             "_za": clamp(c("_za0"), *Z_CLIP), "_zb": clamp(c("_zb0"), *Z_CLIP)})
         df = df.withColumns({"_base": c("_zo") - c("_zx"),
                              "_term": F.when(has_future, c("_za") - c("_zb")).otherwise(dlit(0.0))})
-        df = df.withColumns({"r0": clamp(c("_base"), *RATIO_CLIP), "_r1": c("_base") + c("_term")})
-        df = df.withColumn("r1", clamp(c("_r1"), *RATIO_CLIP))
+        df = df.withColumn("_r1", c("_base") + c("_term"))
+        df = df.withColumns({"r0": clamp(c("_base"), *RATIO_CLIP), "r1": clamp(c("_r1"), *RATIO_CLIP)})
+        tmp = ["_lp", "_mu", "_lpx", "_lpn", "_mun", "_lpa", "_mua", "_zo0", "_zx0", "_za0", "_zb0", "_r1"]
     else:
+        df = df.withColumns({
+            "_zo": _z_infill(c("lp"), c("mu"), c("_sd"), False),
+            "_zx": _z_infill(c("lp_xhat"), c("mu"), c("_sd"), False),
+            "_za": _z_infill(c("lp_next"), c("mu_next"), c("_sd_next"), False),
+            "_zb": _z_infill(c("lp_alt"), c("mu_alt"), c("_sd_alt"), False)})
         ok = has_future & is_finite(c("_za")) & is_finite(c("_zb"))
         df = df.withColumns({"_base": c("_zo") - c("_zx"),
                              "_term": F.when(ok, c("_za") - c("_zb")).otherwise(dlit(0.0))})
         df = df.withColumns({"r0": c("_base"), "r1": c("_base") + c("_term")})
-    return df.drop("_sd", "_sd_next", "_sd_alt", "_zo", "_zx", "_za", "_zb", "_base", "_term", "_r1")
+        tmp = []
+    return df.drop("_sd", "_sd_next", "_sd_alt", "_zo", "_zx", "_za", "_zb", "_base", "_term", *tmp)
 
 
 def position_values(ts: DataFrame, clip_inf: bool = False) -> DataFrame:
-    """Add lp_m (min-k), z (min-k++), r0 / r1 (infill ratios) and the loss."""
-    # T is constant per document: partitioning by (doc_id, T) groups exactly
-    # as by doc_id, and lets filters on T reach the document scan
-    w = Window.partitionBy("doc_id", "T").orderBy("pos")
-    wall = Window.partitionBy("doc_id", "T")
-    v = ts.withColumns({"lp_next": F.lead("lp").over(w), "mu_next": F.lead("mu").over(w),
-                        "var_next": F.lead("var").over(w), "loss": F.avg("lp").over(wall)})
+    """Add lp_m (min-k), z (min-k++) and r0 / r1 (infill ratios).  When
+    token_stats carries the next position's statistics this is a plain
+    projection; otherwise they come from a lead over the document's
+    positions (T is constant per document: partitioning by (doc_id, T) groups
+    as by doc_id and lets filters on T reach the document scan)."""
+    v = ts
+    if "lp_next" not in ts.columns:
+        w = Window.partitionBy("doc_id", "T").orderBy("pos")
+        v = v.withColumns({"lp_next": F.lead("lp").over(w), "mu_next": F.lead("mu").over(w),
+                           "var_next": F.lead("var").over(w)})
     if clip_inf:
         v = v.withColumns({"lp_m": clamp_min(F.col("lp"), MIN_LOG_PROB),
                            "_mu_c": clamp_min(F.col("mu"), MIN_LOG_PROB),
@@ -124,8 +141,10 @@ def _hits(df: DataFrame, n_col: str) -> DataFrame:
 def _kmean_window(values: DataFrame, key: list[str], n_col: str) -> DataFrame:
     order = Window.partitionBy(*key).orderBy("v")
     w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = values.withColumns({"rn": F.row_number().over(order), "cs": F.sum("v").over(w)})
-    return _hits(s, n_col)
+    cols = {"rn": F.row_number().over(order), "cs": F.sum("v").over(w)}
+    if "raw" in values.columns:     # whole-group total of raw, same window operator
+        cols["tot"] = F.sum("raw").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return _hits(values.withColumns(cols), n_col)
 
 
 def _kmean_ranges(values: DataFrame, key: list[str], n_col: str, split_rows: int) -> DataFrame:
@@ -138,7 +157,10 @@ def _kmean_ranges(values: DataFrame, key: list[str], n_col: str, split_rows: int
     biggest = values.agg(F.max(n_col)).first()[0]
     if biggest is None:
         empty = values.filter(F.lit(False))      # folded to an empty relation
-        return _hits(empty.withColumns({"rn": F.lit(1), "cs": dlit(0.0)}), n_col)
+        cols = {"rn": F.lit(1), "cs": dlit(0.0)}
+        if "raw" in values.columns:
+            cols["tot"] = dlit(0.0)
+        return _hits(empty.withColumns(cols), n_col)
     b = min(MAX_SPLIT_RANGES, max(2, -(-int(biggest) // split_rows)))
     probs = F.array(*[dlit(j / b) for j in range(1, b)])
     cuts = (values.filter(~F.isnan("v")).groupBy(*key)
@@ -148,10 +170,15 @@ def _kmean_ranges(values: DataFrame, key: list[str], n_col: str, split_rows: int
     ranged = (values.join(F.broadcast(cuts), key, "left")
               .withColumn("rng", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("v"))), F.lit(0)))
               .drop("cuts"))
-    summ = ranged.groupBy(*key, "rng").agg(F.count(F.lit(1)).alias("r_cnt"), F.sum("v").alias("r_sum"))
+    has_raw = "raw" in values.columns
+    aggs = [F.count(F.lit(1)).alias("r_cnt"), F.sum("v").alias("r_sum")]
+    if has_raw:
+        aggs.append(F.sum("raw").alias("r_raw"))
+    summ = ranged.groupBy(*key, "rng").agg(*aggs)
     before = Window.partitionBy(*key).orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
+    extra = [F.sum("r_raw").over(Window.partitionBy(*key)).alias("tot")] if has_raw else []
     summ = summ.select(*key, "rng", F.coalesce(F.sum("r_cnt").over(before), F.lit(0)).alias("off_cnt"),
-                       F.coalesce(F.sum("r_sum").over(before), dlit(0.0)).alias("off_sum"))
+                       F.coalesce(F.sum("r_sum").over(before), dlit(0.0)).alias("off_sum"), *extra)
     order = Window.partitionBy(*key, "rng").orderBy("v")
     w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = (ranged.join(F.broadcast(summ), [*key, "rng"])     # big groups x ranges rows
@@ -191,12 +218,13 @@ def raw_scores(pv: DataFrame, docs: DataFrame, extra: list[str] | None = None,
     the scores of empty selections (k = 0, or T < 2)."""
     extra = extra or []
     has_infill = F.col("T") >= 3
-    def kv(code, v):
-        return F.struct(F.lit(code).cast("tinyint").alias("kind"), v.alias("v"))
-    two = [kv(K_LP, F.col("lp_m")), kv(K_Z, F.col("z"))]
+    def kv(code, v, raw=None):
+        raw = raw if raw is not None else F.lit(None).cast("double")
+        return F.struct(F.lit(code).cast("tinyint").alias("kind"), v.alias("v"), raw.alias("raw"))
+    two = [kv(K_LP, F.col("lp_m"), F.col("lp")), kv(K_Z, F.col("z"))]
     four = two + [kv(K_R0, nan_to_num(F.col("r0"))), kv(K_R1, nan_to_num(F.col("r1")))]
     kinds = F.when(has_infill, F.array(*four)).otherwise(F.array(*two))
-    long = pv.select("doc_id", "T", "clen", "loss", *extra, F.inline(kinds)).withColumn(
+    long = pv.select("doc_id", "T", "clen", *extra, F.inline(kinds)).withColumn(
         "n", F.col("T") - 1)
     ks = smallest_k_mean(long, ["doc_id", "kind"], split_rows=split_rows)
     ridx = F.col("r_ix")
@@ -213,11 +241,12 @@ def raw_scores(pv: DataFrame, docs: DataFrame, extra: list[str] | None = None,
         .when(F.col("kind") == K_R0, F.array(F.struct(inf0.alias("method"), infill_val.alias("score"))))
         .otherwise(F.transform(r1_names, lambda nm: F.struct(nm.alias("method"), infill_val.alias("score"))))
     )
-    # loss and zlib ride on the row holding the whole-document mean of lp
+    # loss (mean of the raw lp) and zlib ride on the whole-document row of kind lp
     whole = (F.col("kind") == K_LP) & (F.col("rn") == F.col("n")) & (ridx == len(RATIOS) - 1)
+    loss = F.col("tot") / F.col("n").cast("double")
     extra_entries = F.when(whole, F.array(
-        F.struct(F.lit("loss").alias("method"), F.col("loss").alias("score")),
-        F.struct(F.lit("zlib").alias("method"), safe_div(F.col("loss"), F.col("clen").cast("double")).alias("score")),
+        F.struct(F.lit("loss").alias("method"), loss.alias("score")),
+        F.struct(F.lit("zlib").alias("method"), safe_div(loss, F.col("clen").cast("double")).alias("score")),
     )).otherwise(F.array().cast("array<struct<method:string,score:double>>"))
     per_pos = ks.select("doc_id", *extra, F.inline(F.concat(entries, extra_entries)))
     return per_pos.unionByName(empty_selection_scores(docs, extra))

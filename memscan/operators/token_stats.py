@@ -5,6 +5,9 @@ One row per scored position i of a document (predicting token i+1):
   lp_alt, mu_alt, var_alt         statistics at i+1 of the alternative
                                   sequence whose tok[i+1] is xhat: context
                                   xhat, predicted token tok[i+2]
+  lp_next, mu_next, var_next      statistics at i+1 of the original sequence
+                                  (context tok[i+1], token tok[i+2]); present
+                                  when the bigram table is broadcast
 Under a bigram model replacing tok[i+1] changes the statistics at position
 i+1 only, so these columns are the whole alternative (context-local
 alternatives; every other future term cancels exactly).
@@ -39,10 +42,20 @@ def token_stats(dt: DataFrame, model: BigramModel, extra: list[str] | None = Non
     a = pair_lookup(p, model, "x0", "x1", "o")
     a = a.withColumn("xhat", F.col("o_xhat"))
     b = pair_lookup(a, model, "xhat", "x2", "h", with_context=False)
+    # statistics of the next position (context x1, token x2).  With a
+    # broadcast bigram table this is one more in-memory lookup and no
+    # per-document sort is needed before the scores; otherwise it would be a
+    # third shuffle of the positions, so the scores take it with a lead window
+    # over the doc_id shuffle they need anyway.
+    nxt = model.fits("bigram")
+    if nxt:
+        b = pair_lookup(b, model, "x1", "x2", "n", with_context=False)
     return b.select(
         "doc_id", "T", *extra, F.col("i").alias("pos"),
         F.col("x0").alias("ctx"), F.col("x1").alias("tok"), F.col("x2").alias("next_tok"),
         F.col("o_lp").alias("lp"), F.col("o_mu").alias("mu"), F.col("o_var").alias("var"),
         "xhat", F.col("o_lpx").alias("lp_xhat"),
         F.col("h_lp").alias("lp_alt"), F.col("h_mu").alias("mu_alt"), F.col("h_var").alias("var_alt"),
+        *([F.col("n_lp").alias("lp_next"), F.col("n_mu").alias("mu_next"), F.col("n_var").alias("var_next")]
+          if nxt else []),
     )
