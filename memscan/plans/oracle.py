@@ -117,7 +117,7 @@ top AS (SELECT tok AS top1, q AS q_top1 FROM uni2 ORDER BY q DESC, tok LIMIT 1),
 scal AS (SELECT sc1.*, sc2.*, top.*, sc1.lam0 / (sc1.V + 1) AS q_unk, sc2.M2 - sc2.M1 * sc2.M1 AS var_u
          FROM sc1, sc2, top),
 b0 AS (SELECT x0 AS ctx, x1 AS tok, count(*) AS cnt FROM tpos GROUP BY x0, x1),
-c0 AS (SELECT ctx, sum(cnt) AS n_c, count(*) AS d_c FROM b0 GROUP BY ctx),
+c0 AS (SELECT ctx, CAST(sum(cnt) AS BIGINT) AS n_c, count(*) AS d_c FROM b0 GROUP BY ctx),
 big AS (SELECT b0.ctx, b0.tok, b0.cnt, c0.n_c, c0.d_c,
                CAST(c0.d_c AS DOUBLE) / CAST(c0.n_c + c0.d_c AS DOUBLE) AS lam, u.q, u.lnq
         FROM b0 JOIN c0 ON b0.ctx = c0.ctx JOIN uni2 u ON u.tok = b0.tok),
