@@ -2,13 +2,14 @@
 
 All 122 scores of a document come out of one plan:
 
-  token_stats --(window by doc: lead)--> per-position values
+  token_stats --(projection; next position by lookup, or a lead window
+                 when the bigram table is not broadcast)--> per-position values
               --(explode kinds, window by doc+kind sorted by value)-->
               running sums --(ratios whose k equals the row number)--> scores
 
-Both windows share the same hash partitioning by doc_id, so the second adds
-a sort but no shuffle.  A document's rows are bounded by the tokens of its one
-text cell, which a single task already held when it was read.
+The order-statistics window reuses the hash partitioning by doc_id of the
+positions (a sort, no shuffle).  Documents with more than SPLIT_ROWS values
+per kind are range-split instead of sorted in one task.
 """
 
 from __future__ import annotations
