@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..constants import UNK
 from ..functions.numeric import dlit
-from .tokens import positions, tokens
+from .tokens import positions, token_pairs, tokens
 
 
 @dataclass
@@ -102,7 +102,17 @@ def fit_bigram(spark: SparkSession, train_dt: DataFrame, store=None) -> BigramMo
     def keep(name, df):
         return store.put(name, df) if store is not None else df
 
-    uc = keep("unigram_counts", unigram_counts(train_dt))
+    # one pass over the corpus: counts of (token, successor), successor NULL
+    # after a document's last token; from these distinct pairs one small
+    # aggregation gives unigram counts (all pairs) and context counts
+    # (pairs with a successor) together
+    pairs = keep("pair_counts", token_pairs(train_dt).groupBy(F.col("x0").alias("ctx"), F.col("x1").alias("tok"))
+                 .agg(F.count(F.lit(1)).alias("cnt")))
+    per_tok = keep("token_counts", pairs.groupBy("ctx").agg(
+        F.sum("cnt").alias("cnt"),
+        F.sum(F.when(F.col("tok").isNotNull(), F.col("cnt"))).alias("n_c"),
+        F.count("tok").alias("d_c")))
+    uc = per_tok.select(F.col("ctx").alias("tok"), "cnt")
     row = uc.agg(F.sum("cnt").alias("N"), F.count(F.lit(1)).alias("V")).first()
     N, V = int(row["N"] or 0), int(row["V"] or 0)
     if N == 0:
@@ -121,8 +131,8 @@ def fit_bigram(spark: SparkSession, train_dt: DataFrame, store=None) -> BigramMo
     s = Scalars(N=N, V=V, lam0=lam0, q_unk=q_unk, M1=float(r2["M1"]), M2=float(r2["M2"]),
                 top1=r2["best"][1], q_top1=-float(r2["best"][0]))
 
-    b0 = bigram_counts(train_dt)      # used twice below; one plan, the exchange is reused
-    c0 = (b0.groupBy("ctx").agg(F.sum("cnt").alias("n_c"), F.count(F.lit(1)).alias("d_c"))
+    b0 = pairs.filter(F.col("tok").isNotNull())
+    c0 = (per_tok.filter(F.col("d_c") > 0).select("ctx", "n_c", "d_c")
           .withColumn("lam", F.col("d_c").cast("double") / (F.col("n_c") + F.col("d_c")).cast("double")))
     u = uni.select("tok", "q", "lnq")
     big = (b0.join(c0, "ctx").join(u, "tok")

@@ -39,3 +39,12 @@ def positions(dt: DataFrame, extra: list[str] | None = None) -> DataFrame:
             .select("doc_id", "T", *extra, F.col("i").cast("int").alias("i"), "x0",
                     F.get("toks", F.col("i") + 1).alias("x1"),
                     F.get("toks", F.col("i") + 2).alias("x2")))
+
+
+def token_pairs(dt: DataFrame) -> DataFrame:
+    """Every token with its successor: (doc_id, i, x0, x1), x1 NULL after the
+    last token.  One pass over the corpus serves both the unigram counts (all
+    x0) and the bigram counts (x1 not NULL)."""
+    return (dt.select("doc_id", "toks", F.posexplode("toks").alias("i", "x0"))
+            .select("doc_id", F.col("i").cast("int").alias("i"), "x0",
+                    F.get("toks", F.col("i") + 1).alias("x1")))
