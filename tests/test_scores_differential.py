@@ -99,3 +99,17 @@ def test_range_split_order_statistics_match(spark):
         for k, v in a.items():
             w = b[k]
             assert (v != v and w != w) or v == pytest.approx(w, rel=1e-9, abs=1e-12), k
+
+
+def test_mink_non_decreasing_in_ratio(spark):
+    """The mean of the k smallest values cannot decrease as k grows."""
+    from memscan.constants import RATIOS, ratio_name
+    s = cat.scores(spark, SF001)
+    d = cat.docs(spark, SF001).filter(F.col("T") >= 11).select("doc_id")   # k >= 1 for every ratio
+    for fam in ("mink_", "mink++_", "infill_0_", "infill_1_"):
+        names = [f"{fam}{ratio_name(r)}" for r in RATIOS]
+        wide = (s.join(d, "doc_id").filter(F.col("method").isin(names))
+                .groupBy("doc_id").pivot("method", names).agg(F.first("score")))
+        for r in wide.collect():
+            vals = [r[n] for n in names]
+            assert all(b >= a - 1e-9 * max(1.0, abs(a)) for a, b in zip(vals, vals[1:])), (fam, r["doc_id"])
