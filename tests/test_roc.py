@@ -74,3 +74,15 @@ def test_guard_for_methods_without_rows(spark):
     assert len(rows) == 122
     assert rows["loss"]["auroc"] == 1.0
     assert (rows["zlib"]["auroc"], rows["zlib"]["fpr95"], rows["zlib"]["tpr05"]) == (0.0, 1.0, 0.0)
+
+
+def test_ranges_equal_single_range_on_real_scores(spark):
+    from memscan.plans import catalog as cat
+
+    from .conftest import SF001
+    s = cat.scores(spark, SF001)
+    one = {r["method"]: (r["auroc"], r["fpr95"], r["tpr05"]) for r in roc.evaluate_methods(s, n_ranges=1).collect()}
+    many = {r["method"]: (r["auroc"], r["fpr95"], r["tpr05"]) for r in roc.evaluate_methods(s, n_ranges=6).collect()}
+    assert one.keys() == many.keys() and len(one) == 122
+    for m, v in one.items():
+        assert many[m] == pytest.approx(v, abs=1e-12), m
