@@ -7,6 +7,7 @@ same column names for each query that SQL can express.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -31,6 +32,16 @@ from memscan.sources import documents_snippets, table
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
 
+def _llm():
+    """The training-data operators' queries; None where that subpackage is
+    not installed.  Errors inside an installed one are not swallowed."""
+    spec = importlib.util.find_spec("memscan.llm")
+    if spec is None or spec.origin is None:
+        return None
+    from memscan.llm import queries as llm_queries
+    return llm_queries
+
+
 def _r(c, n):
     return F.round(F.col(c), n).alias(c)
 
@@ -234,6 +245,11 @@ def q_results_csv(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    llm = _llm()
+    return _own_queries() | (llm.queries() if llm else {})
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "clean_text": q_clean_text,
         "token_counts": q_token_counts,
@@ -281,6 +297,11 @@ def _metrics_sql(scores_src: str, label: str = "label", clip: bool = False) -> s
 
 
 def oracle_sql() -> dict[str, str]:
+    llm = _llm()
+    return _own_oracle_sql() | (llm.oracle_sql() if llm else {})
+
+
+def _own_oracle_sql() -> dict[str, str]:
     ws = ("'[\\t\\n\\x0b\\x0c\\r\\x1c-\\x1f \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
           "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'")
     clean = "trim(regexp_replace(regexp_replace(text, '[^().,a-zA-Z ]', '', 'g'), ' +', ' ', 'g'))"
