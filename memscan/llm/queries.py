@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memscan.llm import common
+from memscan.llm import bpe, common, packing
 from memscan.llm.quality import quality
 
 
@@ -14,6 +14,23 @@ def _documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*cols)
 
 
+def vocabulary_file(name: str) -> str:
+    """Path of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every whole text and decode it again."""
+    return bpe.round_trip_digests(_documents(spark, sf_dir, "doc_id", "text"), vocabulary_file("byte_bpe_50k.json"))
+
+
+def op4_pack_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.pack_documents(_documents(spark, sf_dir, "doc_id", "text"), vocabulary_file("word_bpe_49k.json"))
+
+
 def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over every whole text: base counts, distances, verdict."""
     d = _documents(spark, sf_dir, "doc_id", "text", "lang")
@@ -24,6 +41,8 @@ def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op4_pack_histogram": op4_pack_histogram,
         "op8_quality_divergence": op8_quality_divergence,
     }
 
