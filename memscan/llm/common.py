@@ -100,15 +100,15 @@ def powers(n: int) -> np.ndarray:
     return _pow[:n]
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end of each word ([^\\x20\\x09-\\x0D]+, never across rows) and
-    the number of words of each row."""
+def word_spans(buf: np.ndarray, off: np.ndarray, separator: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end of each word (run of bytes that are no separator, by default
+    [^\\x20\\x09-\\x0D]+; never across rows) and the number of words of each row."""
     n = len(buf)
     rows = len(off) - 1
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(rows, np.int64)
-    word = ~SPACE[buf]
+    word = ~separator[buf]
     before = np.empty(n, bool)
     before[0] = True
     np.logical_not(word[:-1], out=before[1:])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memscan.llm import bpe, common, packing
+from memscan.llm import bpe, common, langid, license, packing
 from memscan.llm.quality import quality
 
 
@@ -26,11 +26,22 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_documents(spark, sf_dir, "doc_id", "text"), vocabulary_file("byte_bpe_50k.json"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every whole text."""
+    return license.scan(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op4_pack_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return packing.pack_documents(_documents(spark, sf_dir, "doc_id", "text"), vocabulary_file("word_bpe_49k.json"))
 
 
+def op7_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from two thirds of the rows."""
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    return langid.identify(_documents(spark, sf_dir, "doc_id", "text", "lang"), part != 1, part == 1)
+
+
 def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over every whole text: base counts, distances, verdict."""
     d = _documents(spark, sf_dir, "doc_id", "text", "lang")
@@ -42,7 +53,9 @@ def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op3_license_scan": op3_license_scan,
         "op4_pack_histogram": op4_pack_histogram,
+        "op7_language_kernel": op7_language_kernel,
         "op8_quality_divergence": op8_quality_divergence,
     }
 
