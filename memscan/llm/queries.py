@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memscan.llm import bpe, common, langid, license, packing
+from memscan.llm import bpe, common, langid, license, neardup, packing
 from memscan.llm.quality import quality
 
 
@@ -50,6 +50,11 @@ def op8_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "base_failed", "kept", "class_distance", "common_distance")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return neardup.near_duplicates(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def queries() -> dict:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
@@ -57,6 +62,7 @@ def queries() -> dict:
         "op4_pack_histogram": op4_pack_histogram,
         "op7_language_kernel": op7_language_kernel,
         "op8_quality_divergence": op8_quality_divergence,
+        "op9_near_duplicates": op9_near_duplicates,
     }
 
 
