@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memscan.llm import bpe, common, langid, license, neardup, packing
+from memscan.llm import bpe, common, langid, license, neardup, packing, repeats
 from memscan.llm.quality import quality
 
 
@@ -55,6 +55,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op10_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 100-byte strings that start earlier."""
+    return repeats.without_repeats(_documents(spark, sf_dir, "doc_id", "text")).drop("kept")
+
+
 def queries() -> dict:
     return {
         "op1_bpe_round_trip": op1_bpe_round_trip,
@@ -63,6 +68,7 @@ def queries() -> dict:
         "op7_language_kernel": op7_language_kernel,
         "op8_quality_divergence": op8_quality_divergence,
         "op9_near_duplicates": op9_near_duplicates,
+        "op10_maximal_repeats": op10_maximal_repeats,
     }
 
 
