@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memscan.llm import bpe, common, langid, license, neardup, packing, repeats, vectors
+from memscan.llm import bpe, common, katz, langid, license, neardup, packing, repeats, vectors
 from memscan.llm.quality import quality
 
 
@@ -36,6 +36,12 @@ def op4_pack_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir, "doc_id", "text"), vocabulary_file("word_bpe_49k.json"))
 
 
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz backoff scores of every whole text, learned from six sevenths."""
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7
+    return katz.katz_scores(_documents(spark, sf_dir, "doc_id", "text"), part == 2)
+
+
 def op6_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at cosine 0.95."""
     common.prepare(spark)
@@ -71,6 +77,7 @@ def queries() -> dict:
         "op1_bpe_round_trip": op1_bpe_round_trip,
         "op3_license_scan": op3_license_scan,
         "op4_pack_histogram": op4_pack_histogram,
+        "op5_katz_backoff": op5_katz_backoff,
         "op6_pivot_permutation": op6_pivot_permutation,
         "op7_language_kernel": op7_language_kernel,
         "op8_quality_divergence": op8_quality_divergence,
