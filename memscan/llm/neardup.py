@@ -12,8 +12,8 @@ sets; components are found by distributed contraction.
 
 Edge cases: null, empty and blank texts have an empty set and link with
 nothing; a null doc_id is left out of links; rows that repeat a doc_id count
-as one document (its set is that of the row with the least set hash); an empty
-table gives an empty result; extra columns are not read."""
+as one document that has the links of all its texts (near ones only of the
+least text); an empty table gives an empty result; extra columns are not read."""
 
 from __future__ import annotations
 
@@ -94,24 +94,23 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     common.prepare(docs.sparkSession)
     sig = stage(signatures(docs), "sig")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
+    def texts_of(ids: DataFrame) -> DataFrame:
+        d = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "leftsemi")
+        return d.groupBy("id").agg(F.min("text").alias("text")) if repeated else d
+
+    def to_sets(texts: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in common.chunks(batches, "text", 2 << 20):
-                h, n = distinct_sets(*common.text_buffer(b.column("text")))
-                off = np.append(0, np.cumsum(n)) * 8
-                data = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(off), pa.py_buffer(h)])
-                yield pa.RecordBatch.from_arrays([b.column("id"), data.cast(pa.binary())], ["id", "elements"])
+                yield setjoin.set_batch(b.column("id"), *distinct_sets(*common.text_buffer(b.column("text"))))
 
-        d = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "leftsemi")
-        return d.mapInArrow(run, "id long, elements binary").groupBy("id").agg(F.min("elements").alias("elements")) \
-            if repeated else d.mapInArrow(run, "id long, elements binary")
+        return texts.select("id", "text").mapInArrow(run, "id long, elements binary")
 
     full = sig.filter("n > 0 and id is not null")
     classes = stage(full.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
     repeated = full.groupBy("id").count().filter("count > 1").limit(1).count() > 0
     reps = full.join(classes.select(F.col("rep").alias("id"), "n", "f1", "f2"), ["id", "n", "f1", "f2"], "leftsemi")
     reps = stage((reps.dropDuplicates(["id"]) if repeated else reps).select("id", "keys", "brief"), "reps")
-    comp = setjoin.links(reps, sets_of, percent)
+    comp = setjoin.links(reps, texts_of, to_sets, percent)
     if repeated:     # one id with several sets ties their classes together
         tie = full.join(classes, ["n", "f1", "f2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
         comp = common.components(tie.unionAll(comp.select("id", "component")), "tie")
@@ -121,3 +120,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
                       F.coalesce("component_id", "id").alias("component_id"),
                       F.coalesce(F.coalesce("component_id", "id") == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id (any
+    one row where rows repeat it); rows without a doc_id stay."""
+    cols = docs.columns
+    gone = near_duplicates(docs.select("doc_id", "text"), percent).filter("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col("_id"), "leftanti")
+    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    if again:
+        left = left.filter("doc_id is null").unionAll(left.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    return left.select(*cols)

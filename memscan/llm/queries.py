@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memscan.llm import bpe, common, katz, langid, license, neardup, packing, repeats, vectors
+from memscan.llm import bpe, common, katz, langid, license, linededup, neardup, packing, repeats, vectors
 from memscan.llm.quality import quality
 
 
@@ -26,6 +26,12 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(_documents(spark, sf_dir, "doc_id", "text"), vocabulary_file("byte_bpe_50k.json"))
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document with the line kept for its component."""
+    c = linededup.line_classes(_documents(spark, sf_dir, "doc_id", "text"))
+    return c.select("doc_id", "line_no", "n_chars", "rep_doc_id", "rep_line_no", "kept")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in every whole text."""
     return license.scan(_documents(spark, sf_dir, "doc_id", "text"))
@@ -72,9 +78,18 @@ def op10_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(_documents(spark, sf_dir, "doc_id", "text")).drop("kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline (corpus_pipeline.py) over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": pipeline,
         "op1_bpe_round_trip": op1_bpe_round_trip,
+        "op2_fuzzy_lines": op2_fuzzy_lines,
         "op3_license_scan": op3_license_scan,
         "op4_pack_histogram": op4_pack_histogram,
         "op5_katz_backoff": op5_katz_backoff,

@@ -341,6 +341,7 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = max(1, int(size // 35 // FLUSH) + 1, min(common.slots(docs.sparkSession), int(size // (4 << 20)) + 1))
     found = stage(repeated_blocks(docs, parts), "blocks")
+    common.release(docs.sparkSession)
     open_ = (found.filter("kind <> 'whole'")
              .groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "start", "windows")).alias("b")))
 
@@ -365,6 +366,7 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     pieces = stage(docs.join(open_, "doc").mapInArrow(
         cut, "key long, doc long, start long, bytes binary, h1 binary, h2 binary"), "pieces")
+    common.release(docs.sparkSession)
     variants = pieces.filter("bytes is not null")
     buckets = max(1, variants.count() // 10_000 + 1)
     groups = (variants.select(F.pmod("key", F.lit(buckets)).alias("bucket"), "key", "doc", "start", "bytes")
@@ -411,34 +413,46 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """Every row of (doc_id, text) with n_bytes, n_removed, n_spans, ``kept``
-    (binary, the remaining bytes) and kept_sha256."""
+def _with_spans(docs: DataFrame) -> DataFrame:
+    """``docs`` (text not null) with ``_s`` and ``_e``: starts and ends of removable spans."""
     common.prepare(docs.sparkSession)
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    cols = docs.columns
+    d = docs.withColumn("text", F.coalesce("text", F.lit("")))
     odd = d.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count() > 0
     if odd:
         d = stage(d.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-                  .withColumn("doc", F.monotonically_increasing_id()), "numbered")
+                  .withColumn("_doc", F.monotonically_increasing_id()), "numbered")
     else:
-        d = d.withColumn("doc", F.col("doc_id"))
-    # equal spans of a document first fall together (windows of hot anchors)
-    spans = (stage(removable(d.select("doc", "text")), "spans").groupBy("doc")
-             .agg(F.collect_list("start").alias("s"), F.collect_list("end").alias("e")))
+        d = d.withColumn("_doc", F.col("doc_id").cast("long"))
+    spans = stage(removable(d.select(F.col("_doc").alias("doc"), "text")), "spans")
+    common.release(docs.sparkSession)
+    spans = spans.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("start").alias("_s"), F.collect_list("end").alias("_e"))
+    return d.join(spans, "_doc", "left").select(*cols, "_s", "_e")
+
+
+def _spans(b: pa.RecordBatch, r: int) -> list[tuple[int, int]]:
+    s = b.column("_s")[r]
+    return merge_spans(s.values.to_numpy(), b.column("_e")[r].values.to_numpy()) if s.is_valid else []
 
+
+def _outside(x: bytes, spans: list[tuple[int, int]]) -> bytes:
+    at, rest = 0, []
+    for i, j in spans:
+        rest.append(x[at:i])
+        at = j
+    return b"".join([*rest, x[at:]])
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """Every row of (doc_id, text) with n_bytes, n_removed, n_spans, ``kept``
+    (binary, the remaining bytes) and kept_sha256."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches, "text"):
             buf, off = common.text_buffer(b.column("text"))
             n, gone, runs, kept, sha = [], [], [], [], []
             for r in range(b.num_rows):
-                x = buf[off[r]:off[r + 1]].tobytes()
-                s = b.column("s")[r]
-                m = merge_spans(s.values.to_numpy(), b.column("e")[r].values.to_numpy()) if s.is_valid else []
-                at, rest = 0, []
-                for i, j in m:
-                    rest.append(x[at:i])
-                    at = j
-                y = b"".join([*rest, x[at:]])
+                x, m = buf[off[r]:off[r + 1]].tobytes(), _spans(b, r)
+                y = _outside(x, m)
                 n.append(len(x))
                 gone.append(len(x) - len(y))
                 runs.append(len(m))
@@ -449,5 +463,33 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                  pa.array(kept, pa.binary()), pa.array(sha, pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return d.join(spans, "doc", "left").select("doc_id", "text", "s", "e").mapInArrow(
+    return _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the removable spans cut out of ``text``, shrunk to whole
+    characters; documents left without a word go."""
+    cols = docs.columns
+    at = cols.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.chunks(batches, "text"):
+            buf, off = common.text_buffer(b.column("text"))
+            out = []
+            for r in range(b.num_rows):
+                x, m = buf[off[r]:off[r + 1]], _spans(b, r)
+                whole = []
+                for i, j in m:
+                    while i < j and (x[i] & 0xC0) == 0x80:
+                        i += 1
+                    while j > i and j < len(x) and (x[j] & 0xC0) == 0x80:
+                        j -= 1
+                    whole.append((i, j))
+                t = _outside(x.tobytes(), whole).decode("utf-8")
+                out.append(t if t.strip(" \t\n\x0b\x0c\r") else None)
+            text = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays([text if i == at else b.column(c) for i, c in enumerate(cols)], cols).filter(
+                text.is_valid())
+
+    return _with_spans(docs).mapInArrow(cut, docs.schema)

@@ -33,14 +33,11 @@ BLOCK = 2048             # rows of a node that one task compares exhaustively
 LOCAL_HOT = 64           # rows of a key in one task beyond which they travel singly
 STEP = 4                 # minwise tokens a large node branches by at once; (4/3) ** STEP children
 ENTRIES = 4_000_000      # (key, id) entries of a part
+MARK = np.iinfo(np.int64).min
 _U = np.uint64
 
 
 # ---------------------------------------------------------------- signatures
-def segments_min(values: np.ndarray, head: np.ndarray) -> np.ndarray:
-    return np.minimum.reduceat(values, head)
-
-
 _mult = np.random.default_rng(7).integers(1, 2**62, 256, dtype=np.uint64) * _U(2) + _U(1)
 
 
@@ -95,6 +92,13 @@ def binary_rows(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(off), pa.py_buffer(x)])
 
 
+def set_batch(ids: pa.Array, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """(id, elements) from concatenated sets and their sizes."""
+    off = np.append(0, np.cumsum(n)) * 8
+    data = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(h))])
+    return pa.RecordBatch.from_arrays([ids, data.cast(pa.binary())], ["id", "elements"])
+
+
 # ---------------------------------------------------------------- nodes
 def _matrix(col: pa.Array, dtype) -> np.ndarray:
     buf, off = common.text_buffer(col.cast(pa.binary()) if not pa.types.is_binary(col.type) else col)
@@ -110,36 +114,28 @@ def meet(sigs: DataFrame) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(kk, ii):
-            key, ident = np.concatenate(kk), np.concatenate(ii)
-            order = np.lexsort((ident, key))
-            key, ident = key[order], ident[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
-            key, ident = key[new], ident[new]
+            key, ident = _distinct(np.concatenate(kk), np.concatenate(ii))
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(first, len(key)))
             hot = np.repeat(size > LOCAL_HOT, size)
+            out = []
             if hot.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(int(hot.sum()), pa.int32()), pa.array(key[hot].view(np.int64)), pa.array(ident[hot]),
-                     pa.nulls(int(hot.sum()), pa.binary()), pa.nulls(int(hot.sum()), pa.binary())],
-                    ["part", "key", "id", "keys", "ids"])
+                out.append((int(key[0] % _U(parts)), 1, key[hot].tobytes(), ident[hot].tobytes()))
             # a hot key leaves a mark, so that its rows from other tasks are kept too
             keep = ~hot
             keep[first] = True
-            mark = hot[keep]
-            key, ident = key[keep], ident[keep]
-            ident = np.where(mark, np.iinfo(np.int64).min, ident)
+            ident = np.where(hot, MARK, ident)[keep]
+            key = key[keep]
             part = (key % _U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             key, ident, part = key[order], ident[order], part[order]
             cut = np.searchsorted(part, np.arange(parts + 1))
-            some = np.flatnonzero(np.diff(cut))
+            out += [(int(p), 0, key[cut[p]:cut[p + 1]].tobytes(), ident[cut[p]:cut[p + 1]].tobytes())
+                    for p in np.flatnonzero(np.diff(cut))]
+            cols = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some.astype(np.int32)), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()),
-                 pa.array([key[cut[p]:cut[p + 1]].tobytes() for p in some], pa.binary()),
-                 pa.array([ident[cut[p]:cut[p + 1]].tobytes() for p in some], pa.binary())],
-                ["part", "key", "id", "keys", "ids"])
+                [pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
+                ["part", "hot", "keys", "ids"])
 
         kk, ii, held = [], [], 0
         for b in batches:
@@ -157,28 +153,33 @@ def meet(sigs: DataFrame) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kk, ii = [], []
+        rows = lambda k, i: pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(i)], ["key", "id"])
         for b in batches:
-            for k, i in zip(b.column("keys"), b.column("ids"), strict=True):
-                kk.append(np.frombuffer(k.as_buffer(), np.uint64))
-                ii.append(np.frombuffer(i.as_buffer(), np.int64))
+            for hot, k, i in zip(b.column("hot").to_pylist(), b.column("keys"), b.column("ids"), strict=True):
+                k, i = np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(i.as_buffer(), np.int64)
+                if hot:
+                    yield rows(k, i)
+                else:
+                    kk.append(k)
+                    ii.append(i)
         if not kk:
             return
-        key, ident = np.concatenate(kk), np.concatenate(ii)
-        order = np.lexsort((ident, key))
-        key, ident = key[order], ident[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (ident[1:] != ident[:-1])
-        key, ident = key[new], ident[new]
+        key, ident = _distinct(np.concatenate(kk), np.concatenate(ii))
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(first, len(key)))
-        keep = np.repeat(size > 1, size) & (ident != np.iinfo(np.int64).min)
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(ident[keep])], ["key", "id"])
+        keep = np.flatnonzero(np.repeat(size > 1, size) & (ident != MARK))
+        for at in range(0, len(keep), 200_000):
+            yield rows(key[keep[at:at + 200_000]], ident[keep[at:at + 200_000]])
+
+    return (sigs.select("id", "keys").mapInArrow(send, "part int, hot int, keys binary, ids binary")
+            .repartition(parts, "part").mapInArrow(gather, "key long, id long"))
 
-    sent = stage(sigs.select("id", "keys").mapInArrow(send, "part int, key long, id long, keys binary, ids binary"), "sent")
-    packed = (sent.filter("part is not null").select("part", "keys", "ids").repartition(parts, "part")
-              .mapInArrow(gather, "key long, id long"))
-    single = sent.filter("part is null").select("key", "id")
-    return packed.unionAll(single)
+
+def _distinct(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((ident, key))
+    key, ident = key[order], ident[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (ident[1:] != ident[:-1]))
+    return key[new], ident[new]
 
 
 def _estimate(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -288,9 +289,12 @@ def merge(label: DataFrame | None, edges: DataFrame, name: str) -> DataFrame | N
                  .select("id", "component"), f"{name}-m")
 
 
-def links(sigs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int = 75,
-          least: float = 0.55, tokens: int = 64) -> DataFrame:
-    """(id, component) of all ids that have a confirmed link."""
+def links(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets: Callable[[DataFrame], DataFrame],
+          percent: int = 75, least: float = 0.55, tokens: int = 64) -> DataFrame:
+    """(id, component) of all ids that have a confirmed link.
+
+    texts_of: (id, text) of a table of ids, read once for all ids that meet
+    another; to_sets: those rows as (id, elements), sorted hashes packed."""
     spark = sigs.sparkSession
     label: DataFrame | None = None
     small: list[DataFrame] = []
@@ -299,6 +303,11 @@ def links(sigs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: i
     level = 0
     while True:
         nodes = stage(nodes, f"nodes{level}")
+        if level == 0:
+            common.release(spark)
+            texts = stage(texts_of(nodes.select("id").distinct()), "texts")
+            sets_of = lambda ids: to_sets(texts.join(ids, "id", "leftsemi"))
+            common.release(spark)
         # a pivot by hashed choice, so that the nodes of a group try different ones
         size = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"),
                                         F.min_by("id", F.xxhash64("key", "id")).alias("pivot"))
