@@ -116,11 +116,19 @@ def q_infill_ratio(spark, sf_dir):
 def q_zlib_score(spark, sf_dir):
     s = cat.scores(spark, sf_dir).filter(F.col("method") == "zlib")
     d = cat.docs(spark, sf_dir).select("doc_id", "clen")
-    return s.join(d, "doc_id").select("doc_id", "clen", _r("score", 4))
+    bound = F.octet_length("text") + F.floor(F.octet_length("text") / 1000) + 64
+    ok = F.col("clen").between(8, bound)
+    t = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return s.join(d, "doc_id").join(t, "doc_id").select(
+        "doc_id", F.round(F.col("score") * F.col("clen"), 4).alias("loss"), ok.alias("clen_in_bounds"))
 
 
 def q_all_scores(spark, sf_dir):
-    return cat.scores(spark, sf_dir).select("doc_id", "method", _r("score", 4))
+    """All 122 scores; zlib times the compressed length, which SQL cannot know."""
+    d = cat.docs(spark, sf_dir).select("doc_id", "clen")
+    s = cat.scores(spark, sf_dir).join(d, "doc_id")
+    whole = F.when(F.col("method") == "zlib", F.col("score") * F.col("clen")).otherwise(F.col("score"))
+    return s.select("doc_id", "method", F.round(whole, 4).alias("score"))
 
 
 def q_scores_without_zlib(spark, sf_dir):
@@ -129,7 +137,7 @@ def q_scores_without_zlib(spark, sf_dir):
 
 
 def q_roc_points(spark, sf_dir):
-    p = roc.roc_points(cat.scores(spark, sf_dir).filter(F.col("method") != "zlib"),
+    p = roc.roc_points(cat.for_roc(cat.scores(spark, sf_dir)).filter(F.col("method") != "zlib"),
                        row_bound=cat.row_count(spark, sf_dir))
     return p.select("method", "threshold", _r("fpr", 9), _r("tpr", 9))
 
@@ -143,14 +151,14 @@ def q_top_methods(spark, sf_dir):
 
 
 def q_raw_metrics(spark, sf_dir):
-    raw = cat.raw_scores(spark, sf_dir).filter(F.col("method") != "zlib")
+    raw = cat.for_roc(cat.raw_scores(spark, sf_dir)).filter(F.col("method") != "zlib")
     m = roc.evaluate_methods(raw, row_bound=cat.row_count(spark, sf_dir))
     return m.select("method", _r("auroc", 6), _r("fpr95", 6), _r("tpr05", 6))
 
 
 def q_label_metrics(spark, sf_dir):
     lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    s = cat.scores(spark, sf_dir).filter(F.col("method") != "zlib").drop("label").join(lab, "doc_id")
+    s = cat.for_roc(cat.scores(spark, sf_dir)).filter(F.col("method") != "zlib").drop("label").join(lab, "doc_id")
     m = roc.evaluate_methods(s, label_col="quality", row_bound=cat.row_count(spark, sf_dir))
     return m.select("method", _r("auroc", 6), _r("fpr95", 6), _r("tpr05", 6))
 
@@ -203,8 +211,8 @@ def _lm_stats(spark, sf_dir):
         d = cat.docs(spark, sf_dir)
         tok, alt = lm.lm_score_batches(d, lambda: lm.ToyModel(7), vocab=7, memory=lm.ToyModel.memory)
         st = cat.store(spark)
-        return (st.put(f"{cat._tag(sf_dir)}/lm_token_stats", tok),
-                st.put(f"{cat._tag(sf_dir)}/lm_alt_stats", alt))
+        return (st.put(f"{cat.tag(spark, sf_dir)}/lm_token_stats", tok),
+                st.put(f"{cat.tag(spark, sf_dir)}/lm_alt_stats", alt))
     return cat._memo(spark, ("lm_stats", sf_dir), build)
 
 
@@ -220,6 +228,51 @@ def q_lm_scores(spark, sf_dir):
         "doc_id", "method", _r("score", 4))
 
 
+def q_default_scores(spark, sf_dir):
+    """Documents without a text have 0.0 under every name."""
+    return cat.masked_scores(spark, sf_dir).filter(F.col("method") != "zlib").select("doc_id", "method", _r("score", 4))
+
+
+def _squash(c):
+    """Into (-1, 1), so that huge scores compare by relative size."""
+    return F.round(c / (F.abs(c) + 1.0), 6)
+
+
+def q_scaled(clip: bool):
+    def q(spark, sf_dir):
+        s = cat.scaled_scores(spark, sf_dir, clip).filter(~F.col("method").isin("zlib", "loss"))
+        return s.select("doc_id", "method", _squash(F.col("score")).alias("score"))
+    return q
+
+
+def q_scaled_metrics(spark, sf_dir):
+    """Clipped metrics on scores that reach the bounds (three decimals apart from ties)."""
+    s = cat.scaled_scores(spark, sf_dir, True).filter(F.col("method").startswith("mink"))
+    m = roc.evaluate_methods(s.withColumn("score", F.round("score", 3)))
+    return m.select("method", _r("auroc", 6), _r("fpr95", 6), _r("tpr05", 6))
+
+
+def q_guarded_metrics(spark, sf_dir):
+    """Metrics of guarded inputs: one class, one finite score, none, and a sound one."""
+    lp = cat.scores(spark, sf_dir).filter(F.col("method") == "loss").select("doc_id", "label", F.round("score", 6).alias("score"))
+    nan = F.lit(float("nan"))
+    rows = [lp.filter("label = 1").withColumn("method", F.lit("one_class")),
+            lp.withColumn("method", F.lit("one_finite")).withColumn(
+                "score", F.when(F.col("doc_id") == 3, F.col("score")).when(F.col("doc_id") % 3 == 0, F.lit(float("inf")))
+                .otherwise(nan)),
+            lp.withColumn("method", F.lit("none_finite")).withColumn("score", nan),
+            lp.withColumn("method", F.lit("sound"))]
+    s = rows[0]
+    for x in rows[1:]:
+        s = s.unionByName(x)
+    names = spark.createDataFrame([(n, i) for i, n in enumerate(GUARDED)], "method string, method_order int")
+    m = roc.all_methods(spark, roc.evaluate_methods(s), names)
+    return m.select("method", _r("auroc", 6), _r("fpr95", 6), _r("tpr05", 6))
+
+
+GUARDED = ["one_class", "one_finite", "none_finite", "sound"]
+
+
 def q_stream_score(spark, sf_dir):
     """Documents streamed through a file source, scored per micro-batch."""
     import uuid
@@ -237,7 +290,7 @@ def q_stream_score(spark, sf_dir):
 def q_results_csv(spark, sf_dir):
     """The result table through the sink: CSV (header, no index) read back."""
     from memscan.sources import write_results
-    out = f"{cat.store(spark).base}/results"
+    out = f"{cat.store(spark).base}/results/{cat.tag(spark, sf_dir)}"
     path = write_results(rep.result_table(cat.metrics(spark, sf_dir)), out, "org/ngram-bigram",
                          "documents", clip_inf=False)
     csv = spark.read.option("header", True).csv(path)
@@ -282,6 +335,11 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "general_path_scores": q_general_path_scores,
         "lm_token_stats": q_lm_token_stats,
         "lm_scores": q_lm_scores,
+        "default_scores": q_default_scores,
+        "scaled_scores": q_scaled(False),
+        "scaled_scores_clipped": q_scaled(True),
+        "scaled_metrics_clipped": q_scaled_metrics,
+        "guarded_metrics": q_guarded_metrics,
         "stream_score": q_stream_score,
         "results_csv": q_results_csv,
     }
@@ -379,6 +437,29 @@ def _own_oracle_sql() -> dict[str, str]:
                   " WHERE T >= 3 GROUP BY la_all.L")
     out["score_parity"] = parity_sql
     out["score_parity_clipped"] = parity_sql
+    out["zlib_score"] = (sql.chain() + "\nSELECT doc_id, round(score, 4) AS loss, true AS clen_in_bounds"
+                         " FROM scores WHERE method = 'loss'")
+    out["all_scores"] = (sql.chain() + "\nSELECT doc_id, method, round(score, 4) AS score FROM scores WHERE method <> 'zlib'"
+                         " UNION ALL SELECT doc_id, 'zlib', round(score, 4) FROM scores WHERE method = 'loss'")
+    out["default_scores"] = (sql.chain(source="masked") +
+                             "\nSELECT doc_id, method, round(score, 4) AS score FROM scores WHERE method <> 'zlib'")
+    squash = "\nSELECT doc_id, method, round(score / (abs(score) + 1.0), 6) AS score FROM scores WHERE method NOT IN ('zlib', 'loss')"
+    out["scaled_scores"] = sql.chain(scaled=True) + squash
+    out["scaled_scores_clipped"] = sql.chain(clip=True, scaled=True) + squash
+    out["scaled_metrics_clipped"] = (
+        sql.chain(clip=True, scaled=True) + ",\nsm AS (SELECT doc_id, method, round(score, 3) AS score, label FROM scores"
+        " WHERE starts_with(method, 'mink'))," + sql.metrics_cte("sm") +
+        "\nSELECT method, round(auroc, 6) AS auroc, round(fpr95, 6) AS fpr95, round(tpr05, 6) AS tpr05 FROM m1")
+    guarded = ", ".join(f"('{n}')" for n in GUARDED)
+    out["guarded_metrics"] = (
+        sql.chain() + ",\nlo AS (SELECT doc_id, label, round(score, 6) AS score FROM scores WHERE method = 'loss'),"
+        "\ngd AS (SELECT doc_id, label, 'one_class' AS method, score FROM lo WHERE label = 1"
+        " UNION ALL SELECT doc_id, label, 'one_finite', CASE WHEN doc_id = 3 THEN score WHEN doc_id % 3 = 0"
+        " THEN 'inf'::DOUBLE ELSE 'nan'::DOUBLE END FROM lo"
+        " UNION ALL SELECT doc_id, label, 'none_finite', 'nan'::DOUBLE FROM lo"
+        " UNION ALL SELECT doc_id, label, 'sound', score FROM lo)," + sql.metrics_cte("gd") +
+        f"\nSELECT g.method, round(coalesce(auroc, 0.0), 6) AS auroc, round(coalesce(fpr95, 1.0), 6) AS fpr95,"
+        f" round(coalesce(tpr05, 0.0), 6) AS tpr05 FROM (VALUES {guarded}) g(method) LEFT JOIN m1 ON m1.method = g.method")
     out["general_path_scores"] = _scores_sel("method <> 'zlib'")
     out["stream_score"] = _scores_sel("method <> 'zlib'")
     out["results_csv"] = (sql.chain() + "," + sql.metrics_cte("scores") +

@@ -28,15 +28,13 @@ ROC_SCORE_CLIP = 1e10          # scores are clipped to +-1e10 before the ROC
 FLOAT_MAX = 1.7976931348623157e308  # nan_to_num replacement of +-inf
 
 # --- defaults of the job options ---------------------------------------------
-DEFAULT_MODEL_ID = "meta-llama/Meta-Llama-3-8B"
-DEFAULT_VARIANT = "WikiMIA_length64_paraphrased"
 DEFAULT_BATCH_SIZE = 16
-DEFAULT_OUTPUT_DIR = "results"
 DEFAULT_TOP_K = 5
 UNK = "<unk>"
 
-# Scores are rounded to this many decimals before the ROC so that float noise
-# between engines cannot reorder tied documents.
+# The registered queries round scores to this many decimals before the ROC, so
+# that float noise between two engines cannot reorder tied documents; the
+# operators themselves do not round.
 SCORE_DECIMALS = 9
 
 

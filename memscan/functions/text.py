@@ -21,12 +21,14 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, KEEP_CHARS, ""), " +", " "))
 
 
+# a run of letters, digits and marks, or any other visible character by itself
+TOKEN = r"[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}\p{Z}\p{Cc}]"
+
+
 def token_array(c: Column) -> Column:
-    """Tokens of a text: clean, lower-case, split on space, no empty token.
-    After cleaning, spaces are single and trimmed, so only an empty text can
-    give an empty token."""
-    cleaned = F.lower(clean_text(c))
-    return F.when(cleaned == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(cleaned, " "))
+    """Tokens of the whole raw text, lower-cased; white space and control
+    characters separate.  NULL for a NULL text."""
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
 def word_count(c: Column) -> Column:

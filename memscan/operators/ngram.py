@@ -74,29 +74,6 @@ class BigramModel:
         return all(self.fits(t, max_bytes) for t in ("unigram", "contexts", "bigram"))
 
 
-def unigram_counts(train_dt: DataFrame) -> DataFrame:
-    return tokens(train_dt).groupBy("tok").agg(F.count(F.lit(1)).alias("cnt"))
-
-
-def bigram_counts(train_dt: DataFrame) -> DataFrame:
-    p = positions(train_dt)
-    return (p.groupBy(F.col("x0").alias("ctx"), F.col("x1").alias("tok"))
-            .agg(F.count(F.lit(1)).alias("cnt")))
-
-
-def vocabulary(train_dt: DataFrame) -> DataFrame:
-    """Token set with counts; anything else is <unk> (cnt 0)."""
-    return unigram_counts(train_dt)
-
-
-def map_to_vocab(df: DataFrame, col: str, vocab: DataFrame) -> DataFrame:
-    """Replace tokens outside the vocabulary by <unk> (left join + coalesce)."""
-    v = vocab.select(F.col("tok").alias("_v"))
-    return (df.join(v, df[col] == v["_v"], "left")
-            .withColumn(col, F.when(F.col("_v").isNull(), F.lit(UNK)).otherwise(F.col(col)))
-            .drop("_v"))
-
-
 def fit_bigram(spark: SparkSession, train_dt: DataFrame, store=None) -> BigramModel:
     """Estimate the model from training documents (doc_tokens rows)."""
     def keep(name, df):

@@ -25,12 +25,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import ROC_SCORE_CLIP, SCORE_DECIMALS, method_names
+from ..constants import ROC_SCORE_CLIP, method_names
 from ..functions.numeric import dlit, is_finite
 from ..session import checkpoint_root
 
 TARGET_ROWS_PER_RANGE = 2_000_000
-MAX_RANGES = 4096
 
 
 def method_order(spark: SparkSession) -> DataFrame:
@@ -40,11 +39,10 @@ def method_order(spark: SparkSession) -> DataFrame:
 
 
 def prepare(scores: DataFrame, score_col: str = "score", label_col: str = "label") -> DataFrame:
-    """Filter non-finite scores and missing labels, clip to +-1e10, round."""
+    """Filter non-finite scores and missing labels, clip to +-1e10."""
     s = F.col(score_col)
     return (scores.filter(is_finite(s) & F.col(label_col).isNotNull())
-            .select("method", F.round(F.least(F.greatest(s, dlit(-ROC_SCORE_CLIP)), dlit(ROC_SCORE_CLIP)),
-                                      SCORE_DECIMALS).alias("s"),
+            .select("method", F.least(F.greatest(s, dlit(-ROC_SCORE_CLIP)), dlit(ROC_SCORE_CLIP)).alias("s"),
                     F.col(label_col).cast("int").alias("label")))
 
 
@@ -56,7 +54,7 @@ def auto_ranges(totals: DataFrame, row_bound: int | None) -> int:
     if row_bound is not None and row_bound <= TARGET_ROWS_PER_RANGE:
         return 1
     biggest = totals.agg(F.max("n_points")).first()[0] or 0
-    return min(MAX_RANGES, max(1, math.ceil(biggest / TARGET_ROWS_PER_RANGE)))
+    return max(1, math.ceil(biggest / TARGET_ROWS_PER_RANGE))
 
 
 def _ranges(spark: SparkSession, g: DataFrame, totals: DataFrame, n_ranges: int | None,
@@ -71,7 +69,7 @@ def _ranges(spark: SparkSession, g: DataFrame, totals: DataFrame, n_ranges: int
         F.percentile_approx("s", F.array(*[dlit(p) for p in probs]), 10000).alias("cuts"))
     checkpoint_root(spark)
     cuts = cuts.checkpoint(eager=True)   # methods x B rows; same cuts on retry
-    return (g.join(F.broadcast(cuts), "method")
+    return (g.join(F.broadcast(cuts), "method")       # one row a method
             .withColumn("rng", F.size(F.filter("cuts", lambda c: c <= F.col("s"))))
             .drop("cuts"))
 

@@ -9,7 +9,7 @@ All 122 scores of a document come out of one plan:
 
 The order-statistics window reuses the hash partitioning by doc_id of the
 positions (a sort, no shuffle).  Documents with more than SPLIT_ROWS values
-per kind are range-split instead of sorted in one task.
+per kind are sorted in ranges, equal values collapsed, instead of in one task.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import (LOOK_AHEADS, MIN_LOG_PROB, MIN_SD, MIN_VARIANCE, RATIO_CLIP,
-                         RATIOS, Z_CLIP, ratio_name)
+                         RATIOS, Z_CLIP, method_names, ratio_name)
 from ..functions.numeric import (clamp, clamp_min, dlit, finite_or, is_finite, k_of,
                                  nan_to_num, safe_div, safe_sqrt)
 from ..session import checkpoint_root
@@ -122,8 +122,7 @@ def _names(prefix: str) -> Column:
     return F.array(*[F.lit(f"{prefix}{ratio_name(r)}") for r in RATIOS])
 
 
-SPLIT_ROWS = 4_000_000     # groups with more values are range-split
-MAX_SPLIT_RANGES = 1024
+SPLIT_ROWS = 4_000_000     # values of a range of a group
 
 
 def _hits(df: DataFrame, n_col: str) -> DataFrame:
@@ -148,62 +147,72 @@ def _kmean_window(values: DataFrame, key: list[str], n_col: str) -> DataFrame:
     return _hits(values.withColumns(cols), n_col)
 
 
-def _kmean_ranges(values: DataFrame, key: list[str], n_col: str, split_rows: int) -> DataFrame:
+def _kmean_ranges(values: DataFrame, key: list[str], n_col: str, ranges: int) -> DataFrame:
     """The same ranks and running sums for very large groups without putting
-    a group into one task: each group's value axis is cut into ranges at
-    approximate quantiles (big groups x ranges cut points, checkpointed so a
-    retry sees the same cuts), each range computes local running sums, and
-    offsets come from a window over the small (group, range) summary."""
+    a group into one task: equal values collapse to (value, count) first, each
+    group's value axis is cut into ranges at approximate quantiles
+    (checkpointed so a retry sees the same cuts), each range computes local
+    running sums, and offsets come from a window over the (group, range)
+    summary.  A single value can hold most of a group: it is one row."""
     spark = values.sparkSession
-    biggest = values.agg(F.max(n_col)).first()[0]
-    if biggest is None:
-        empty = values.filter(F.lit(False))      # folded to an empty relation
-        cols = {"rn": F.lit(1), "cs": dlit(0.0)}
-        if "raw" in values.columns:
-            cols["tot"] = dlit(0.0)
-        return _hits(empty.withColumns(cols), n_col)
-    b = min(MAX_SPLIT_RANGES, max(2, -(-int(biggest) // split_rows)))
-    probs = F.array(*[dlit(j / b) for j in range(1, b)])
-    cuts = (values.filter(~F.isnan("v")).groupBy(*key)
-            .agg(F.percentile_approx("v", probs, 10000).alias("cuts")))
-    checkpoint_root(spark)
-    cuts = cuts.checkpoint(eager=True)        # groups with > split_rows values only: bounded
-    ranged = (values.join(F.broadcast(cuts), key, "left")
-              .withColumn("rng", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("v"))), F.lit(0)))
-              .drop("cuts"))
     has_raw = "raw" in values.columns
-    aggs = [F.count(F.lit(1)).alias("r_cnt"), F.sum("v").alias("r_sum")]
-    if has_raw:
-        aggs.append(F.sum("raw").alias("r_raw"))
-    summ = ranged.groupBy(*key, "rng").agg(*aggs)
+    cols = [c for c in values.columns if c != "raw"]
+    g = values.groupBy(*cols).agg(F.count(F.lit(1)).alias("c"), *([F.sum("raw").alias("raw")] if has_raw else []))
+    probs = F.array(*[dlit(j / ranges) for j in range(1, ranges)])
+    cuts = g.filter(~F.isnan("v")).groupBy(*key).agg(F.percentile_approx("v", probs, 10000).alias("cuts"))
+    checkpoint_root(spark)
+    cuts = cuts.checkpoint(eager=True)
+    g = (g.join(cuts, key, "left")
+         .withColumn("rng", F.coalesce(F.size(F.filter("cuts", lambda c: c <= F.col("v"))), F.lit(0))).drop("cuts"))
+    times = F.col("v") * F.col("c")
+    summ = g.groupBy(*key, "rng").agg(F.sum("c").alias("r_cnt"), F.sum(times).alias("r_sum"),
+                                      *([F.sum("raw").alias("r_raw")] if has_raw else []))
     before = Window.partitionBy(*key).orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)
-    extra = [F.sum("r_raw").over(Window.partitionBy(*key)).alias("tot")] if has_raw else []
+    total = [F.sum("r_raw").over(Window.partitionBy(*key)).alias("tot")] if has_raw else []
     summ = summ.select(*key, "rng", F.coalesce(F.sum("r_cnt").over(before), F.lit(0)).alias("off_cnt"),
-                       F.coalesce(F.sum("r_sum").over(before), dlit(0.0)).alias("off_sum"), *extra)
-    order = Window.partitionBy(*key, "rng").orderBy("v")
-    w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = (ranged.join(F.broadcast(summ), [*key, "rng"])     # big groups x ranges rows
-         .withColumns({"rn": F.col("off_cnt") + F.row_number().over(order),
-                       "cs": F.col("off_sum") + F.sum("v").over(w)})
-         .drop("rng", "off_cnt", "off_sum"))
-    return _hits(s, n_col)
+                       F.coalesce(F.sum("r_sum").over(before), dlit(0.0)).alias("off_sum"), *total)
+    prev = Window.partitionBy(*key, "rng").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    s = (g.join(summ, [*key, "rng"])
+         .withColumns({"b_cnt": F.col("off_cnt") + F.coalesce(F.sum("c").over(prev), F.lit(0)),
+                       "b_sum": F.col("off_sum") + F.coalesce(F.sum(times).over(prev), dlit(0.0))}))
+    # the ratios whose k falls among the equal values of this row
+    k = [k_of(F.col(n_col), dlit(r)) for r in RATIOS]
+    hits = F.array_compact(F.array(*[
+        F.when((x > F.col("b_cnt")) & (x <= F.col("b_cnt") + F.col("c")),
+               F.struct(F.lit(j).alias("j"), x.cast("long").alias("k"))) for j, x in enumerate(k)]))
+    s = s.withColumn("hit", F.explode(hits))
+    s = s.withColumns({"rn": F.col("hit.k"), "r_ix": F.col("hit.j")})
+    s = s.withColumn("cs", F.col("b_sum") + F.col("v") * (F.col("rn") - F.col("b_cnt")))
+    return s.withColumn("kmean", F.col("cs") / F.col("rn").cast("double")).drop(
+        "hit", "b_cnt", "b_sum", "off_cnt", "off_sum", "rng", "c")
 
 
 def smallest_k_mean(values: DataFrame, key: list[str], n_col: str = "n",
-                    split_rows: int | None = None) -> DataFrame:
+                    split_rows: int | None = None, biggest: int | None = None) -> DataFrame:
     """Mean of the k = int(n * r) smallest values of each group, for all ten
     ratios from one sort: rows (key..., r_ix, kmean).  NaN sorts last and
     -inf first, as in an ascending array sort.  Groups with k = 0 for a ratio
     give no row for it (the caller decides the default).
 
-    Groups of at most ``split_rows`` values use one window per group (which
-    reuses a partitioning by the group key); larger groups are range-split
-    (``_kmean_ranges``).  ``n_col`` must be constant within a group, so the
-    size filter can be pushed down to where the group is produced."""
+    A group is sorted in ranges of about ``split_rows`` values; groups that
+    fit one range need no cuts and reuse a partitioning by the group key.
+    ``biggest`` is the size of the largest group, known from the table the
+    groups come from.  ``n_col`` must be constant within a group, so filters
+    on it can be pushed down to where the group is produced."""
     split_rows = SPLIT_ROWS if split_rows is None else split_rows
+    if biggest is None:
+        biggest = values.agg(F.max(n_col)).first()[0]
+    if biggest is None or biggest <= split_rows:
+        return _kmean_window(values, key, n_col)
     small = _kmean_window(values.filter(F.col(n_col) <= split_rows), key, n_col)
-    big = values.filter(F.col(n_col) > split_rows)
-    return small.unionByName(_kmean_ranges(big, key, n_col, split_rows))
+    big = _kmean_ranges(values.filter(F.col(n_col) > split_rows), key, n_col, -(-int(biggest) // split_rows))
+    names = [c for c in small.columns if c != "raw"]
+    return small.select(*names).unionByName(big.select(*names))
+
+
+def largest_group(docs: DataFrame) -> int:
+    """Scored positions of the longest document: a scan of one column."""
+    return max(0, (docs.agg(F.max("T")).first()[0] or 0) - 1)
 
 
 # value kinds, as small integer codes so the per-document sort compares
@@ -227,7 +236,7 @@ def raw_scores(pv: DataFrame, docs: DataFrame, extra: list[str] | None = None,
     kinds = F.when(has_infill, F.array(*four)).otherwise(F.array(*two))
     long = pv.select("doc_id", "T", "clen", *extra, F.inline(kinds)).withColumn(
         "n", F.col("T") - 1)
-    ks = smallest_k_mean(long, ["doc_id", "kind"], split_rows=split_rows)
+    ks = smallest_k_mean(long, ["doc_id", "kind"], split_rows=split_rows, biggest=largest_group(docs))
     ridx = F.col("r_ix")
     mink = F.get(_names("mink_"), ridx)
     minkpp = F.get(_names("mink++_"), ridx)
@@ -257,7 +266,8 @@ def empty_selection_scores(docs: DataFrame, extra: list[str]) -> DataFrame:
     """Scores of empty selections, straight from the per-document row:
     min-k / min-k++ with k = 0 are the mean of nothing (NaN); infill with k = 0
     is 0.0; a document with fewer than 2 tokens has NaN loss and zlib; a
-    document with fewer than 3 tokens has no infill score at all."""
+    document with fewer than 3 tokens has no infill score at all; one without
+    a text has 0.0 under all names."""
     n = F.greatest(F.col("T") - 1, F.lit(0))
     idx = F.sequence(F.lit(0), F.lit(len(RATIOS) - 1))
     zero_k = F.filter(idx, lambda j: k_of(n, F.get(_ratio_array(), j)) == 0)
@@ -278,7 +288,9 @@ def empty_selection_scores(docs: DataFrame, extra: list[str]) -> DataFrame:
                      F.when(F.col("T") >= 3, F.flatten(inf)).otherwise(
                          F.array().cast("array<struct<method:string,score:double>>")),
                      short)
-    return docs.select("doc_id", *extra, F.inline(all_e))
+    # no text at all: every score is missing and takes the default
+    none = F.array(*[F.struct(F.lit(m).alias("method"), dlit(0.0).alias("score")) for m in method_names()])
+    return docs.select("doc_id", *extra, F.inline(F.when(F.col("T").isNull(), none).otherwise(all_e)))
 
 
 def sanitize_scores(raw: DataFrame) -> DataFrame:

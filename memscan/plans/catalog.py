@@ -8,15 +8,18 @@ checkpoint folder and then reused by the queries that need them.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import SCORE_DECIMALS
 from ..operators import ngram
 from ..operators import scores as sc
 from ..operators import token_stats as ts_op
 from ..operators import tokens as tk
 from ..session import StageStore, tune
-from ..sources import benchmark_snippets, documents_snippets
+from ..sources import benchmark_snippets, documents_snippets, table
 
 _cache: dict[tuple, object] = {}
 
@@ -35,14 +38,31 @@ def store(spark: SparkSession) -> StageStore:
 
 
 def _memo(spark, key, build):
-    k = _key(spark, *key)
+    k = _key(spark, *key, _version(spark, key[1]))
     if k not in _cache:
         _cache[k] = build()
     return _cache[k]
 
 
-def _tag(sf_dir: str) -> str:
-    return sf_dir.rstrip("/").split("/")[-1].replace(".", "_")
+def _version(spark: SparkSession, sf_dir: str) -> str:
+    """Digest of the folder's path and of its entries' names, sizes and times,
+    so that equal folder names or changed tables never share a stage."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen = sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path))
+    return hashlib.md5(repr((sf_dir.rstrip("/"), seen)).encode()).hexdigest()[:16]
+
+
+def tag(spark: SparkSession, sf_dir: str) -> str:
+    """Folder name of the stages of one data folder."""
+    return sf_dir.rstrip("/").split("/")[-1].replace(".", "_") + "_" + _version(spark, sf_dir)
+
+
+def for_roc(scores: DataFrame) -> DataFrame:
+    """Scores as the registered queries evaluate them (zlib, which no query
+    compares between engines, is left exact)."""
+    return scores.withColumn("score", F.when(F.col("method") == "zlib", F.col("score"))
+                             .otherwise(F.round("score", SCORE_DECIMALS)))
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -69,14 +89,14 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_tokens of the documents table (label = member split), written
     partitioned by label so the training scan prunes to the member half."""
     return _memo(spark, ("docs", sf_dir), lambda: store(spark).put(
-        f"{_tag(sf_dir)}/docs", tk.doc_tokens(_spread(spark, documents_snippets(spark, sf_dir))),
+        f"{tag(spark, sf_dir)}/docs", tk.doc_tokens(_spread(spark, documents_snippets(spark, sf_dir))),
         partition_by=["label"]).select("doc_id", "label", "toks", "clen", "T"))
 
 
 def model(spark: SparkSession, sf_dir: str) -> ngram.BigramModel:
     def build():
         st = store(spark)
-        prefix = _tag(sf_dir)
+        prefix = tag(spark, sf_dir)
 
         class _Sub:
             def put(self, name, df):
@@ -93,7 +113,7 @@ def token_stats_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The per-position table, written out (for users who read it)."""
     return _memo(spark, ("ts", sf_dir), lambda: store(spark).put(
-        f"{_tag(sf_dir)}/token_stats", token_stats_plan(spark, sf_dir)))
+        f"{tag(spark, sf_dir)}/token_stats", token_stats_plan(spark, sf_dir)))
 
 
 def raw_scores(spark: SparkSession, sf_dir: str, clip_inf: bool = False) -> DataFrame:
@@ -103,7 +123,7 @@ def raw_scores(spark: SparkSession, sf_dir: str, clip_inf: bool = False) -> Data
         ts = token_stats_plan(spark, sf_dir)
         pv = sc.position_values(ts, clip_inf)
         d = docs(spark, sf_dir).select("doc_id", "T", "clen", "label")
-        return store(spark).put(f"{_tag(sf_dir)}/raw_scores_clip{int(clip_inf)}",
+        return store(spark).put(f"{tag(spark, sf_dir)}/raw_scores_clip{int(clip_inf)}",
                                 sc.raw_scores(pv, d, ["label"]))
     return _memo(spark, ("raw", sf_dir, clip_inf), build)
 
@@ -116,15 +136,43 @@ def benchmark_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages scored by the model of the member documents."""
     def build():
         bd = tk.doc_tokens(_spread(spark, benchmark_snippets(spark, sf_dir)))
-        bd = store(spark).put(f"{_tag(sf_dir)}/bench_docs", bd)
+        bd = store(spark).put(f"{tag(spark, sf_dir)}/bench_docs", bd)
         m = model(spark, sf_dir)
         ts = ts_op.token_stats(bd, m, ["label", "clen"], parallelism(spark))
         pv = sc.position_values(ts, False)
         raw = sc.raw_scores(pv, bd.select("doc_id", "T", "clen", "label"), ["label"])
-        return store(spark).put(f"{_tag(sf_dir)}/bench_raw", raw)
+        return store(spark).put(f"{tag(spark, sf_dir)}/bench_raw", raw)
     return sc.sanitize_scores(_memo(spark, ("bench", sf_dir), build))
 
 
+def masked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored with the text taken away where labels has no row."""
+    def build():
+        lab = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("has", F.lit(True))
+        sn = (documents_snippets(spark, sf_dir).join(lab, "doc_id", "left")
+              .withColumn("text", F.when(F.col("has"), F.col("text"))).drop("has"))
+        d = store(spark).put(f"{tag(spark, sf_dir)}/masked_docs", tk.doc_tokens(sn))
+        ts = ts_op.token_stats(d, model(spark, sf_dir), ["label", "clen"], parallelism(spark))
+        raw = sc.raw_scores(sc.position_values(ts, False), d.select("doc_id", "T", "clen", "label"), ["label"])
+        return store(spark).put(f"{tag(spark, sf_dir)}/masked_raw", raw)
+    return sc.sanitize_scores(_memo(spark, ("masked", sf_dir), build))
+
+
+def scaled_scores(spark: SparkSession, sf_dir: str, clip_inf: bool) -> DataFrame:
+    """Scores of statistics blown up so that every clip bound and guard binds:
+    log-probs times 15, variances a thousandth, zero or slightly negative."""
+    def build():
+        ts = token_stats(spark, sf_dir).drop("lp_next", "mu_next", "var_next")
+        var = (F.when(F.col("pos") % 7 == 0, F.lit(0.0)).when(F.col("pos") % 11 == 0, F.lit(-1e-9))
+               .otherwise(F.col("var") * 0.001))
+        ts = ts.withColumns({"lp": F.col("lp") * 15, "lp_xhat": F.col("lp_xhat") * 15, "lp_alt": F.col("lp_alt") * 15,
+                             "var": var, "var_alt": F.col("var_alt") * 0.001})
+        d = docs(spark, sf_dir).select("doc_id", "T", "clen", "label")
+        return store(spark).put(f"{tag(spark, sf_dir)}/scaled_clip{int(clip_inf)}",
+                                sc.raw_scores(sc.position_values(ts, clip_inf), d, ["label"]))
+    return sc.sanitize_scores(_memo(spark, ("scaled", sf_dir, clip_inf), build))
+
+
 def row_count(spark: SparkSession, sf_dir: str, clip_inf: bool = False) -> int:
     """Rows of the materialised raw score table (Parquet metadata)."""
     return _memo(spark, ("raw_n", sf_dir, clip_inf), lambda: raw_scores(spark, sf_dir, clip_inf).count())
@@ -135,6 +183,6 @@ def metrics(spark: SparkSession, sf_dir: str, clip_inf: bool = False) -> DataFra
     from ..operators.roc import all_methods, evaluate_methods
 
     def build():
-        m = evaluate_methods(scores(spark, sf_dir, clip_inf), row_bound=row_count(spark, sf_dir, clip_inf))
-        return store(spark).put(f"{_tag(sf_dir)}/metrics_clip{int(clip_inf)}", all_methods(spark, m))
+        m = evaluate_methods(for_roc(scores(spark, sf_dir, clip_inf)), row_bound=row_count(spark, sf_dir, clip_inf))
+        return store(spark).put(f"{tag(spark, sf_dir)}/metrics_clip{int(clip_inf)}", all_methods(spark, m))
     return _memo(spark, ("metrics", sf_dir, clip_inf), build)

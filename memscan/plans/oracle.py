@@ -79,8 +79,7 @@ def infill_sql(clip: bool) -> tuple[str, str]:
     return base, f"({base} + {term})"
 
 
-TOKENS = ("list_filter(string_split(lower(trim(regexp_replace(regexp_replace(text, "
-          "'[^().,a-zA-Z ]', '', 'g'), ' +', ' ', 'g'))), ' '), lambda x: x <> '')")
+TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+|[^\p{L}\p{N}\p{M}\p{Z}\p{Cc}]')"
 
 
 def docs_cte(source: str = "documents") -> str:
@@ -88,6 +87,10 @@ def docs_cte(source: str = "documents") -> str:
         sel = f"SELECT doc_id, CAST(doc_id % 2 = 0 AS INTEGER) AS label, {TOKENS} AS toks FROM documents"
     elif source == "benchmark":
         sel = f"SELECT item_id AS doc_id, CAST(NULL AS INTEGER) AS label, {TOKENS} AS toks FROM benchmark"
+    elif source == "masked":      # text only where labels has a row
+        sel = f"""SELECT doc_id, CAST(doc_id % 2 = 0 AS INTEGER) AS label, {TOKENS} AS toks FROM (
+            SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN d.text END AS text FROM documents d
+            LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id)"""
     else:
         raise ValueError(source)
     return f"""
@@ -170,7 +173,14 @@ la AS (SELECT * FROM (VALUES {la}) t(L)),
 la_all AS (SELECT * FROM (VALUES {la_all}) t(L))"""
 
 
-def scores_cte(clip: bool) -> str:
+SCALED = """
+tsx AS (SELECT doc_id, label, T, i, x0, x1, x2, lp * 15 AS lp, mu, xhat, lp_xhat * 15 AS lp_xhat,
+               CASE WHEN i % 7 = 0 THEN 0.0::DOUBLE WHEN i % 11 = 0 THEN -1e-9::DOUBLE ELSE var * 0.001::DOUBLE END AS var,
+               lp_alt * 15 AS lp_alt, mu_alt, var_alt * 0.001::DOUBLE AS var_alt FROM ts)"""
+
+
+def scores_cte(clip: bool, src: str = "ts") -> str:
+    names = ", ".join(f"('{n}')" for n in method_names() if n != "zlib")
     r0, r1 = infill_sql(clip)
     lp_m = clamp_min("lp", MIN_LOG_PROB) if clip else "lp"
     cols = "doc_id, label, T, loss, T - 1 AS n"
@@ -179,7 +189,7 @@ def scores_cte(clip: bool) -> str:
 pv0 AS (SELECT *, lead(lp) OVER (PARTITION BY doc_id ORDER BY i) AS lp_next,
                lead(mu) OVER (PARTITION BY doc_id ORDER BY i) AS mu_next,
                lead(var) OVER (PARTITION BY doc_id ORDER BY i) AS var_next,
-               avg(lp) OVER (PARTITION BY doc_id) AS loss FROM ts),
+               avg(lp) OVER (PARTITION BY doc_id) AS loss FROM {src}),
 pv AS (SELECT *, {lp_m} AS lp_m, {z_token('lp', 'mu', 'var', clip)} AS z, {r0} AS r0, {r1} AS r1 FROM pv0),
 lv AS (SELECT {cols}, 'lp' AS kind, lp_m AS v FROM pv
        UNION ALL SELECT {cols}, 'z', z FROM pv
@@ -196,10 +206,11 @@ raw AS (SELECT doc_id, label, 'mink_' || rname AS method, kmean AS score FROM km
         UNION ALL SELECT doc_id, label, 'infill_' || CAST(la.L AS VARCHAR) || '_' || rname, {finite_or0('kmean')}
                   FROM km, la WHERE kind = 'r1'
         UNION ALL SELECT doc_id, label, 'loss', loss FROM km WHERE kind = 'lp' AND rn = n AND r_ix = 9
+        UNION ALL SELECT doc_id, label, nm.method, 0.0::DOUBLE FROM docs, (VALUES {names}) nm(method) WHERE T IS NULL
         UNION ALL SELECT doc_id, label, 'mink_' || rname, {NAN} FROM docs, rt
-                  WHERE floor(CAST(greatest(T - 1, 0) AS DOUBLE) * r) = 0
+                  WHERE T IS NOT NULL AND floor(CAST(greatest(T - 1, 0) AS DOUBLE) * r) = 0
         UNION ALL SELECT doc_id, label, 'mink++_' || rname, {NAN} FROM docs, rt
-                  WHERE floor(CAST(greatest(T - 1, 0) AS DOUBLE) * r) = 0
+                  WHERE T IS NOT NULL AND floor(CAST(greatest(T - 1, 0) AS DOUBLE) * r) = 0
         UNION ALL SELECT doc_id, label, 'infill_' || CAST(la_all.L AS VARCHAR) || '_' || rname, 0.0::DOUBLE
                   FROM docs, rt, la_all WHERE T >= 3 AND floor(CAST(T - 1 AS DOUBLE) * r) = 0
         UNION ALL SELECT doc_id, label, 'loss', {NAN} FROM docs WHERE T < 2),
@@ -207,7 +218,7 @@ scores AS (SELECT doc_id, label, method, {finite_or0('score')} AS score FROM raw
 
 
 def chain(clip: bool = False, source: str = "documents", train_source: str = "documents",
-          upto: str = "scores") -> str:
+          upto: str = "scores", scaled: bool = False) -> str:
     """WITH ... chain up to the named stage (docs, model, stats, scores)."""
     parts = [docs_cte(source)]
     if train_source == "documents" and source == "documents":
@@ -221,7 +232,9 @@ def chain(clip: bool = False, source: str = "documents", train_source: str = "do
     if upto in ("stats", "scores", "metrics"):
         parts.append(stats_cte())
     if upto in ("scores", "metrics"):
-        parts.append(scores_cte(clip))
+        if scaled:
+            parts.append(SCALED)
+        parts.append(scores_cte(clip, "tsx" if scaled else "ts"))
     return "WITH " + ",".join(p.lstrip("\n") for p in parts)
 
 

@@ -63,20 +63,27 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def tune(spark: SparkSession) -> None:
     """Runtime settings the plans rely on (safe to call on any session)."""
     ship_package(spark)
-    conf = spark.conf
     # AQE: runtime join re-planning (broadcast only when the shuffle statistics
     # prove the side small), partition coalescing and skew-join splitting.
-    conf.set("spark.sql.adaptive.enabled", "true")
-    conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "4")
-    conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "64m")
-    conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "64m")
-    conf.set("spark.sql.autoBroadcastJoinThreshold", "64m")
-    conf.set("spark.sql.maxPlanStringLength", "10000")
+    # A setting of the user's session is left as it is.
+    given = {r["key"] for r in spark.sql("SET").collect()}
+    for key, value in SETTINGS.items():
+        if key not in given:
+            spark.conf.set(key, value)
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -84,6 +91,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     d = spark.sparkContext.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="memscan-ckpt-")
         spark.sparkContext.setCheckpointDir(d)

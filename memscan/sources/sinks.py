@@ -11,18 +11,15 @@ def model_id_of(model_name: str) -> str:
     return model_name.split("/")[-1]
 
 
-def results_suffix(optimized: bool = True, half: bool = False, clip_inf: bool = False,
-                   int8: bool = False, mixed_precision: bool = False) -> str:
-    suffix = "_optimized" if optimized else "_original"
-    if half and clip_inf:
-        suffix += "_half_clipped"
-    elif half:
-        suffix += "_half"
-    elif int8:
-        suffix += "_int8"
-    elif mixed_precision:
-        suffix += "_mixed"
-    return suffix
+#: Name parts of the numeric modes; the first mode set names the run.
+MODES = {"half": "_half", "int8": "_int8", "mixed_precision": "_mixed"}
+
+
+def results_suffix(optimized: bool = True, clip_inf: bool = False, **modes: bool) -> str:
+    """Path, then numeric mode; clipping is named with the half mode only."""
+    mode = next((m for m in MODES if modes.get(m)), None)
+    parts = ["_optimized" if optimized else "_original", MODES.get(mode, "")]
+    return "".join(parts) + "_clipped" * (mode == "half" and clip_inf)
 
 
 def results_name(model_name: str, dataset: str, **flags) -> str:

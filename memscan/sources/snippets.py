@@ -54,9 +54,11 @@ def benchmark_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def select_fields(df: DataFrame, text_col: str = "input", label_col: str = "label",
                   id_col: str = "doc_id") -> DataFrame:
-    """Project a raw labelled set onto the snippet schema."""
+    """Project a raw labelled set onto the snippet schema.  Sets without an id
+    column get one from the row's place in the files."""
+    ident = F.col(id_col).cast("long") if id_col in df.columns else F.monotonically_increasing_id()
     return df.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        ident.alias("doc_id"),
         F.col(text_col).cast("string").alias("text"),
         F.col(label_col).cast("int").alias("label"),
     )
@@ -64,12 +66,13 @@ def select_fields(df: DataFrame, text_col: str = "input", label_col: str = "labe
 
 def load_snippets(spark: SparkSession, variant: str, plain_path: str, paraphrased_path: str,
                   fmt: str = "parquet", text_col: str = "input", label_col: str = "label",
-                  id_col: str = "doc_id") -> DataFrame:
-    """Load one named variant.  Names containing ``paraphrased`` come from the
+                  id_col: str = "doc_id", schema: str | T.StructType | None = None) -> DataFrame:
+    """Load one named variant (with ``schema``, without a pass to infer it).  Names containing ``paraphrased`` come from the
     second source, the others from the first; each source holds one folder
     (or partition) per variant name.  An unknown name is an error."""
     if variant not in VARIANTS:
         raise ValueError(f"unknown variant {variant!r}; choose one of {VARIANTS}")
     base = paraphrased_path if "paraphrased" in variant else plain_path
-    raw = spark.read.format(fmt).option("header", "true").load(f"{base.rstrip('/')}/{variant}")
+    reader = spark.read.format(fmt).option("header", "true")
+    raw = (reader.schema(schema) if schema is not None else reader).load(f"{base.rstrip('/')}/{variant}")
     return select_fields(raw, text_col, label_col, id_col).withColumn("variant", F.lit(variant))

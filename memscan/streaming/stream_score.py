@@ -17,15 +17,17 @@ from ..operators import ngram
 from ..operators import scores as sc
 from ..operators import token_stats as ts_op
 from ..operators import tokens as tk
-from ..session import checkpoint_root
 
 STREAM_SCHEMA = "doc_id long, text string, label int"
 
 
 def score_batch(batch: DataFrame, model: ngram.BigramModel, clip_inf: bool = False,
-                partitions: int | None = None) -> DataFrame:
-    """Sanitised scores of one micro-batch (doc_id, label, method, score)."""
+                partitions: int | None = None, keep=None) -> DataFrame:
+    """Sanitised scores of one micro-batch (doc_id, label, method, score).
+    ``keep`` may hold on to the tokens, which several branches read."""
     d = tk.doc_tokens(batch.select("doc_id", "text", "label"))
+    if keep is not None:
+        d = keep(d)
     ts = ts_op.token_stats(d, model, ["label", "clen"], partitions)
     pv = sc.position_values(ts, clip_inf)
     raw = sc.raw_scores(pv, d.select("doc_id", "T", "clen", "label"), ["label"])
@@ -39,7 +41,8 @@ def start_stream_score(spark: SparkSession, source: str, model: ngram.BigramMode
                        file_glob: str | None = None):
     """Start the streaming query over the folder ``source`` (files matching
     ``file_glob`` if given); returns the StreamingQuery."""
-    checkpoint = checkpoint or f"{checkpoint_root(spark).rstrip('/')}/memscan-stream/{abs(hash(sink))}"
+    # beside the output, so that a restarted job finds it (readers skip "_" folders)
+    checkpoint = checkpoint or f"{sink.rstrip('/')}/_checkpoint"
     rd = spark.read.format(source_format)
     rs = spark.readStream.format(source_format)
     if file_glob:
@@ -51,8 +54,16 @@ def start_stream_score(spark: SparkSession, source: str, model: ngram.BigramMode
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = score_batch(batch, model, clip_inf, parts).withColumn("batch_id", F.lit(batch_id))
+        held: list[DataFrame] = []
+
+        def keep(d: DataFrame) -> DataFrame:
+            held.append(d.persist())
+            return held[-1]
+
+        out = score_batch(batch, model, clip_inf, parts, keep).withColumn("batch_id", F.lit(batch_id))
         out.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/batch_id={batch_id}")
+        for d in held:
+            d.unpersist()
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
