@@ -18,7 +18,16 @@ def test_clean_text(spark):
 
 def test_token_array_empty_and_lower(spark):
     got = one(spark, X.token_array(F.col("t")), [("Hello  World.",), ("",), ("ééé",)], "t string")
-    assert got == [["hello", "world."], [], []]
+    assert got == [["hello", "world", "."], [], ["ééé"]]
+
+
+def test_token_array_loses_no_character_class(spark):
+    from .reference_impl import tokens
+    cases = ["alpha\nbeta", "東京は2024年", "a1 b-2, c_d", "naïve café!!", "x\u00a0y\u3000z", "e\u0301t\u00e9", "$%&", "\t"]
+    got = one(spark, X.token_array(F.col("t")), [(c,) for c in cases], "t string")
+    assert got == [tokens(c) for c in cases]
+    assert got[0] == ["alpha", "beta"] and got[1] == ["東京は2024年"]
+    assert one(spark, X.token_array(F.col("t")), [(None,)], "t string") == [None]
 
 
 def test_word_count_matches_python(spark):

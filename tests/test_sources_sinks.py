@@ -22,6 +22,14 @@ def test_load_snippets_routes_by_name(spark):
         load_snippets(spark, "nope", base, base)
 
 
+def test_load_snippets_without_id_and_with_schema(spark):
+    base = tempfile.mkdtemp(prefix="memscan-src-")
+    spark.createDataFrame([("a", 1), ("b", 0)], "input string, label int").write.json(f"{base}/p/WikiMIA_length64")
+    got = load_snippets(spark, "WikiMIA_length64", f"{base}/p", base, fmt="json", schema="input string, label int").collect()
+    assert sorted((r["text"], r["label"]) for r in got) == [("a", 1), ("b", 0)]
+    assert len({r["doc_id"] for r in got}) == 2
+
+
 def test_results_name_rules():
     assert results_name("org/model-7b", "WikiMIA_length64", half=True, clip_inf=True) == \
         "model-7b_WikiMIA_length64_optimized_half_clipped_results"

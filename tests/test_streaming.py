@@ -36,3 +36,19 @@ def test_stream_matches_batch(spark):
     q2 = start_stream_score(spark, files, model, sink, checkpoint=ckpt)
     q2.awaitTermination()
     assert spark.read.parquet(sink).count() == len(b)
+
+
+def test_restart_without_explicit_checkpoint(spark):
+    """The checkpoint lies beside the output: a second run finds it."""
+    files = tempfile.mkdtemp(prefix="memscan-stream-files-")
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").limit(20).select(
+        "doc_id", "text", F.expr("CAST(pmod(doc_id, 2) = 0 AS INT)").alias("label"))
+    docs.coalesce(1).write.mode("append").parquet(files)
+    sink = tempfile.mkdtemp(prefix="memscan-stream-sink-")
+    model = cat.model(spark, SF001)
+    start_stream_score(spark, files, model, sink).awaitTermination()
+    n = spark.read.parquet(sink).count()
+    docs.withColumn("doc_id", F.col("doc_id") + 1000).coalesce(1).write.mode("append").parquet(files)
+    start_stream_score(spark, files, model, sink).awaitTermination()
+    got = spark.read.parquet(sink)
+    assert got.count() == 2 * n and got.select("batch_id").distinct().count() == 2
