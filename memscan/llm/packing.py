@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from memscan.llm import common
 
 CAPACITY = 4096
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_500_000
 RANK_ROWS = 100_000       # pieces a rank window holds on average at most
 
 
@@ -39,6 +39,8 @@ class WordEncoder:
 
     #: white space for str.split() but not for the tokenizer
     ODD = re.compile("[\x1c-\x1f]")
+    #: letters whose case folds one to one, then ASCII marks
+    MARKED = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-įıĲ-ɏ]+)([!-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,21 +54,41 @@ class WordEncoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if self.ODD.search(text):
-            return self.whole([text])[0]
-        words = text.split()
+    def _encode_new(self, new: list[str], cache: dict[str, bytes]) -> None:
+        """The pre-tokenizer folds case and parts letters from marks, so a
+        word with marks behind it is its folded letters, then its marks."""
+        forms = [(w, m[1].lower(), m[2]) for w in new if (m := self.MARKED.fullmatch(w))]
+        made = {w for w, *_ in forms}
+        plain = {w for w in new if w not in made}
+        plain.update(x for _, a, b in forms for x in (a, b) if x)
+        todo = [w for w in plain if w not in cache]
+        for at in range(0, len(todo), 50_000):
+            part = todo[at:at + 50_000]
+            cache.update(zip(part, self.whole(part), strict=True))
+        for w, a, b in forms:
+            cache[w] = cache[a] + cache[b] if b else cache[a]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of many texts; their new words are encoded in one batch."""
+        out: list[bytes | None] = [None] * len(texts)
+        split = {}
+        for i, t in enumerate(texts):
+            if self.ODD.search(t):
+                out[i] = self.whole([t])[0]
+            else:
+                split[i] = t.split()
+        words = set().union(*split.values())
         cache = self.cache
-        new = [w for w in set(words) if w not in cache]
-        if new:
-            if len(cache) + len(new) > CACHE_WORDS:
-                cache.clear()
-                new = list(set(words))
-            if len(new) > CACHE_WORDS:      # a text with more words than the cache holds
-                got = dict(zip(new, self.whole(new), strict=True))
-                return b"".join(map(got.__getitem__, words))
-            cache.update(zip(new, self.whole(new), strict=True))
-        return b"".join(map(cache.__getitem__, words))
+        new = list(words.difference(cache))
+        if len(cache) + len(new) > CACHE_WORDS:
+            cache.clear()
+            new = list(words)
+        if len(new) > CACHE_WORDS:      # more words than the cache holds
+            cache = {}
+        self._encode_new(new, cache)
+        for i, w in split.items():
+            out[i] = b"".join(map(cache.__getitem__, w))
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -91,8 +113,9 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: in
         enc = encoder(tokenizer)
         for b in common.chunks(batches, "t"):
             out = [[] for _ in range(5 + with_ids)]
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = enc.encode(t or "") + end
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_all(texts), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for s in range(0, n, capacity):
                     part = ids[4 * s:4 * (s + capacity)]
