@@ -22,12 +22,13 @@ from memscan.operators import profile as prof
 from memscan.operators import report as rep
 from memscan.operators import lm_batches as lm
 from memscan.operators import roc
+from memscan.fixtures import DecayModel, ToyModel
 from memscan.operators.infill import infill_ratios, parity
 from memscan.plans import model_path as mp
 from memscan.operators import scores as sc
 from memscan.plans import catalog as cat
 from memscan.plans import oracle as sql
-from memscan.sources import documents_snippets, table
+from memscan.sources import benchmark_snippets, documents_snippets, table
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
 
@@ -209,7 +210,7 @@ def q_general_path_scores(spark, sf_dir):
 def _lm_stats(spark, sf_dir):
     def build():
         d = cat.docs(spark, sf_dir)
-        tok, alt = lm.lm_score_batches(d, lambda: lm.ToyModel(7), vocab=7, memory=lm.ToyModel.memory)
+        tok, alt = lm.lm_score_batches(d, lambda: ToyModel(7), vocab=7, memory=ToyModel.memory)
         st = cat.store(spark)
         return (st.put(f"{cat.tag(spark, sf_dir)}/lm_token_stats", tok),
                 st.put(f"{cat.tag(spark, sf_dir)}/lm_alt_stats", alt))
@@ -273,6 +274,19 @@ def q_guarded_metrics(spark, sf_dir):
 GUARDED = ["one_class", "one_finite", "none_finite", "sound"]
 
 
+def q_lm_lookahead(spark, sf_dir):
+    """Benchmark passages under a model whose look-aheads all differ, each
+    document in one pass of the model hook."""
+    cat.store(spark)
+    from memscan.operators.tokens import doc_tokens
+    d = doc_tokens(benchmark_snippets(spark, sf_dir), with_clen=False)
+    d = d.select("doc_id", lm.token_ids("toks", 7).alias("ids"))
+    stats = lm.lm_document_stats(d, lambda: lm.from_log_probs(DecayModel(7)), memory=DecayModel.memory)
+    stats = cat.store(spark).put(f"{cat.tag(spark, sf_dir)}/lm_lookahead", stats)
+    s = sc.sanitize_scores(mp.scores_from_documents(stats))
+    return s.select(F.col("doc_id").alias("item_id"), "method", _r("score", 4))
+
+
 def q_stream_score(spark, sf_dir):
     """Documents streamed through a file source, scored per micro-batch."""
     import uuid
@@ -340,6 +354,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scaled_scores_clipped": q_scaled(True),
         "scaled_metrics_clipped": q_scaled_metrics,
         "guarded_metrics": q_guarded_metrics,
+        "lm_lookahead": q_lm_lookahead,
         "stream_score": q_stream_score,
         "results_csv": q_results_csv,
     }
@@ -466,11 +481,13 @@ def _own_oracle_sql() -> dict[str, str]:
                           "\nSELECT method, printf('%.1f%%', auroc * 100) AS auroc,"
                           " printf('%.1f%%', fpr95 * 100) AS fpr95, printf('%.1f%%', tpr05 * 100) AS tpr05"
                           " FROM metrics WHERE method <> 'zlib'")
-    toy = lm.ToyModel(7)
+    toy = ToyModel(7)
     out["lm_scores"] = sql.lm_scores_sql(toy.A.tolist(), toy.B.tolist())
     out["lm_token_stats"] = (sql.chain(upto="docs") + "," + sql.lm_toy_cte(toy.A.tolist(), toy.B.tolist()) +
                              "\nSELECT doc_id, i AS pos, round(lp, 6) AS lp, round(mu, 6) AS mu,"
                              " round(var, 6) AS var, round(lp_xhat, 6) AS lp_xhat, T FROM lts")
+    decay = DecayModel(7)
+    out["lm_lookahead"] = sql.lm_decay_scores_sql(decay.A.tolist(), decay.e.tolist(), decay.w.tolist(), decay.fade, decay.trace)
     out["top_methods"] = (sql.chain() + "," + sql.metrics_cte("scores") + """,
         fm AS (SELECT method, method_order, printf('%.1f%%', auroc * 100) AS auroc,
                       printf('%.1f%%', fpr95 * 100) AS fpr95, printf('%.1f%%', tpr05 * 100) AS tpr05 FROM metrics)

@@ -358,3 +358,65 @@ raw AS (SELECT doc_id, fam || rname AS method,
                   FROM docs, rt, la_all WHERE T >= 3 AND floor(CAST(T - 1 AS DOUBLE) * r) = 0
         UNION ALL SELECT doc_id, 'loss', {NAN} FROM docs WHERE T < 2)
 SELECT doc_id, method, round({finite_or0('score')}, 4) AS score FROM raw"""
+
+
+def lm_decay_scores_sql(A, e, w, fade: float, trace: int) -> str:
+    """All scores but zlib of the fading-trace model over ``benchmark``."""
+    V = len(A)
+    wa = ", ".join(f"({a}, {v}, {d(A[a][v])})" for a in range(V) for v in range(V))
+    we = ", ".join(f"({v}, {d(e[v])}, {d(w[v])})" for v in range(V))
+    rows = ", ".join(f"({j}, {d(r)}, '{ratio_name(r)}')" for j, r in enumerate(RATIOS))
+    la_all = ", ".join(f"({L})" for L in LOOK_AHEADS)
+    dist = lambda src: f"""SELECT t.*, a.v, a.w + v.w * t.s AS logit FROM {src} t JOIN wa a ON a.a = t.cur JOIN we v ON v.v = a.v"""
+    return chain(source="benchmark", upto="docs") + f""",
+wa AS (SELECT * FROM (VALUES {wa}) t(a, v, w)),
+we AS (SELECT * FROM (VALUES {we}) t(v, e, w)),
+rt AS (SELECT * FROM (VALUES {rows}) t(r_ix, r, rname)),
+la_all AS (SELECT * FROM (VALUES {la_all}) t(L)),
+di AS (SELECT doc_id, T, list_transform(toks, lambda t: length(t) % {V}) AS ids FROM docs),
+dp AS (SELECT doc_id, T, ids, unnest(range(0, greatest(T - 1, 0))) AS p FROM di),
+tr AS (SELECT doc_id, p, sum(pow({d(fade)}, k) * we.e) AS s FROM (
+         SELECT doc_id, p, ids, unnest(range(1, least(p, {trace}) + 1)) AS k FROM dp WHERE p >= 1) q
+       JOIN we ON we.v = q.ids[q.p - q.k + 1] GROUP BY doc_id, p),
+st AS (SELECT dp.doc_id, dp.T, dp.p, dp.ids[dp.p + 1] AS cur, dp.ids[dp.p + 2] AS obs, coalesce(tr.s, 0.0) AS s
+       FROM dp LEFT JOIN tr ON tr.doc_id = dp.doc_id AND tr.p = dp.p),
+l1 AS ({dist("st")}),
+l2 AS (SELECT *, logit - max(logit) OVER (PARTITION BY doc_id, p) AS zz FROM l1),
+l3 AS (SELECT *, zz - ln(sum(exp(zz)) OVER (PARTITION BY doc_id, p)) AS lpv FROM l2),
+mo1 AS (SELECT doc_id, T, p, cur, obs, s, sum(CASE WHEN v = obs THEN lpv ELSE 0.0 END) AS lp, sum(exp(lpv) * lpv) AS mu,
+               sum(exp(lpv) * lpv * lpv) AS m2, max(lpv) AS lp_xhat FROM l3 GROUP BY ALL),
+best AS (SELECT doc_id, p, v AS xh FROM (SELECT doc_id, p, v, row_number() OVER (PARTITION BY doc_id, p ORDER BY lpv DESC, v) AS rn
+         FROM l3) WHERE rn = 1),
+ts AS (SELECT m.doc_id, m.T, m.p, m.cur, m.obs, m.s, m.lp, m.mu, m.m2 - m.mu * m.mu AS var, m.lp_xhat, b.xh
+       FROM mo1 m JOIN best b ON b.doc_id = m.doc_id AND b.p = m.p),
+zz1 AS (SELECT *, (lp - mu) / {sd_floor('var')} AS z_o, (lp_xhat - mu) / {sd_floor('var')} AS z_x FROM ts),
+al AS (SELECT i.doc_id, i.p AS i, p.p, p.obs, CASE WHEN p.p = i.p + 1 THEN i.xh ELSE p.cur END AS cur,
+              CASE WHEN p.p = i.p + 1 THEN p.s ELSE p.s + pow({d(fade)}, p.p - i.p - 1) * (eh.e - eo.e) END AS s
+       FROM zz1 i JOIN zz1 p ON p.doc_id = i.doc_id AND p.p > i.p AND p.p <= least(i.p + {trace} + 1, i.T - 3)
+       JOIN we eh ON eh.v = i.xh JOIN we eo ON eo.v = i.obs),
+a1 AS ({dist("al")}),
+a2 AS (SELECT *, logit - max(logit) OVER (PARTITION BY doc_id, i, p) AS zz FROM a1),
+a3 AS (SELECT *, zz - ln(sum(exp(zz)) OVER (PARTITION BY doc_id, i, p)) AS lpv FROM a2),
+am AS (SELECT doc_id, i, p, sum(CASE WHEN v = obs THEN lpv ELSE 0.0 END) AS lp, sum(exp(lpv) * lpv) AS mu,
+              sum(exp(lpv) * lpv * lpv) AS m2 FROM a3 GROUP BY ALL),
+av AS (SELECT doc_id, i, p, lp, mu, m2 - mu * mu AS var FROM am),
+df AS (SELECT a.doc_id, a.i, a.p, z.z_o - (a.lp - a.mu) / {sd_floor('a.var')} AS x FROM av a
+       JOIN zz1 z ON z.doc_id = a.doc_id AND z.p = a.p),
+rl AS (SELECT z.doc_id, z.T, z.p AS i, la_all.L, z.z_o - z.z_x AS base,
+              coalesce((SELECT sum(CASE WHEN isfinite(df.x) THEN df.x ELSE 0.0 END) FROM df
+                        WHERE df.doc_id = z.doc_id AND df.i = z.p AND df.p <= z.p + la_all.L), 0.0) AS later
+       FROM zz1 z CROSS JOIN la_all WHERE z.T >= 3),
+lv AS (SELECT doc_id, T - 1 AS n, 'mink_' AS fam, lp AS v FROM ts
+       UNION ALL SELECT doc_id, T - 1, 'mink++_', {z_token("lp", "mu", "var", False)} FROM ts
+       UNION ALL SELECT doc_id, T - 1, 'infill_' || CAST(L AS VARCHAR) || '_', {nan_to_num("(base + later)")} FROM rl),
+ks AS (SELECT *, row_number() OVER (PARTITION BY doc_id, fam ORDER BY v) AS rn,
+              sum(v) OVER (PARTITION BY doc_id, fam ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cs FROM lv),
+sc AS (SELECT ks.doc_id, ks.fam || rt.rname AS method, cs / CAST(rn AS DOUBLE) AS score
+       FROM ks JOIN rt ON floor(CAST(ks.n AS DOUBLE) * rt.r) = ks.rn
+       UNION ALL SELECT doc_id, 'loss', avg(lp) FROM ts GROUP BY doc_id
+       UNION ALL SELECT doc_id, f.fam || rname, {NAN} FROM docs, rt, (VALUES ('mink_'), ('mink++_')) f(fam)
+                 WHERE floor(CAST(greatest(T - 1, 0) AS DOUBLE) * r) = 0
+       UNION ALL SELECT doc_id, 'infill_' || CAST(la_all.L AS VARCHAR) || '_' || rname, 0.0 FROM docs, rt, la_all
+                 WHERE T >= 3 AND floor(CAST(T - 1 AS DOUBLE) * r) = 0
+       UNION ALL SELECT doc_id, 'loss', {NAN} FROM docs WHERE T < 2)
+SELECT doc_id AS item_id, method, round({finite_or0('score')}, 4) AS score FROM sc"""
