@@ -172,7 +172,7 @@ def q_dataset_statistics(spark, sf_dir):
 def q_score_profile(spark, sf_dir):
     p = prof.score_profile(cat.raw_scores(spark, sf_dir).filter(F.col("method") != "zlib"))
     return p.select("method", "total", "finite", "inf", "nan", _r("min", 6), _r("max", 6), _r("mean", 6),
-                    _r("std_pop", 6))
+                    _r("std_pop", 6), _r("finite_share", 9), _r("inf_share", 9), _r("nan_share", 9))
 
 
 def q_issue_report(spark, sf_dir):
@@ -430,7 +430,10 @@ def _own_oracle_sql() -> dict[str, str]:
                    round(min(CASE WHEN isfinite(score) THEN score END), 6) AS min,
                    round(max(CASE WHEN isfinite(score) THEN score END), 6) AS max,
                    round(avg(CASE WHEN isfinite(score) THEN score END), 6) AS mean,
-                   round(stddev_pop(CASE WHEN isfinite(score) THEN score END), 6) AS std_pop
+                   round(stddev_pop(CASE WHEN isfinite(score) THEN score END), 6) AS std_pop,
+                   round(CAST(sum(CASE WHEN isfinite(score) THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 9) AS finite_share,
+                   round(CAST(sum(CASE WHEN isinf(score) THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 9) AS inf_share,
+                   round(CAST(sum(CASE WHEN isnan(score) THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 9) AS nan_share
             FROM raw GROUP BY method""",
         "benchmark_contamination": sql.chain(source="benchmark") +
             "\nSELECT doc_id AS item_id, method, round(score, 4) AS score FROM scores WHERE method <> 'zlib'",

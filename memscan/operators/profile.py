@@ -37,18 +37,20 @@ def dataset_statistics(snippets: DataFrame, sample_rows: int = SAMPLE_ROWS) -> D
 
 
 def score_profile(raw: DataFrame) -> DataFrame:
-    """Per method: total, finite, inf and NaN counts; min, max, mean and
-    population std of the finite values."""
+    """Per method: total, finite, inf and NaN counts and their shares; min,
+    max, mean and population std of the finite values."""
     s = F.col("score")
     fin = is_finite(s)
     fs = F.when(fin, s)
-    return raw.groupBy("method").agg(
+    p = raw.groupBy("method").agg(
         F.count(F.lit(1)).alias("total"),
         F.sum(fin.cast("long")).alias("finite"),
         F.sum((F.abs(s) == dlit(float("inf"))).cast("long")).alias("inf"),
         F.sum(F.isnan(s).cast("long")).alias("nan"),
         F.min(fs).alias("min"), F.max(fs).alias("max"), F.avg(fs).alias("mean"),
         F.stddev_pop(fs).alias("std_pop"))
+    return p.withColumns({f"{k}_share": F.col(k).cast("double") / F.col("total").cast("double")
+                          for k in ("finite", "inf", "nan")})
 
 
 def issue_report(profile: DataFrame, order: DataFrame, show: int = 5) -> DataFrame:
