@@ -1,6 +1,6 @@
 """Repeated byte strings: suffix arrays with common-prefix interval trees.
 
-Every 100-byte window of a text is owned by an anchor, the least-hashed 32-gram
+Every 100-byte window of a text is owned by an anchor, the least-hashed 48-gram
 in it (leftmost on ties); windows of one anchor are consecutive and make a
 block.  Equal windows have equal anchors, so all occurrences of a window lie
 in blocks of one anchor hash.  Only anchors that occur again are followed up:
@@ -11,8 +11,8 @@ in blocks of one anchor hash.  Only anchors that occur again are followed up:
   common-prefix intervals, tested for diversity of the byte to the left,
   returns maximal repeats with all occurrences;
 * an anchor with more than ``VARIANTS`` distinct blocks (or that is frequent
-  within a task) does not meet in one task: its windows are dealt by their own
-  hash instead.
+  within a task) does not meet in one task: its blocks are cut anew by longer
+  anchors, up to 100 bytes, where a block is one window.
 
 Removal then covers every occurrence of a window but its first (by document,
 then position).
@@ -37,10 +37,10 @@ from memscan.llm import common
 from memscan.llm.common import BYTE_KEY, mix, stage
 
 LENGTH = 100
-GRAM = 32
+GRAMS = (48, 80, 100)     # anchor lengths by level; with the last a block is one window
 VARIANTS = 512
 LOCAL_HOT = 64
-FLUSH = 1_500_000        # blocks a task holds at once
+FLUSH = 800_000          # blocks a task holds at once
 SEGMENT = 8 << 20        # bytes of a text handled at once
 _U = np.uint64
 _MASK = _U((1 << 24) - 1)
@@ -57,15 +57,25 @@ def rolling(buf: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def blocks(buf: np.ndarray, off: np.ndarray, length: int = LENGTH):
+def gram_hash(buf: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes from each position, from two overlapping powers of two."""
+    p = 1 << (k.bit_length() - 1)
+    h = rolling(buf, p)
+    n = len(buf) - k + 1
+    if p == k or n <= 0:
+        return h[:max(n, 0)]
+    return mix(h[:n] * _U(0xD6E8FEB86659FD93) + h[k - p:k - p + n])
+
+
+def blocks(buf: np.ndarray, off: np.ndarray, gram: int, length: int = LENGTH):
     """(key, content, row, start, windows) of all blocks of the rows."""
     empty = (np.zeros(0, _U), np.zeros(0, _U), *(np.zeros(0, np.int64) for _ in range(3)))
     n = len(buf)
     if n < length:
         return empty
-    h = rolling(buf, GRAM)
+    h = gram_hash(buf, gram)
     key = (h & ~_MASK) | np.arange(len(h), dtype=_U)
-    span = length - GRAM + 1                         # 32-grams in a window
+    span = length - gram + 1                         # grams in a window
     m, w = key, 1
     while 2 * w <= span:
         m = np.minimum(m[:-w], m[w:])
@@ -84,27 +94,27 @@ def blocks(buf: np.ndarray, off: np.ndarray, length: int = LENGTH):
     windows = np.diff(np.append(first, len(s)))
     start, anchor = s[first], p[first]
     # content: hash of the first and of the last 100 bytes chained over all windows
-    h64 = rolling(buf, 64)
-    whole = mix(h64[:n - length + 1] * _U(0xD6E8FEB86659FD93) + h64[length - 64:n - 63])
+    whole = gram_hash(buf, length)
     content = np.add.reduceat(whole[s] * common.powers(int(windows.max()))[np.arange(len(s)) - np.repeat(first, windows)], first)
     r = r[first]
     return h[anchor], mix(content + windows.astype(_U)), r, start - off[r], windows
 
 
-def text_segments(batches, ids: str, text: str) -> Iterator[tuple]:
-    """(buffer, offsets, ids, shift) with texts beyond SEGMENT bytes cut into
-    overlapping stretches, so that every window lies in exactly one."""
-    for b in common.chunks(batches, text):
-        buf, off = common.text_buffer(b.column(text))
-        doc = b.column(ids).to_numpy(zero_copy_only=False)
+def text_segments(batches) -> Iterator[tuple]:
+    """(buffer, offsets, doc, base) of rows (doc, base, text), texts beyond
+    SEGMENT bytes cut into overlapping stretches, so that every window lies in
+    exactly one.  base: where the row's bytes begin in the document."""
+    for b in common.chunks(batches, "text"):
+        buf, off = common.text_buffer(b.column("text"))
+        doc, base = b.column("doc").to_numpy(), b.column("base").to_numpy()
         if len(buf) <= SEGMENT:
-            yield buf, off, doc, 0
+            yield buf, off, doc, base
             continue
         for r in range(len(doc)):
             x = buf[off[r]:off[r + 1]]
             for at in range(0, max(1, len(x) - LENGTH + 1), SEGMENT):
                 part = x[at:at + SEGMENT + LENGTH - 1]
-                yield part, np.array([0, len(part)]), doc[r:r + 1], at
+                yield part, np.array([0, len(part)]), doc[r:r + 1], base[r:r + 1] + at
 
 
 FOUND = "kind string, key long, content long, doc long, start long, windows int"
@@ -129,8 +139,8 @@ def _ordered(e: np.ndarray):
     return e, new_key, new_block
 
 
-def repeated_blocks(docs: DataFrame, parts: int) -> DataFrame:
-    """Blocks whose anchor occurs again.  kind 'whole': an equal block lies
+def repeated_blocks(rows: DataFrame, parts: int, gram: int) -> DataFrame:
+    """Blocks of rows (doc, base, text) whose anchor occurs again.  kind 'whole': an equal block lies
     earlier; 'variant': first occurrence of a block whose anchor has others;
     'hot': the same for an anchor with too many of them."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,10 +169,10 @@ def repeated_blocks(docs: DataFrame, parts: int) -> DataFrame:
                  pa.array([e[cut[p]:cut[p + 1]].tobytes() for p in some], pa.binary())], ["part", "kind", "entries"])
 
         held, n = [], 0
-        for buf, off, doc, shift in text_segments(batches, "doc", "text"):
-            key, content, row, start, windows = blocks(buf, off)
+        for buf, off, doc, base in text_segments(batches):
+            key, content, row, start, windows = blocks(buf, off, gram)
             e = np.zeros(len(key), _ENTRY)
-            e["key"], e["content"], e["doc"], e["start"], e["windows"] = key, content, doc[row], start + shift, windows
+            e["key"], e["content"], e["doc"], e["start"], e["windows"] = key, content, doc[row], start + base[row], windows
             held.append(e)
             n += len(e)
             if n > FLUSH:
@@ -190,56 +200,70 @@ def repeated_blocks(docs: DataFrame, parts: int) -> DataFrame:
         marked = np.repeat(np.maximum.reduceat(e["mark"], first) > 0, size)
         variants = np.repeat(np.add.reduceat(new_block.astype(np.int64), first), size)
         hot = marked | (variants > VARIANTS)
-        for kind, pick in (("whole", ~new_block & ~hot), ("variant", new_block & ~hot & (variants > 1)),
-                           ("hot", hot & (e["mark"] == 0))):
+        for kind, pick in (("whole", ~new_block & (e["mark"] == 0)), ("variant", new_block & ~hot & (variants > 1)),
+                           ("hot", new_block & hot & (e["mark"] == 0))):
             at = np.flatnonzero(pick)
             for i in range(0, len(at), 200_000):
                 yield _found(kind, *map(np.ascontiguousarray, cols(e[at[i:i + 200_000]])))
 
-    return (docs.select("doc", "text").mapInArrow(send, "part int, kind int, entries binary")
+    return (rows.select("doc", "base", "text").mapInArrow(send, "part int, kind int, entries binary")
             .repartition(parts, "part").mapInArrow(gather, FOUND))
 
 
 # ---------------------------------------------------------------- suffix array
-def enhanced_suffix_array(text: np.ndarray, room: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def enhanced_suffix_array(text: np.ndarray, room: np.ndarray, starts: np.ndarray,
+                          least: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``text`` at ``starts`` in order, each cut after room[i]
-    bytes, and the common prefix of each with the one before it."""
+    bytes, and the common prefix of each with the one before it (exact from
+    ``least`` on, a lower bound below).
+
+    Prefix doubling from 7 bytes; a rank is the place of the first suffix of
+    its group, so that only groups still of several suffixes are sorted on."""
     n = len(text)
     pad = np.concatenate([text.astype(_U) + _U(1), np.zeros(8, _U)])
-    # ranks of 4 bytes, then doubled; a cut suffix ranks below its extensions
-    left = np.minimum(room, 4)
     k = np.zeros(n, _U)
-    for i in range(4):
-        k = (k << _U(9)) | np.where(i < left, pad[i:n + i], _U(0))
-    ranks, width = [], 4
-    _, r = np.unique(k, return_inverse=True)
-    ranks.append((4, r))
-    longest = int(room.max(initial=0))
+    for i in range(7):      # a cut suffix ranks below its extensions
+        k = (k << _U(9)) | np.where(i < room, pad[i:n + i], _U(0))
+    order = np.argsort(k)
+    first = np.append(True, k[order[1:]] != k[order[:-1]]) if n else np.zeros(0, bool)
+    r = np.empty(n, np.int64)
+    r[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    ranks, width, longest = [(7, r)], 7, int(room.max(initial=0))
     while width < longest:
-        nxt = np.zeros(n, np.int64)
-        more = np.flatnonzero(room > width)
-        nxt[more] = r[more + width] + 1
-        _, r = np.unique(r * np.int64(n + 2) + nxt, return_inverse=True)
+        active = np.flatnonzero(np.bincount(r, minlength=n)[r] > 1)
+        if not len(active):
+            break
+        nxt = np.zeros(len(active), np.int64)
+        more = room[active] > width
+        nxt[more] = r[active[more] + width] + 1
+        old = r[active]
+        by = np.argsort(old * np.int64(n + 2) + nxt)
+        o, x = old[by], nxt[by]
+        group = np.append(True, o[1:] != o[:-1])
+        sub = group | np.append(True, x[1:] != x[:-1])
+        at = np.arange(len(by))
+        begin = np.maximum.accumulate(np.where(group, at, 0))
+        r = r.copy()
+        r[active[by]] = o + np.maximum.accumulate(np.where(sub, at, 0)) - begin
         width *= 2
         ranks.append((width, r))
     sa = starts[np.argsort(r[starts], kind="stable")]
     a, b = sa[:-1].copy(), sa[1:].copy()
-    lcp = np.zeros(max(len(sa) - 1, 0), np.int64)
-    same = r[a] == r[b]
-    lcp[same] = room[a[same]]
-    live = ~same
-    for width, q in reversed(ranks):
-        # a rank of full width says that the next ``width`` bytes agree
-        ok = live & (lcp + width <= np.minimum(room[sa[:-1]], room[sa[1:]]))
-        i = np.flatnonzero(ok)
+    limit = np.minimum(room[sa[:-1]], room[sa[1:]])
+    lcp = np.zeros(len(a), np.int64)
+    for width, q in reversed(ranks):       # equal ranks: the next ``width`` bytes agree
+        i = np.flatnonzero(lcp + width <= limit)
         i = i[q[a[i]] == q[b[i]]]
         lcp[i] += width
         a[i] += width
         b[i] += width
-    for i in np.flatnonzero(live):
-        lim = min(room[sa[i]], room[sa[i + 1]])
-        while lcp[i] < lim and text[sa[i] + lcp[i]] == text[sa[i + 1] + lcp[i]]:
-            lcp[i] += 1
+    i = np.flatnonzero((lcp < limit) & (lcp + 7 > least))
+    while len(i):                           # fewer than 7 bytes are left to compare
+        i = i[text[a[i]] == text[b[i]]]
+        lcp[i] += 1
+        a[i] += 1
+        b[i] += 1
+        i = i[lcp[i] < limit[i]]
     return sa, np.append(0, lcp) if len(sa) else lcp
 
 
@@ -283,7 +307,7 @@ def repeats_of_blocks(t: pa.Table) -> pa.Table:
     pos = np.arange(len(raw)) - off[row]
     room = np.diff(off)[row] - pos
     windows = np.flatnonzero(room >= LENGTH)
-    sa, lcp = enhanced_suffix_array(raw, room, windows)
+    sa, lcp = enhanced_suffix_array(raw, room, windows, LENGTH)
     # suffixes of one anchor apart, without giving up the order within it
     by = np.argsort(anchor[row[sa]], kind="stable")
     rank = np.empty(len(sa), np.int64)
@@ -328,79 +352,72 @@ def _range_min(lcp: np.ndarray, by: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- operator
-def _window_hashes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h = rolling(x, 64)
-    a, b = h[:len(x) - LENGTH + 1], h[LENGTH - 64:len(x) - 63]
-    return mix(a * _U(0xD6E8FEB86659FD93) + b), mix(mix(a) ^ (b * _U(0x9E3779B97F4A7C15)))
-
-
-def find(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """For rows (doc, text): blocks that repeat, maximal repeats of variants
-    (bucket, grp, length, doc, start), repeated windows of hot anchors
-    (doc, start) without each first occurrence."""
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts = max(1, int(size // 35 // FLUSH) + 1, min(common.slots(docs.sparkSession), int(size // (4 << 20)) + 1))
-    found = stage(repeated_blocks(docs, parts), "blocks")
-    common.release(docs.sparkSession)
-    open_ = (found.filter("kind <> 'whole'")
-             .groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "start", "windows")).alias("b")))
+def bytes_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(kind, key, doc, base, text) with the bytes of found blocks."""
+    wanted = found.groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "start", "windows")).alias("b"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches, "text"):
             buf, off = common.text_buffer(b.column("text"))
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(5)]
             for r, (doc, items) in enumerate(zip(b.column("doc").to_pylist(), b.column("b").to_pylist(), strict=True)):
                 x = buf[off[r]:off[r + 1]]
                 for it in items:
-                    s, raw = it["start"], x[it["start"]:it["start"] + it["windows"] + LENGTH - 1]
-                    if it["kind"] == "variant":
-                        for c, v in zip(out, (it["key"], doc, s, raw.tobytes(), None, None), strict=True):
-                            c.append(v)
-                    else:
-                        h1, h2 = _window_hashes(raw)
-                        for c, v in zip(out, (None, doc, s, None, h1.tobytes(), h2.tobytes()), strict=True):
-                            c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                    s = it["start"]
+                    for c, v in zip(out, (it["kind"], it["key"], doc, s, x[s:s + it["windows"] + LENGTH - 1].tobytes()), strict=True):
+                        c.append(v)
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)],
-                                             ["key", "doc", "start", "bytes", "h1", "h2"])
-
-    pieces = stage(docs.join(open_, "doc").mapInArrow(
-        cut, "key long, doc long, start long, bytes binary, h1 binary, h2 binary"), "pieces")
-    common.release(docs.sparkSession)
-    variants = pieces.filter("bytes is not null")
-    buckets = max(1, variants.count() // 10_000 + 1)
-    groups = (variants.select(F.pmod("key", F.lit(buckets)).alias("bucket"), "key", "doc", "start", "bytes")
+                                             ["kind", "key", "doc", "base", "text"])
+
+    return docs.join(wanted, "doc").select("doc", "text", "b").mapInArrow(
+        cut, "kind string, key long, doc long, base long, text binary")
+
+
+def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For rows (doc, text): repeated blocks without each first occurrence
+    (doc, start, windows), and maximal repeats among the distinct blocks of an
+    anchor (bucket, grp, length, doc, start).
+
+    Blocks of anchors that too many distinct blocks share are cut anew by
+    longer anchors, level by level; anchors of 100 bytes are the windows."""
+    spark = docs.sparkSession
+    rows = docs.select("doc", F.lit(0).cast("long").alias("base"), "text")
+    whole, variants = [], []
+    for level, gram in enumerate(GRAMS):
+        size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        parts = max(1, int(size // 25 // FLUSH) + 1, min(common.slots(spark), int(size // (4 << 20)) + 1))
+        found = stage(repeated_blocks(rows, parts, gram), f"blocks{level}")
+        whole.append(found.filter("kind = 'whole'").select("doc", "start", "windows"))
+        open_ = found.filter("kind <> 'whole'")
+        if open_.isEmpty():
+            break
+        pieces = stage(bytes_of(docs, open_), f"pieces{level}")
+        variants.append(pieces.filter("kind = 'variant'").select(
+            F.xxhash64("key", F.lit(level)).alias("key"), "doc", F.col("base").alias("start"), F.col("text").alias("bytes")))
+        rows = pieces.filter("kind = 'hot'").select("doc", "base", "text")
+        if rows.isEmpty():
+            break
+    union = lambda x: x[0] if len(x) == 1 else x[0].unionAll(union(x[1:]))
+    if not variants:
+        return union(whole), spark.createDataFrame([], "bucket long, grp long, length long, doc long, start long")
+    blocks_ = union(variants)
+    buckets = max(1, blocks_.count() // 5_000 + 1)
+    groups = (blocks_.select(F.pmod("key", F.lit(buckets)).alias("bucket"), "key", "doc", "start", "bytes")
               .groupBy("bucket").applyInArrow(
                   repeats_of_blocks, "bucket long, grp long, length long, doc long, start long"))
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, s, x, y in zip(*(b.column(c) for c in ("doc", "start", "h1", "h2")), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                n = len(u)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(u), pa.array(v), pa.array(np.full(n, doc.as_py())), pa.array(np.arange(n) + s.as_py())],
-                    ["h1", "h2", "doc", "start"])
-
-    hot = pieces.filter("h1 is not null").select("doc", "start", "h1", "h2").mapInArrow(
-        windows, "h1 long, h2 long, doc long, start long")
-    place = F.struct("doc", "start")
-    first = hot.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    later = hot.join(first, ["h1", "h2"]).filter(place != F.col("first")).select("doc", "start")
-    return found, groups, later
+    return union(whole), groups
 
 
 def removable(docs: DataFrame) -> DataFrame:
     """(doc, start, end) of bytes covered by a window that starts earlier."""
-    found, groups, later = find(docs)
-    w = F.col("start")
-    whole = found.filter("kind = 'whole'").select("doc", w, (w + F.col("windows") + (LENGTH - 1)).alias("end"))
+    found, groups = find(docs)
+    whole = found.select("doc", "start", (F.col("start") + F.col("windows") + (LENGTH - 1)).alias("end"))
     g = stage(groups, "groups")
     first = g.groupBy("bucket", "grp").agg(F.min(F.struct("doc", "start")).alias("first"))
     again = (g.join(first, ["bucket", "grp"]).filter(F.struct("doc", "start") != F.col("first"))
              .select("doc", "start", (F.col("start") + F.col("length")).alias("end")))
-    hot = later.select("doc", "start", (F.col("start") + LENGTH).alias("end"))
-    return whole.unionAll(again).unionAll(hot)
+    return whole.unionAll(again)
 
 
 def merge_spans(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -425,7 +442,6 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     else:
         d = d.withColumn("_doc", F.col("doc_id").cast("long"))
     spans = stage(removable(d.select(F.col("_doc").alias("doc"), "text")), "spans")
-    common.release(docs.sparkSession)
     spans = spans.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("start").alias("_s"), F.collect_list("end").alias("_e"))
     return d.join(spans, "_doc", "left").select(*cols, "_s", "_e")
 
