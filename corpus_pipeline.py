@@ -62,5 +62,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = common.stage(stage(spark, docs, sf_dir), name)
-        common.release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

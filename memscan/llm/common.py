@@ -23,6 +23,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,7 +63,7 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0]:o[-1]], o - o[0]
 
 
-def chunks(batches, text: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches, text: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``max_bytes`` of text each (one row at least), so the
     memory of vectorised steps does not follow the Arrow batch size."""
     for b in batches:

@@ -99,7 +99,6 @@ def line_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lines = lines_of(docs)
     full = lines.filter(~F.col("line").rlike(BLANK)).select("id", "line")
     sig = stage(signatures(full).dropDuplicates(["id"]), "linesig")
-    common.release(spark)
 
     def texts_of(ids: DataFrame) -> DataFrame:
         return full.join(ids, "id", "leftsemi").dropDuplicates(["id"]).withColumnRenamed("line", "text")

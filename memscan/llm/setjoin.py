@@ -303,11 +303,11 @@ def links(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets:
     level = 0
     while True:
         nodes = stage(nodes, f"nodes{level}")
-        if level == 0:
-            common.release(spark)
-            texts = stage(texts_of(nodes.select("id").distinct()), "texts")
+        if level == 0:      # from here on only ids that meet another matter
+            met = stage(nodes.select("id").distinct(), "met")
+            sigs = stage(sigs.select("id", "brief").join(met, "id", "leftsemi"), "metsigs")
+            texts = stage(texts_of(met), "texts")
             sets_of = lambda ids: to_sets(texts.join(ids, "id", "leftsemi"))
-            common.release(spark)
         # a pivot by hashed choice, so that the nodes of a group try different ones
         size = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"),
                                         F.min_by("id", F.xxhash64("key", "id")).alias("pivot"))
