@@ -13,7 +13,8 @@ with their training counts, to the parts, as packed arrays (one row for a
 block and part), and gets back, aligned with what it sent, what the model
 holds.  Bigrams are dealt by history; histories with more than N / HOT of the
 tokens, at most HOT of them, are dealt by bigram instead and their sums added
-up separately.  Nothing is sampled; words and bigrams are 64-bit hashes.
+up separately.  Nothing is sampled; words are 64-bit hashes, of which bigrams
+within a part keep 48 bits.
 
 Guards: where counts of counts give no discount in (0, 1], d_r is
 1 - b / r with b = n_1 / (n_1 + 2 n_2) (0.5 without counts); a history whose
@@ -26,6 +27,7 @@ an empty table gives an empty result; extra columns are not read."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,9 +42,9 @@ from memscan.llm.common import mix, stage
 
 K = 5
 HOT = 2048
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
 PART_WORDS = 1_500_000
-PART_PAIRS = 2_000_000
+PART_PAIRS = 1_500_000
 _U = np.uint64
 END = _U(0x5EED0E0F5EED0E0F)
 
@@ -63,12 +65,24 @@ def unpack24(raw) -> np.ndarray:
     return out.view("<u4").ravel().astype(np.int64)
 
 
+def pack48(x: np.ndarray) -> bytes:
+    """The upper six bytes of hashes."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
+
+
+def unpack48(raw) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(b), 8), np.uint8)
+    out[:, 2:] = b
+    return out.view("<u8").ravel()
+
+
 def raw(x) -> memoryview:
     return x.as_buffer()
 
 
 # ---------------------------------------------------------------- blocks
-BLOCKS = "block long, docs binary, held binary, n_tokens binary, words binary, tokens binary, train long"
+BLOCKS = "block long, docs binary, held binary, n_tokens binary, words binary, tokens binary, train long, size long"
 
 
 def tokenize(docs: DataFrame, held: Column) -> DataFrame:
@@ -86,9 +100,9 @@ def tokenize(docs: DataFrame, held: Column) -> DataFrame:
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             row = [(part << 32) | seq, np.concatenate(d).tobytes(), hold.astype(np.uint8).tobytes(), pack24(lens),
-                   words[order].tobytes(), pack24(place[at]), int(lens[~hold].sum())]
+                   words[order].tobytes(), zlib.compress(pack24(place[at]), 1), int(lens[~hold].sum()), len(tok)]
             seq += 1
-            kinds = [pa.int64(), *[pa.binary()] * 5, pa.int64()]
+            kinds = [pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)],
                                               [c.split()[0] for c in BLOCKS.split(", ")])
 
@@ -129,7 +143,7 @@ class Block:
     @classmethod
     def of(cls, b: pa.RecordBatch, i: int) -> Block:
         g = lambda c: raw(b.column(c)[i])
-        return cls(np.frombuffer(g("words"), _U), unpack24(g("tokens")), unpack24(g("n_tokens")),
+        return cls(np.frombuffer(g("words"), _U), unpack24(zlib.decompress(g("tokens"))), unpack24(g("n_tokens")),
                    np.frombuffer(g("docs"), np.int64), np.frombuffer(g("held"), np.uint8).astype(bool))
 
     def train(self) -> np.ndarray:
@@ -254,12 +268,15 @@ def bigrams(blocks: DataFrame, parts: int, hot: np.ndarray, uni: Unigram) -> Dat
                         continue
                     uh, ih = np.unique(ph[at], return_inverse=True)
                     uw, iw = np.unique(pw[at], return_inverse=True)
-                    out.append({"part": p, "block": b.column("block")[i].as_py(), "a": x.words[uh].tobytes(),
-                                "b": x.words[uw].tobytes() + b"|" + pack24(c[uw]), "c": pack24(ih), "d": pack24(iw),
+                    # histories ascend: their numbers of words stand for them
+                    out.append({"part": p, "block": b.column("block")[i].as_py(), "a": pack48(x.words[uh]),
+                                "b": pack48(x.words[uw]) + pack24(c[uw]), "c": pack24(np.bincount(ih)), "d": pack24(iw),
                                 "e": pack24(count[at])})
                 for k in range(0, len(out), 64):
                     yield _rows(SENT, out[k:k + 64])
 
+    hot48 = unpack48(pack48(hot))
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list] = {}
         for b in batches:
@@ -269,10 +286,9 @@ def bigrams(blocks: DataFrame, parts: int, hot: np.ndarray, uni: Unigram) -> Dat
             hh, ww, cc, pw = [], [], [], []
             for _, a, wb, ih, iw, e in rows:
                 ih, iw = unpack24(raw(ih)), unpack24(raw(iw))
-                wb = bytes(raw(wb))
                 n = int(iw.max()) + 1
-                words, counts = np.frombuffer(wb[:8 * n], _U), unpack24(wb[8 * n + 1:])
-                hh.append(np.frombuffer(raw(a), _U)[ih])
+                words, counts = unpack48(raw(wb)[:6 * n]), unpack24(raw(wb)[6 * n:])
+                hh.append(np.repeat(unpack48(raw(a)), ih))
                 ww.append(words[iw])
                 pw.append(counts[iw])
                 cc.append(unpack24(raw(e)))
@@ -296,15 +312,15 @@ def bigrams(blocks: DataFrame, parts: int, hot: np.ndarray, uni: Unigram) -> Dat
                 classes[:, r - 1] = np.bincount(own[total == r], minlength=n_h)
             mass = np.bincount(own[seen], uni.p(cw[order][first][seen]), n_h)
             uh = hs[new_h]
-            hot_h = np.isin(uh, hot)
+            hot_h = np.isin(uh, hot48)
             yield _rows(BIGRAMS, [{s: int((total == r).sum()) for r, s in enumerate(_STATS, 1)}])
             for k in np.flatnonzero(hot_h):
                 yield _rows(BIGRAMS, [{"history": int(uh[k].view(np.int64)), "s": float(mass[k])}
                                       | {_STATS[r]: int(classes[k, r]) for r in range(K)}])
             for (blk, a, *_), lo, hi in zip(rows, cut[:-1], cut[1:], strict=True):
-                at = np.searchsorted(uh, np.frombuffer(raw(a), _U))
+                at = np.searchsorted(uh, unpack48(raw(a)))
                 yield _rows(BIGRAMS, [{"block": blk.as_py(), "part": part, "counts": pack24(count[lo:hi]),
-                                       "classes": pack24(classes[at].T.ravel()), "mass": mass[at].tobytes()}])
+                                       "classes": pack24(classes[at].T.ravel()), "mass": pack48(mass[at].view(_U))}])
 
     return blocks.mapInArrow(send, SENT).repartition(parts, "part").mapInArrow(gather, BIGRAMS)
 
@@ -331,7 +347,8 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
     """Scores of every row of (doc_id, text), learned from rows not held out."""
     spark = common.prepare(docs.sparkSession)
     blocks = stage(tokenize(docs, held), "blocks")
-    sums = blocks.agg(F.sum("train").alias("n"), F.sum(F.octet_length("words") / 8).alias("w")).first()
+    sums = blocks.agg(F.sum("train").alias("n"), F.sum(F.octet_length("words") / 8).alias("w"),
+                      F.sum("size").alias("t"), F.count(F.lit(1)).alias("b")).first()
     total, entries = int(sums["n"] or 0), int(sums["w"] or 0)
     parts = entries // PART_WORDS + 1
     uni_rows = stage(unigrams(blocks, parts, total / HOT), "unigrams")
@@ -340,9 +357,10 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
     v = int(uni_rows.agg(F.sum("v")).first()[0] or 0)
     hot_rows = uni_rows.filter("word is not null").select("word", "count").collect()        # at most HOT rows
     hot = np.array(sorted(r["word"] for r in hot_rows), np.int64).view(_U)
-    common.release(spark)
 
-    counts = (uni_rows.filter("block is not null").groupBy("block")
+    # few blocks in a partition, so that an Arrow batch holds few
+    spread = max(common.slots(spark), min(int(sums["b"]) // 3, 20_000))
+    counts = (uni_rows.filter("block is not null").repartition(spread, "block").groupBy("block")
               .agg(F.array_sort(F.collect_list(F.struct("part", "counts"))).alias("u")))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,9 +377,9 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
                     [*(row.column(k) for k in cols), pa.array([pack24(c)], pa.binary())], [*cols, "counts"])
 
     cols = ["block", "docs", "held", "n_tokens", "words", "tokens"]
-    counted = blocks.join(counts, "block").select(*cols, "u").mapInArrow(
+    counted = blocks.repartition(spread, "block").join(counts, "block").select(*cols, "u").mapInArrow(
         align, "block long, docs binary, held binary, n_tokens binary, words binary, tokens binary, counts binary")
-    tokens = int(blocks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0) // 3
+    tokens = int(sums["t"] or 0)
     big_parts = tokens // PART_PAIRS + 1
     bi_rows = stage(bigrams(counted, big_parts, hot, uni), "bigrams")
     d2 = discounts(stat(bi_rows.filter("history is null")))
@@ -371,8 +389,7 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
     hot_keys = np.array([r["history"] for r in hot_sums], np.int64).view(_U)
     hot_classes = np.array([[r[s] for s in _STATS[:K]] for r in hot_sums], np.int64).reshape(-1, K)
     hot_mass = np.array([r["s"] for r in hot_sums], np.float64)
-    common.release(spark)
-    answers = (bi_rows.filter("block is not null").groupBy("block")
+    answers = (bi_rows.filter("block is not null").repartition(spread, "block").groupBy("block")
                .agg(F.collect_list(F.struct("part", "counts", "classes", "mass")).alias("g")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,10 +411,11 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
                     count[k] = unpack24(raw(g["counts"]))
                     uh = np.unique(ph[k])
                     classes[uh] = unpack24(raw(g["classes"])).reshape(K, -1).T
-                    mass[uh] = np.frombuffer(raw(g["mass"]), np.float64)
+                    mass[uh] = unpack48(raw(g["mass"])).view(np.float64)
                 if len(hot_keys):
-                    k = np.minimum(np.searchsorted(hot_keys, x.words), len(hot_keys) - 1)
-                    mine = np.flatnonzero(hot_keys[k] == x.words)
+                    short = unpack48(pack48(x.words))
+                    k = np.minimum(np.searchsorted(hot_keys, short), len(hot_keys) - 1)
+                    mine = np.flatnonzero(hot_keys[k] == short)
                     classes[mine], mass[mine] = hot_classes[k[mine]], hot_mass[k[mine]]
                 lp = log_probs(count, c[pw], c[ph], classes[ph], mass[ph], d2, uni)
                 head = np.cumsum(x.lens) - x.lens
@@ -409,6 +427,6 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
                      pa.array(np.add.reduceat(base, head)), pa.array(np.add.reduceat(lp[at], head))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    out = counted.join(answers, "block", "left").mapInArrow(score, SCORES)
+    out = counted.repartition(spread, "block").join(answers, "block", "left").mapInArrow(score, SCORES)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                       "base_score", "score")
