@@ -113,7 +113,7 @@ def line_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
         return texts.select("id", "text").mapInArrow(run, "id long, elements binary")
 
-    label = setjoin.links(sig, texts_of, to_sets, percent, LEAST, TOKENS)
+    label = setjoin.links(sig, texts_of, to_sets, percent, LEAST)
     place = F.struct("doc_id", "t", "line_no")
     narrow = stage(lines.select("doc_id", "t", "line_no", F.length("line").alias("n_chars"), "id",
                                 F.col("line").rlike(BLANK).alias("blank")), "lines")

@@ -8,8 +8,10 @@ of a node are candidates of each other:
 * of larger nodes every row is compared with a pivot; nodes whose rows are then
   one component are done; of the others, those of at most ``BLOCK`` rows are
   compared exhaustively inside a task, which returns only links that join
-  components, and the rest branch into child nodes by further minwise tokens,
-  and so on until no node is left.
+  components, and the rest branch into child nodes by minwise tokens drawn
+  anew from the full sets for each level, and so on until no node is left.
+  A pair of similarity 0.75 stays together in more than one child on average,
+  so the chance that a start loses it does not grow with the depth.
 
 A signature filter far below the threshold drops most pairs; the rest are
 confirmed on full sets.  Keys meet in packed arrays (one row for each task and
@@ -31,7 +33,9 @@ from memscan.llm.common import mix, stage
 LIMIT = 16               # rows of a node that are compared pair by pair
 BLOCK = 2048             # rows of a node that one task compares exhaustively
 LOCAL_HOT = 64           # rows of a key in one task beyond which they travel singly
-STEP = 4                 # minwise tokens a large node branches by at once; (4/3) ** STEP children
+STEP = 3                 # minwise tokens a large node branches by at once
+FIRST, LATER = 8, 4      # children of a node of the first level and of deeper ones; more than (4/3) ** STEP
+FRESH = 64               # minwise tokens a level draws from the full sets
 ENTRIES = 4_000_000      # (key, id) entries of a part
 MARK = np.iinfo(np.int64).min
 _U = np.uint64
@@ -182,6 +186,18 @@ def _distinct(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key[new], ident[new]
 
 
+def fresh_tokens(sets: DataFrame, level: int) -> DataFrame:
+    """id, fresh: FRESH one-byte minwise tokens of full sets, others on each level."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.chunks(batches, "elements", 2 << 20):
+            buf, off = common.text_buffer(b.column("elements"))
+            h = mix(np.ascontiguousarray(buf).view(np.uint64) + _U(level) * common.BASE)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), binary_rows(brief(minwise(h, off[:-1] // 8, FRESH)))], ["id", "fresh"])
+
+    return sets.select("id", "elements").mapInArrow(run, "id long, fresh binary")
+
+
 def _estimate(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """Pairs whose signatures agree in at least the share ``least``."""
     s = sigs.select("id", "brief")
@@ -290,7 +306,7 @@ def merge(label: DataFrame | None, edges: DataFrame, name: str) -> DataFrame | N
 
 
 def links(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets: Callable[[DataFrame], DataFrame],
-          percent: int = 75, least: float = 0.55, tokens: int = 64) -> DataFrame:
+          percent: int = 75, least: float = 0.45) -> DataFrame:
     """(id, component) of all ids that have a confirmed link.
 
     texts_of: (id, text) of a table of ids, read once for all ids that meet
@@ -334,11 +350,11 @@ def links(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets:
             open_ = rest.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key")
             rest = rest.join(open_, "key", "leftsemi")
         level += 1
-        child = F.explode(F.when(F.pmod(F.xxhash64("key"), F.lit(6)) == 0, F.array(*map(F.lit, range(4))))
-                          .otherwise(F.array(*map(F.lit, range(3))))).alias("j")
-        byte = lambda i: F.expr(
-            f"substring(brief, cast(pmod(xxhash64(key, j, {level}, {i}), {tokens}) as int) + 1, 1)")
-        nodes = (rest.select("key", "id").join(sigs.select("id", "brief"), "id").select("key", "id", "brief", child)
+        rest = stage(rest.select("key", "id"), f"rest{level}")
+        fresh = stage(fresh_tokens(sets_of(rest.select("id").distinct()), level), f"fresh{level}")
+        child = F.explode(F.array(*map(F.lit, range(FIRST if level == 1 else LATER)))).alias("j")
+        byte = lambda i: F.expr(f"substring(fresh, cast(pmod(xxhash64(key, j, {i}), {FRESH}) as int) + 1, 1)")
+        nodes = (rest.join(fresh, "id").select("key", "id", "fresh", child)
                  .select(F.xxhash64("key", "j", *map(byte, range(STEP))).alias("key"), "id").distinct())
     rows = small[0]
     for s in small[1:]:

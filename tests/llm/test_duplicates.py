@@ -34,6 +34,30 @@ def test_near_duplicates(spark, odd, monkeypatch, block):
     assert got == brute.near_duplicates(pairs(d))
 
 
+def test_pairs_stay_together_in_branching_nodes(spark, monkeypatch):
+    """200 pairs of similarity 0.75 that all start in one node, which branches twice."""
+    import numpy as np
+
+    monkeypatch.setattr(setjoin, "BLOCK", 20)
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(1, 2**64, n, dtype=np.uint64)
+    hot, sets = draw(90), []
+    for _ in range(200):
+        both = draw(30)
+        sets += [np.sort(np.concatenate([hot, both, draw(20)])) for _ in range(2)]
+    h, n = np.concatenate(sets), np.array([len(x) for x in sets])
+    sig = setjoin.brief(setjoin.minwise(h, np.cumsum(n) - n, 64))
+    rows = [(i, np.uint64(1).tobytes(), sig[i].tobytes(), sets[i].tobytes()) for i in range(400)]
+    d = spark.createDataFrame([(i, bytearray(k), bytearray(b), bytearray(e)) for i, k, b, e in rows],
+                              "id long, keys binary, brief binary, text binary")
+    common.prepare(spark)
+    got = setjoin.links(d.select("id", "keys", "brief"), lambda ids: d.select("id", "text").join(ids, "id", "leftsemi"),
+                        lambda t: t.select("id", F.col("text").alias("elements")))
+    found = {r.id: r.component for r in got.collect()}
+    assert all(c == i - i % 2 for i, c in found.items())
+    assert len(found) >= 0.93 * 400
+
+
 def test_near_duplicates_of_documents(documents, nothing):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(documents).collect()}
     want = brute.near_duplicates(pairs(documents))
