@@ -7,8 +7,8 @@ set enters ``TREES`` independent trees: a tree's first branch is a minwise
 token of the set, small nodes are compared exhaustively, large ones branch
 again (see setjoin).  A pair of similarity 0.75 meets in the first level of a
 tree with probability 0.75, so 12 trees miss it with probability 6e-8; large
-nodes branch so often that at any depth it stays together with probability
-0.95 (down to depth 4), and no pair of 50,000 simulated ones was missed down to depth 4.  Links are confirmed on full
+nodes branch so often that a start keeps it with probability 0.95 down to depth
+4, where none of 50,000 simulated pairs was missed.  Links are confirmed on full
 sets; components are found by distributed contraction.
 
 Edge cases: null, empty and blank texts have an empty set and link with

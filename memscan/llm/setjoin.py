@@ -44,6 +44,13 @@ _U = np.uint64
 # ---------------------------------------------------------------- signatures
 _mult = np.random.default_rng(7).integers(1, 2**62, 256, dtype=np.uint64) * _U(2) + _U(1)
 
+#: for each filled bin (row) and bin to fill (column): its place in the order of
+#: the latter, where each bin comes first itself, and its number
+_ORDER = np.random.default_rng(23).random((64, 64)).argsort(0) + 1
+np.fill_diagonal(_ORDER, 0)
+_ORDER = (_ORDER * 64 + np.arange(64)[:, None]).astype(np.uint16)
+_TRY = np.sort(_ORDER, 0).astype(np.int64) & 63
+
 
 def minwise(h: np.ndarray, head: np.ndarray, n: int) -> np.ndarray:
     """n minwise tokens (uint32) of each segment of hashes."""
@@ -54,22 +61,32 @@ def minwise(h: np.ndarray, head: np.ndarray, n: int) -> np.ndarray:
 
 
 def one_permutation(h: np.ndarray, row: np.ndarray, rows: int, n: int) -> np.ndarray:
-    """n minwise tokens of each row from one hash per element: n bins, empty
-    bins take the next filled one (to the left or right by a fixed coin)."""
+    """n (64) minwise tokens of each row from one hash per element: n bins; an
+    empty bin takes the first filled one in an order of its own, so that the
+    copies in rows of few elements are independent choices."""
+    assert n == len(_ORDER)
     mins = np.full(rows * n, 0xFFFFFFFF, np.uint32)
     bins = ((h >> _U(40)) % _U(n)).astype(np.int64)
     np.minimum.at(mins, row * n + bins, (h & _U(0xFFFFFFFF)).astype(np.uint32))
     mins = mins.reshape(rows, n)
-    empty = mins == 0xFFFFFFFF
-    if empty.any():
-        cols = np.arange(2 * n)
-        at = np.where(np.concatenate([empty, empty], 1), -1, cols)
-        left = np.maximum.accumulate(at, 1)[:, n:]
-        at = np.where(np.concatenate([empty, empty], 1), 3 * n, cols)
-        right = np.minimum.accumulate(at[:, ::-1], 1)[:, ::-1][:, :n]
-        coin = (mix(np.arange(n, dtype=np.uint64)) & _U(1)).astype(bool)
-        src = np.where(coin, left, right) % n
-        mins = np.where(empty, np.take_along_axis(mins, src, 1), mins)
+    filled = mins != 0xFFFFFFFF
+    many = filled.sum(1) > n // 2
+    # rows with most bins filled try the order step by step, the others rank their few filled bins
+    r, c = np.nonzero(~filled & many[:, None])
+    for t in range(1, n):
+        if not len(r):
+            break
+        src = _TRY[t, c]
+        ok = filled[r, src]
+        mins[r[ok], c[ok]] = mins[r[ok], src[ok]]
+        r, c = r[~ok], c[~ok]
+    few = np.flatnonzero(~many & filled.any(1))
+    for at in range(0, len(few), 2000):
+        rows_ = few[at:at + 2000]
+        r, c = np.nonzero(filled[rows_])
+        head = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+        src = (np.minimum.reduceat(_ORDER[c], head) & 63).astype(np.int64)
+        mins[rows_] = np.take_along_axis(mins[rows_], src, 1)
     return mins
 
 

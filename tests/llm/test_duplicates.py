@@ -94,6 +94,21 @@ def test_fuzzy_lines(spark, odd, documents, nothing):
     assert linededup.line_classes(nothing).count() == 0
 
 
+@pytest.mark.parametrize("common_, left, right", [(3, 0, 1), (6, 1, 1), (6, 0, 2), (9, 0, 3), (12, 2, 2)])
+def test_short_lines_meet_in_a_band(common_, left, right):
+    """Lines of few shingles at similarity 0.75 are missed hardly more often than long ones."""
+    import numpy as np
+
+    n, spread = 20_000, linededup.TOKENS // 3
+    bands = [[b, b + spread, b + 2 * spread] for b in range(0, spread, spread // linededup.BANDS)][:linededup.BANDS]
+    u = np.random.default_rng(1).integers(0, 2**64, (n, common_ + left + right), dtype=np.uint64)
+    sides = [u[:, :common_ + left], np.delete(u, np.s_[common_:common_ + left], 1)]
+    sig = [setjoin.one_permutation(x.ravel(), np.repeat(np.arange(n), x.shape[1]), n, linededup.TOKENS) for x in sides]
+    a, b = (setjoin.band_keys(s, bands) for s in sig)
+    near = (setjoin.brief(sig[0]) == setjoin.brief(sig[1])).mean(1) >= linededup.LEAST
+    assert 1 - ((a == b).any(1) & near).mean() < 0.01
+
+
 def test_drop_repeated_lines(spark, odd, nothing):
     want = brute.fuzzy_lines(pairs(odd), linededup.SHINGLE)
     out = linededup.drop_repeated_lines(odd)
