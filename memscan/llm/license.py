@@ -1,13 +1,14 @@
-"""License scans: winnowed template fingerprints and banded alignment.
+"""License scans: word fingerprints of templates and banded alignment.
 
-Templates (a bounded set, shipped with the plan) are split into word k-grams;
-winnowing selects fingerprints, kept in an inverted index (hash -> template,
-position).  Every k-gram of a whole document is looked up; hits of one
-template on nearby diagonals make a candidate, which a banded alignment of
-the template with that stretch of the document confirms, reporting matched
-coverage and the span.
+The words of the templates (a bounded set, shipped with the plan) are kept in
+an inverted index (hash -> template, position).  Every word of a whole document
+is looked up.  A match of m words has m hits on diagonals no further apart than
+the band, so each diagonal with as many hits around it as the accepted coverage
+asks for is a candidate, and no match of that coverage is left out however its
+words are changed.  A banded alignment of the template with that stretch of the
+document confirms it, reporting matched coverage and the span.
 
-Edge cases: null or empty text matches nothing; an empty table gives an empty
+Edge cases: a template without a word is refused; null or empty text matches nothing; an empty table gives an empty
 result; repeated rows and several matches in a text each give a row;
 overlapping matches of one template are reduced to the best (first on ties);
 extra columns are not read."""
@@ -23,12 +24,11 @@ from pyspark.sql import functions as F
 
 from memscan.llm import common
 
-K = 4
-WINDOW = 3
 MIN_COVERAGE = 0.8
 
 #: Notices as published by their stewards.
 TEMPLATES = {
+    "all-rights-reserved": "All rights reserved.",
     "mit-line": "Released under the MIT License.",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
@@ -75,39 +75,26 @@ def tokens(buf: np.ndarray, off: np.ndarray):
     return common.span_hashes(common.LOWER[buf], starts, ends), starts, ends, n
 
 
-def grams(h: np.ndarray, k: int = K) -> np.ndarray:
-    """Hash of each run of k words."""
-    if len(h) < k:
-        return np.zeros(0, np.uint64)
-    g = np.zeros(len(h) - k + 1, np.uint64)
-    for i in range(k):
-        g = common.mix(g * common.BASE + h[i:len(h) - k + 1 + i])
-    return g
-
-
-def winnow(g: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Positions of the least hash of each window (last on ties)."""
-    if len(g) <= window:
-        return np.arange(len(g))
-    w = np.lib.stride_tricks.sliding_window_view(g, window)[:, ::-1]
-    return np.unique(np.arange(len(w)) + window - 1 - w.argmin(1))
-
-
 class Index:
-    def __init__(self, templates: dict[str, str], k: int = K):
+    def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         self.tok, rows = [], []
         for t, name in enumerate(self.names):
             raw = np.frombuffer(templates[name].encode(), np.uint8)
             h, *_ = tokens(raw, np.array([0, len(raw)]))
             self.tok.append(h)
-            g = grams(h, k)
-            rows += [(g[p], t, p) for p in winnow(g)]
+            if not len(h):
+                raise ValueError(f"template without a word: {name}")
+            rows += [(x, t, p) for p, x in enumerate(h)]
         rows.sort(key=lambda r: r[0])
         self.hash = np.array([r[0] for r in rows], np.uint64)
         self.template = np.array([r[1] for r in rows], np.int64)
         self.position = np.array([r[2] for r in rows], np.int64)
 
+        self.words = np.array([len(h) for h in self.tok], np.int64)
+        # diagonals on either side of a start; less than the template, so that copies side by side stay apart
+        self.band = np.minimum(2 * np.maximum(2, self.words // 8), np.maximum(self.words - 1, 0))
+
     def hits(self, g: np.ndarray):
         """(position in g, template, position in template) of all index hits."""
         lo = np.searchsorted(self.hash, g, side="left")
@@ -157,20 +144,44 @@ def align(template: np.ndarray, doc: np.ndarray, start: int, band: int) -> tuple
     return matched, first, last + 1
 
 
-def scan_tokens(index: Index, h: np.ndarray, min_coverage: float = MIN_COVERAGE, k: int = K):
+def candidates(index: Index, h: np.ndarray, n: np.ndarray, min_coverage: float = MIN_COVERAGE):
+    """(row, template, start in the row) of all diagonals that have enough hits
+    within the band, sorted.  h: words of all rows; n: words per row."""
+    pos, tmpl, tpos = index.hits(h)
+    if not len(pos):
+        return (np.zeros(0, np.int64),) * 3
+    first = np.cumsum(n) - n
+    # rows that have enough different words of a template at all
+    row = np.repeat(np.arange(len(n)), n)[pos]
+    group = row * len(index.names) + tmpl
+    most = int(index.words.max())
+    some, different = np.unique(np.unique(group * most + tpos) // most, return_counts=True)
+    keep = np.isin(group, some[different >= min_coverage * index.words[some % len(index.names)]])
+    pos, tpos, row, group = pos[keep], tpos[keep], row[keep], group[keep]
+    if not len(pos):
+        return (np.zeros(0, np.int64),) * 3
+    first = np.cumsum(n) - n
+    margin = int(most + 2 * index.band.max() + 1)
+    span = int(n.max()) + 2 * margin                   # windows of two groups never touch
+    key = group * span + (pos - first[row] - tpos + margin)
+    order = np.argsort(key, kind="stable")
+    key, tpos = key[order], tpos[order]
+    band = index.band[key // span % len(index.names)]
+    need = min_coverage * index.words[key // span % len(index.names)]
+    lo, hi = np.searchsorted(key, key - band), np.searchsorted(key, key + band, side="right")
+    at = np.flatnonzero((hi - lo >= need) & np.append(True, key[1:] != key[:-1]))
+    key = key[at[[len(np.unique(tpos[lo[i]:hi[i]])) >= need[i] for i in at]]] if len(at) else key[:0]
+    return key // span // len(index.names), key // span % len(index.names), key % span - margin
+
+
+def scan_tokens(index: Index, h: np.ndarray, tmpl: np.ndarray, starts: np.ndarray, min_coverage: float = MIN_COVERAGE):
     """[(template, matched, first, last + 1)] of one document's words."""
-    pos, tmpl, tpos = index.hits(grams(h, k))
     out = []
     for t in np.unique(tmpl):
         words = index.tok[t]
-        band = max(2, len(words) // 8)
-        starts = np.unique((pos - tpos)[tmpl == t])
-        found, s0 = [], None
-        for s in starts:
-            if s0 is not None and s - s0 <= band:
-                continue
-            s0 = s
-            matched, a, b = align(words, h, int(s), 2 * band)
+        found = []
+        for s in starts[tmpl == t]:
+            matched, a, b = align(words, h, int(s), int(index.band[t]))
             if matched >= min_coverage * len(words):
                 found.append((matched, a, b))
         taken: list[tuple[int, int, int]] = []
@@ -203,15 +214,15 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, min_coverage: f
         for b in common.chunks(batches, "text"):
             buf, off = common.text_buffer(b.column("text"))
             h, starts, ends, n = tokens(buf, off)
-            # documents with a hit; k-grams across documents are sorted out by the scan itself
-            pos, *_ = index.hits(grams(h))
+            row, tmpl, start = candidates(index, h, n, min_coverage)
             first = np.cumsum(n) - n
-            rows = np.unique(np.searchsorted(first, pos, side="right") - 1) if len(pos) else []
+            rows = np.unique(row)
             ids = b.column("doc_id")
             out = []
             for r in rows:
                 lo, hi = first[r], first[r] + n[r]
-                for t, m, x, y in scan_tokens(index, h[lo:hi], min_coverage):
+                at = slice(*np.searchsorted(row, [r, r + 1]))
+                for t, m, x, y in scan_tokens(index, h[lo:hi], tmpl[at], start[at], min_coverage):
                     s, e = starts[lo + x], ends[lo + y - 1]
                     out.append((ids[int(r)].as_py(), index.names[t], m / len(index.tok[t]), m, len(index.tok[t]),
                                 int(s - off[r]), int(e - off[r]), buf[s:e].tobytes().decode("utf-8", "replace")))

@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from memscan.llm import katz, langid, license, quality, vectors
@@ -99,6 +100,18 @@ def test_license_scan(spark, nothing):
     assert spans[2].matched_text == t["mit"].rstrip(".") and spans[2].coverage == 1.0
 
 
+def test_license_scan_of_changed_and_short_notices(spark):
+    rows = [(1, "Released under an MIT License"), (2, "Code: licensed under CC XX-NC 4.0, see below"),
+            (3, "Copyright X. All rights reserved. All Rights Reserved."), (4, "Released here under really the now MIT old License"),
+            (5, "rights of all kinds, and the seats reserved for them"), (6, "Released under an old License")]
+    got = sorted((r.doc_id, r.license, r.n_matched, r.matched_text) for r in license.scan(frame(spark, rows)).collect())
+    assert got == [(1, "mit-line", 4, "Released under an MIT License"), (2, "cc-by-nc-4.0-line", 6, "licensed under CC XX-NC 4.0"),
+                   (3, "all-rights-reserved", 3, "All Rights Reserved"), (3, "all-rights-reserved", 3, "All rights reserved"),
+                   (4, "mit-line", 5, "Released here under really the now MIT old License")]
+    with pytest.raises(ValueError, match="without a word"):
+        license.Index({"empty": "..."})
+
+
 def test_banded_alignment_equals_full(spark):
     rng = random.Random(4)
     for _ in range(100):
