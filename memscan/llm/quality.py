@@ -1,9 +1,11 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 A document's histogram over character classes and over the common words of
-its language is compared with the reference histograms of the language (the
-pooled histograms of all documents of that language) by Jensen-Shannon
-distance; documents below a minimum length skip the test that their length
+its language is compared with the reference histograms of the language by
+Jensen-Shannon distance.  A reference counts documents of equal histograms once
+and withstands a third of bad ones: class shares are averaged over documents
+that the medians of the shares accept, common-word shares over those of them
+with a middling share of common words; documents below a minimum length skip the test that their length
 cannot support.
 
 Edge cases: null text counts as no words (base_failed, not kept); an empty
@@ -110,23 +112,35 @@ def histograms(d: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
 
 
 def references(h: DataFrame, lang: str = "lang") -> DataFrame:
-    """Mean class and common-word shares of each supported language, and (with
-    a null language) the mean class shares of all documents: at most
-    len(COMMON_WORDS) + 1 rows.  Each document weighs the same, so one long
-    text cannot set the reference."""
+    """Class and common-word shares of each supported language, and (with a
+    null language) the class shares of all documents: at most
+    len(COMMON_WORDS) + 1 rows.  Each distinct pair of histograms weighs the
+    same, so neither one long text nor many copies can set the reference.
+    Medians are exact on a grid of 0.001, so their buffers stay small."""
     n_cls = len(CLASSES)
     n_com = max(map(len, COMMON_WORDS.values())) + 1
     cls_sum = F.aggregate("_cls", F.lit(0.0), lambda a, x: a + x)
-    ok = h.filter((~F.col("base_failed")) & (F.col("n_words") >= MIN_WORDS_COMMON))
-    cls = [F.avg(F.get("_cls", F.lit(i)) / cls_sum).alias(f"c{i}") for i in range(n_cls)]
-    com = [F.avg(F.get("_com", F.lit(i)) / F.col("n_words")).alias(f"w{i}") for i in range(n_com)]
+    ok = (h.filter((~F.col("base_failed")) & (F.col("n_words") >= MIN_WORDS_COMMON))
+          .select(F.when(F.col(lang).isin(*COMMON_WORDS), F.col(lang)).alias("_own"), "_cls", "_com", "n_words").distinct())
+    ok = ok.withColumn("_lang", F.explode(F.when(F.col("_own").isNull(), F.array(F.col("_own")))
+                                          .otherwise(F.array(F.col("_own"), F.lit(None).cast("string")))))
+    ok = ok.withColumn("_hit", F.round(1 - F.element_at("_com", -1) / F.col("n_words"), 3))
+    # what a third of the documents at either end cannot move
+    mid = ok.groupBy(F.col("_lang").alias("_of")).agg(
+        *[F.percentile(F.round(F.get("_cls", F.lit(i)) / cls_sum, 3), F.lit(0.5)).alias(f"m{i}") for i in range(n_cls)],
+        F.percentile("_hit", F.lit(0.35)).alias("_from"), F.percentile("_hit", F.lit(0.65)).alias("_to"))
+    mid = mid.select("_of", "_from", "_to", F.array(*[f"m{i}" for i in range(n_cls)]).alias("_mid"))
+    all_mid = F.aggregate("_mid", F.lit(0.0), lambda a, x: a + x)
+    mid = mid.withColumn("_mid", F.transform("_mid", lambda x: F.when(all_mid > 0, x / all_mid).otherwise(x)))
+    ok = ok.join(F.broadcast(mid), F.col("_lang").eqNullSafe(F.col("_of")))
+    near = js_distance(F.col("_cls"), F.col("_mid"), cls_sum) <= MAX_CLASS_DISTANCE
+    usual = near & F.col("_hit").between(F.col("_from"), F.col("_to"))
+    mean = lambda x, of: F.coalesce(F.avg(F.when(of, x)), F.avg(x))
+    cls = [mean(F.get("_cls", F.lit(i)) / cls_sum, near).alias(f"c{i}") for i in range(n_cls)]
+    com = [mean(F.get("_com", F.lit(i)) / F.col("n_words"), usual).alias(f"w{i}") for i in range(n_com)]
     pick = lambda p, n: F.filter(F.array(*[F.col(f"{p}{i}") for i in range(n)]), lambda x: x.isNotNull())
-    per = (ok.filter(F.col(lang).isin(*COMMON_WORDS)).groupBy(F.col(lang).alias("_lang")).agg(*cls, *com)
-           .select("_lang", pick("c", n_cls).alias("_rcls"), pick("w", n_com).alias("_rcom")))
-    pooled = (ok.agg(*cls, F.count(F.lit(1)).alias("n")).filter("n > 0")
-              .select(F.lit(None).cast("string").alias("_lang"), pick("c", n_cls).alias("_rcls"),
-                      F.lit(None).cast("array<double>").alias("_rcom")))
-    return per.unionAll(pooled)
+    return ok.groupBy("_lang").agg(*cls, *com).select(
+        "_lang", pick("c", n_cls).alias("_rcls"), F.when(F.col("_lang").isNotNull(), pick("w", n_com)).alias("_rcom"))
 
 
 def js_distance(counts: Column, ref: Column, total: Column) -> Column:
@@ -144,7 +158,7 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", stage=None)
     common_distance (null where a guard skips the test) and kept.
 
     stage: writes a table and reads it back, so that one pass over the texts
-    serves the references and the verdicts; without it the plan reads twice."""
+    serves the references and the verdicts; without it the plan reads several times."""
     h = histograms(base_columns(docs, text), text, lang).drop("_words")
     if stage is not None:
         h = stage(h)

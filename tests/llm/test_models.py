@@ -74,6 +74,22 @@ def test_quality_keeps_prose_and_drops_junk(spark, documents):
     assert share[1] > 0.95 and share[0] < 0.2
 
 
+@pytest.mark.parametrize("copies", [False, True])
+def test_quality_drops_a_third_of_bad_rows(spark, copies):
+    """Bad rows, of many texts or copies of one, do not become the reference."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1")
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(labels, "doc_id").filter("lang = 'en'")
+    clean = clean.select("doc_id", "text", "lang")
+    rng = random.Random(2)
+    bad = [" ".join(rng.choice(["###", "$$$", "%%%", "a#b", "$x$", "the"]) for _ in range(120)) for _ in range(clean.count() // 2)]
+    rows = [(10 ** 9 + i, bad[0] if copies else t, "en") for i, t in enumerate(bad)]
+    every = clean.unionAll(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    q = quality.quality(every, stage=lambda h: h.drop("text").localCheckpoint())
+    share = {r.bad: r.kept for r in q.groupBy((F.col("doc_id") >= 10 ** 9).alias("bad")).agg(
+        F.avg(F.col("kept").cast("double")).alias("kept")).collect()}
+    assert share[False] > 0.95 and share[True] < 0.01
+
+
 def test_js_distance(spark):
     d = spark.createDataFrame([([1.0, 3.0], [0.25, 0.75]), ([1.0, 0.0], [0.0, 1.0])], "c array<double>, q array<double>")
     total = F.aggregate("c", F.lit(0.0), lambda a, x: a + x)
