@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memscan.llm import bpe, common, katz, langid, license, linededup, neardup, packing, repeats, vectors
+from memscan.llm import (bpe, common, katz, langid, license, linededup, merkle, neardup, oracle, packing, repeats, runs,
+                         sharding, vectors)
 from memscan.llm.quality import quality
 
 
@@ -78,6 +82,47 @@ def op10_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(_documents(spark, sf_dir, "doc_id", "text")).drop("kept")
 
 
+def op11_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in 24 shards of near-equal bytes."""
+    return sharding.shard_documents(_documents(spark, sf_dir, "doc_id", "text"), 24)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and root, verified after some texts were changed."""
+    docs = _documents(spark, sf_dir, *merkle.FIELDS)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = merkle.leaf_digest([F.translate("text", upper, upper.lower()) if c == "text" else F.col(c)
+                                   for c in merkle.FIELDS])
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    leaves = common.stage(merkle.leaf_rows(docs, {"tampered": F.when(hit, tampered)}), "merkle-leaf-rows")
+    p = merkle.proofs(merkle.manifest(leaves, ["id", "tampered"]))
+    folded = merkle.fold(F.coalesce("member.tampered", "member.digest"), F.col("proof"))
+    h = merkle.hex_of
+    return (p.select(F.col("member.id").alias("doc_id"), h(F.col("member.digest")).alias("leaf"),
+                     h(F.col("subroot")).alias("subroot"), h(F.col("root")).alias("root"),
+                     merkle.proof_digest(F.col("proof")).alias("proof_sha256"), h(folded).alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+def copied_tails(ids: list, counts: np.ndarray) -> np.ndarray:
+    """The word to read at each place: in a tenth of the texts the words from
+    some place on repeat those before them, with a period of their own."""
+    index = np.arange(int(counts.sum()))
+    for doc, n, at in zip(ids, counts.tolist(), (np.cumsum(counts) - counts).tolist(), strict=True):
+        h = 1 if doc is None else zlib.crc32(str(doc).encode())
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            period = 1 + (n - a) // (3 + g % 8)
+            index[at + a:at + n] = at + a + np.arange(n - a) % period
+    return index
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every whole text, some with copied tails."""
+    return runs.run_digests(_documents(spark, sf_dir, "doc_id", "text"), copied_tails)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline (corpus_pipeline.py) over all documents."""
     import corpus_pipeline
@@ -98,8 +143,11 @@ def queries() -> dict:
         "op8_quality_divergence": op8_quality_divergence,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_maximal_repeats": op10_maximal_repeats,
+        "op11_virtual_slots": op11_virtual_slots,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.queries()

@@ -148,3 +148,68 @@ def full_alignment(a, b):
             new.append(max(row[j - 1] + (2 if x == y else -1), row[j] - 1, new[-1] - 1))
         row = new
     return max(row)
+
+
+def digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def merkle_leaf(row):
+    """row: values of doc_id, source, lang, n_chars, text."""
+    return digest(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def merkle_levels(nodes):
+    out = [nodes]
+    while len(out[-1]) > 1:
+        out.append([digest(*out[-1][i:i + 16]) for i in range(0, len(out[-1]), 16)])
+    return out
+
+
+def merkle_path(levels, i):
+    """[(siblings left, siblings right)] from the leaf to the root."""
+    out = []
+    for nodes in levels[:-1]:
+        first = i // 16 * 16
+        run = nodes[first:first + 16]
+        out.append((run[:i - first], run[i - first + 1:]))
+        i //= 16
+    return out
+
+
+def merkle(rows, tampered):
+    """(leaf, subroot, root, proof, folded) of every row, as a list; rows in
+    any order, tampered(row) its changed form or None."""
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r[1]].append(r)
+    sources = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    for s in sources:
+        by[s].sort(key=lambda r: (r[0] is not None, r[0] or 0, merkle_leaf(r)))
+    trees = {s: merkle_levels([merkle_leaf(r) for r in by[s]]) for s in sources}
+    top = merkle_levels([trees[s][-1][0] for s in sources])
+    out = []
+    for n, s in enumerate(sources):
+        for i, r in enumerate(by[s]):
+            path = merkle_path(trees[s], i) + merkle_path(top, n)
+            got = merkle_leaf(tampered(r) or r)
+            for a, b in path:
+                got = digest(*a, got, *b)
+            out.append((r[0], trees[s][0][i], trees[s][-1][0], top[-1][0],
+                        digest(*(x for a, b in path for x in a + b)), got))
+    return out
+
+
+def word_runs(w, least=6, times=4):
+    """(start, length, period) of every run, from the definition."""
+    found = {}
+    for q in range(1, len(w) // times + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, times * q):
+                found.setdefault((i, j + q), q)
+            i = max(j, i + 1)
+    return sorted((s, e - s, q) for (s, e), q in found.items())

@@ -51,5 +51,5 @@ def test_empty_table(spark, nothing):
 def test_each_operator_has_a_query():
     names = set(queries())
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in names} >= {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names} >= {f"op{i}" for i in range(1, 14)}
     assert quality.COMMON_WORDS and vocabulary_file("word_bpe_49k.json")
