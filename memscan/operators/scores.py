@@ -4,18 +4,23 @@ All 122 scores of a document come out of one plan:
 
   token_stats --(projection; next position by lookup, or a lead window
                  when the bigram table is not broadcast)--> per-position values
-              --(explode kinds, window by doc+kind sorted by value)-->
-              running sums --(ratios whose k equals the row number)--> scores
-
-The order-statistics window reuses the hash partitioning by doc_id of the
-positions (a sort, no shuffle).  Documents with more than SPLIT_ROWS values
-per kind are sorted in ranges, equal values collapsed, instead of in one task.
+              --(one array per kind and document; sorted and summed in
+                 Arrow batches)--> ten means each --> 122 scores, unpacked
+
+The arrays are gathered over the hash partitioning by doc_id of the positions
+(no shuffle, and no sort of rows).  Order statistics have three forms, chosen by
+the size of a group alone and equal in result: arrays up to ARRAY_ROWS values;
+a window sorted by value up to SPLIT_ROWS; beyond that, ranges of values,
+equal ones collapsed, so that no task holds a whole group.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..constants import (LOOK_AHEADS, MIN_LOG_PROB, MIN_SD, MIN_VARIANCE, RATIO_CLIP,
                          RATIOS, Z_CLIP, method_names, ratio_name)
@@ -122,9 +127,38 @@ def _names(prefix: str) -> Column:
     return F.array(*[F.lit(f"{prefix}{ratio_name(r)}") for r in RATIOS])
 
 
+ARRAY_ROWS = 32_768        # values of a group held as one array
 SPLIT_ROWS = 4_000_000     # values of a range of a group
 
 
+@F.arrow_udf(ArrayType(DoubleType()))
+def k_means(values: pa.Array) -> pa.Array:
+    """Of each array: ten means of its k = int(n * r) smallest values, NULL
+    where k = 0.  One sort and one running sum for each array, in Arrow
+    batches (an array function in SQL would box each value ten times)."""
+    sizes = np.diff(values.offsets.to_numpy())
+    flat = values.flatten().to_numpy(zero_copy_only=False)
+    ks = np.floor(sizes[:, None] * np.asarray(RATIOS)).astype(np.int64)
+    means = np.zeros(ks.shape)
+    ends = np.cumsum(sizes)
+    with np.errstate(all="ignore"):
+        for row, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)):
+            if size:
+                sums = np.cumsum(np.sort(flat[end - size:end]))
+                means[row] = sums[ks[row] - 1] / ks[row]
+    offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * len(RATIOS))
+    return pa.ListArray.from_arrays(offsets, pa.array(means.ravel(), mask=(ks == 0).ravel()))
+
+
+def _kmean_arrays(values: DataFrame, n_col: str) -> DataFrame:
+    rest = [c for c in values.columns if c not in ("v", "raw")]
+    totals = [F.sum("raw").alias("tot")] if "raw" in values.columns else []
+    g = values.groupBy(*rest).agg(k_means(F.collect_list("v")).alias("km"), *totals)
+    g = g.select(*rest, *(["tot"] if totals else []), F.posexplode("km").alias("r_ix", "kmean"))
+    return (g.filter(F.col("kmean").isNotNull())
+            .withColumn("rn", k_of(F.col(n_col), F.get(_ratio_array(), F.col("r_ix")))))
+
+
 def _hits(df: DataFrame, n_col: str) -> DataFrame:
     """Keep the rows whose rank equals some k = int(n * r); one row per hit."""
     n, rn = F.col(n_col), F.col("rn")
@@ -187,27 +221,39 @@ def _kmean_ranges(values: DataFrame, key: list[str], n_col: str, ranges: int) ->
         "hit", "b_cnt", "b_sum", "off_cnt", "off_sum", "rng", "c")
 
 
-def smallest_k_mean(values: DataFrame, key: list[str], n_col: str = "n",
-                    split_rows: int | None = None, biggest: int | None = None) -> DataFrame:
+def smallest_k_mean(values: DataFrame, key: list[str], n_col: str = "n", split_rows: int | None = None,
+                    biggest: int | None = None, array_rows: int | None = None) -> DataFrame:
     """Mean of the k = int(n * r) smallest values of each group, for all ten
     ratios from one sort: rows (key..., r_ix, kmean).  NaN sorts last and
     -inf first, as in an ascending array sort.  Groups with k = 0 for a ratio
     give no row for it (the caller decides the default).
 
-    A group is sorted in ranges of about ``split_rows`` values; groups that
-    fit one range need no cuts and reuse a partitioning by the group key.
-    ``biggest`` is the size of the largest group, known from the table the
-    groups come from.  ``n_col`` must be constant within a group, so filters
-    on it can be pushed down to where the group is produced."""
+    A group of at most ``array_rows`` values is one array; a larger one is
+    sorted by rows, in ranges of about ``split_rows`` values.  ``biggest`` is
+    the size of the largest group, known from the table the groups come from.
+    ``n_col`` and columns beside ``v`` and ``raw`` must be constant within a
+    group, so filters on them can be pushed down to where it is produced."""
     split_rows = SPLIT_ROWS if split_rows is None else split_rows
+    array_rows = min(ARRAY_ROWS if array_rows is None else array_rows, split_rows)
     if biggest is None:
         biggest = values.agg(F.max(n_col)).first()[0]
-    if biggest is None or biggest <= split_rows:
+    biggest = biggest or 0
+    parts = []
+    if array_rows:
+        parts.append(_kmean_arrays(values.filter(F.col(n_col) <= array_rows) if biggest > array_rows else values, n_col))
+    if biggest > array_rows:
+        mid = values.filter((F.col(n_col) > array_rows) & (F.col(n_col) <= split_rows))
+        parts.append(_kmean_window(mid, key, n_col))
+    if biggest > split_rows:
+        parts.append(_kmean_ranges(values.filter(F.col(n_col) > split_rows), key, n_col, -(-int(biggest) // split_rows)))
+    if not parts:
         return _kmean_window(values, key, n_col)
-    small = _kmean_window(values.filter(F.col(n_col) <= split_rows), key, n_col)
-    big = _kmean_ranges(values.filter(F.col(n_col) > split_rows), key, n_col, -(-int(biggest) // split_rows))
-    names = [c for c in small.columns if c != "raw"]
-    return small.select(*names).unionByName(big.select(*names))
+    names = [c for c in values.columns if c not in ("v", "raw")] + ["r_ix", "rn", "kmean"]
+    names += ["tot"] if "raw" in values.columns else []
+    out = parts[0].select(*names)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*names))
+    return out
 
 
 def largest_group(docs: DataFrame) -> int:
@@ -220,13 +266,48 @@ def largest_group(docs: DataFrame) -> int:
 K_LP, K_Z, K_R0, K_R1 = 0, 1, 2, 3
 
 
-def raw_scores(pv: DataFrame, docs: DataFrame, extra: list[str] | None = None,
-               split_rows: int | None = None) -> DataFrame:
+def raw_scores(pv: DataFrame, docs: DataFrame, extra: list[str] | None = None, split_rows: int | None = None,
+               array_rows: int | None = None) -> DataFrame:
     """Unsanitised scores (doc_id, *extra, method, score) from position values.
 
     ``docs`` has one row per document (doc_id, T, clen, *extra) and supplies
     the scores of empty selections (k = 0, or T < 2)."""
     extra = extra or []
+    split_rows = SPLIT_ROWS if split_rows is None else split_rows
+    array_rows = min(ARRAY_ROWS if array_rows is None else array_rows, split_rows)
+    biggest = largest_group(docs)
+    n = F.col("T") - 1
+    out = empty_selection_scores(docs, extra)
+    if array_rows:
+        out = _array_scores(pv.filter(n <= array_rows) if biggest > array_rows else pv, extra).unionByName(out)
+    if biggest > array_rows:
+        out = _row_scores(pv.filter(n > array_rows), extra, split_rows, biggest).unionByName(out)
+    return out
+
+
+def _array_scores(pv: DataFrame, extra: list[str]) -> DataFrame:
+    """Scores of documents whose values are held as arrays: one group and one
+    row of 122 scores for each."""
+    n, col = F.col("T") - 1, F.col
+    kinds = {"m": col("lp_m"), "z": col("z"), "a": nan_to_num(col("r0")), "b": nan_to_num(col("r1"))}
+    g = pv.groupBy("doc_id", "T", "clen", *extra).agg(
+        F.sum("lp").alias("tot"), *[F.collect_list(v).alias(k) for k, v in kinds.items()])
+    g = g.select("doc_id", *extra, "T", "clen", (col("tot") / n.cast("double")).alias("loss"),
+                 *[k_means(k).alias(k) for k in kinds])
+    none = F.array_repeat(F.lit(None).cast("double"), len(RATIOS))
+    safe = [F.when(col("T") >= 3, F.transform(k, lambda x: F.when(x.isNotNull(), finite_or(x, 0.0)))).otherwise(none)
+            for k in ("a", "b")]
+    later = LOOK_AHEADS[1:]
+    values = F.concat("m", "z", safe[0], F.flatten(F.array_repeat(safe[1], len(later))),
+                      F.array(col("loss"), safe_div(col("loss"), col("clen").cast("double"))))
+    names = [f"{p}{ratio_name(r)}" for p in ("mink_", "mink++_", *(f"infill_{L}_" for L in LOOK_AHEADS)) for r in RATIOS]
+    g = g.select("doc_id", *extra, F.array(*map(F.lit, [*names, "loss", "zlib"])).alias("method"), values.alias("score"))
+    return (g.select("doc_id", *extra, F.inline(F.arrays_zip("method", "score")))
+            .filter(F.col("score").isNotNull()))
+
+
+def _row_scores(pv: DataFrame, extra: list[str], split_rows: int, biggest: int) -> DataFrame:
+    """Scores of documents that are too long for arrays, by sorted rows."""
     has_infill = F.col("T") >= 3
     def kv(code, v, raw=None):
         raw = raw if raw is not None else F.lit(None).cast("double")
@@ -236,7 +317,7 @@ def raw_scores(pv: DataFrame, docs: DataFrame, extra: list[str] | None = None,
     kinds = F.when(has_infill, F.array(*four)).otherwise(F.array(*two))
     long = pv.select("doc_id", "T", "clen", *extra, F.inline(kinds)).withColumn(
         "n", F.col("T") - 1)
-    ks = smallest_k_mean(long, ["doc_id", "kind"], split_rows=split_rows, biggest=largest_group(docs))
+    ks = smallest_k_mean(long, ["doc_id", "kind"], split_rows=split_rows, biggest=biggest, array_rows=0)
     ridx = F.col("r_ix")
     mink = F.get(_names("mink_"), ridx)
     minkpp = F.get(_names("mink++_"), ridx)
@@ -258,8 +339,7 @@ def raw_scores(pv: DataFrame, docs: DataFrame, extra: list[str] | None = None,
         F.struct(F.lit("loss").alias("method"), loss.alias("score")),
         F.struct(F.lit("zlib").alias("method"), safe_div(loss, F.col("clen").cast("double")).alias("score")),
     )).otherwise(F.array().cast("array<struct<method:string,score:double>>"))
-    per_pos = ks.select("doc_id", *extra, F.inline(F.concat(entries, extra_entries)))
-    return per_pos.unionByName(empty_selection_scores(docs, extra))
+    return ks.select("doc_id", *extra, F.inline(F.concat(entries, extra_entries)))
 
 
 def empty_selection_scores(docs: DataFrame, extra: list[str]) -> DataFrame:
@@ -269,6 +349,8 @@ def empty_selection_scores(docs: DataFrame, extra: list[str]) -> DataFrame:
     document with fewer than 3 tokens has no infill score at all; one without
     a text has 0.0 under all names."""
     n = F.greatest(F.col("T") - 1, F.lit(0))
+    # most documents have no empty selection and are not looked at further
+    docs = docs.filter(F.col("T").isNull() | (k_of(n, dlit(min(RATIOS))) == 0))
     idx = F.sequence(F.lit(0), F.lit(len(RATIOS) - 1))
     zero_k = F.filter(idx, lambda j: k_of(n, F.get(_ratio_array(), j)) == 0)
     nan = dlit(NAN)

@@ -57,7 +57,7 @@ def test_hot_value_in_split_sort(spark, split):
     rows += [("h", float(v), 2.0) for v in range(5)]
     df = spark.createDataFrame(rows, "g string, v double, raw double")
     df = df.join(df.groupBy("g").agg(F.count("*").cast("int").alias("n")), "g")
-    want = {(r["g"], r["r_ix"]): (r["kmean"], r["tot"]) for r in sc.smallest_k_mean(df, ["g"], split_rows=10**9).collect()}
+    want = {(r["g"], r["r_ix"]): (r["kmean"], r["tot"]) for r in sc.smallest_k_mean(df, ["g"], split_rows=10**9, array_rows=0).collect()}
     got = {(r["g"], r["r_ix"]): (r["kmean"], r["tot"]) for r in sc.smallest_k_mean(df, ["g"], split_rows=split).collect()}
     assert got.keys() == want.keys()
     for k, (a, t) in want.items():
