@@ -22,7 +22,7 @@ from memscan.operators import profile as prof
 from memscan.operators import report as rep
 from memscan.operators import lm_batches as lm
 from memscan.operators import roc
-from memscan.fixtures import DecayModel, ToyModel
+from memscan.fixtures import DecayModel, MeanModel, ToyModel
 from memscan.operators.infill import infill_ratios, parity
 from memscan.plans import model_path as mp
 from memscan.operators import scores as sc
@@ -287,6 +287,22 @@ def q_lm_lookahead(spark, sf_dir):
     return s.select(F.col("doc_id").alias("item_id"), "method", _r("score", 4))
 
 
+def q_lm_unbounded(spark, sf_dir):
+    """All documents under a model that remembers every token: each alternative
+    goes on from the state before its replaced token."""
+    d = cat.docs(spark, sf_dir).select("doc_id", lm.token_ids("toks", 4).alias("ids"))
+    stats = lm.lm_document_stats(d, MeanModel, batch_size=64)
+    stats = cat.store(spark).put(f"{cat.tag(spark, sf_dir)}/lm_unbounded", stats)
+    return sc.sanitize_scores(mp.scores_from_documents(stats)).select("doc_id", "method", _r("score", 4))
+
+
+def q_lm_padding(spark, sf_dir):
+    """The batches of the forward pass over all documents: what is padded."""
+    cat.store(spark)
+    p = lm.padding(lm.lm_forward(cat.docs(spark, sf_dir), lambda: ToyModel(7), vocab=7, batch_size=16))
+    return p.select("n_docs", "n_tokens", (F.col("padding_share") < 0.1).alias("padding_in_bounds"))
+
+
 def q_stream_score(spark, sf_dir):
     """Documents streamed through a file source, scored per micro-batch."""
     import uuid
@@ -355,6 +371,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "scaled_metrics_clipped": q_scaled_metrics,
         "guarded_metrics": q_guarded_metrics,
         "lm_lookahead": q_lm_lookahead,
+        "lm_unbounded": q_lm_unbounded,
+        "lm_padding": q_lm_padding,
         "stream_score": q_stream_score,
         "results_csv": q_results_csv,
     }
@@ -491,6 +509,10 @@ def _own_oracle_sql() -> dict[str, str]:
                              " round(var, 6) AS var, round(lp_xhat, 6) AS lp_xhat, T FROM lts")
     decay = DecayModel(7)
     out["lm_lookahead"] = sql.lm_decay_scores_sql(decay.A.tolist(), decay.e.tolist(), decay.w.tolist(), decay.fade, decay.trace)
+    mean = MeanModel()
+    out["lm_unbounded"] = sql.lm_mean_scores_sql(mean.A.tolist(), mean.e.tolist(), mean.w.tolist())
+    out["lm_padding"] = (sql.chain(upto="docs") + "\nSELECT count(*)::BIGINT AS n_docs, sum(T)::BIGINT AS n_tokens,"
+                         " true AS padding_in_bounds FROM docs")
     out["top_methods"] = (sql.chain() + "," + sql.metrics_cte("scores") + """,
         fm AS (SELECT method, method_order, printf('%.1f%%', auroc * 100) AS auroc,
                       printf('%.1f%%', fpr95 * 100) AS fpr95, printf('%.1f%%', tpr05 * 100) AS tpr05 FROM metrics)

@@ -420,3 +420,66 @@ sc AS (SELECT ks.doc_id, ks.fam || rt.rname AS method, cs / CAST(rn AS DOUBLE) A
                  WHERE T >= 3 AND floor(CAST(T - 1 AS DOUBLE) * r) = 0
        UNION ALL SELECT doc_id, 'loss', {NAN} FROM docs WHERE T < 2)
 SELECT doc_id AS item_id, method, round({finite_or0('score')}, 4) AS score FROM sc"""
+
+
+def lm_mean_scores_sql(A, e, w) -> str:
+    """All scores but zlib of the running-mean model over ``documents``: every
+    pair of a position and one of the 500 after it, from the definition."""
+    V = len(A)
+    rows = ", ".join(f"({j}, {d(r)}, '{ratio_name(r)}')" for j, r in enumerate(RATIOS))
+    la_all = ", ".join(f"({L})" for L in LOOK_AHEADS)
+    far = max(LOOK_AHEADS)
+    wa = ", ".join("(" + ", ".join([str(a), *(d(x) for x in A[a]), d(e[a])]) + ")" for a in range(V))
+    heads = ", ".join(f"a{v}" for v in range(V))
+    vs = range(V)
+
+    def dist(src: str) -> str:
+        """lp of the observed token, mu, var of the rows (cur, obs, s)."""
+        l0 = ", ".join(f"a{v} + {d(w[v])} * s AS l{v}" for v in vs)
+        mx = "greatest(" + ", ".join(f"l{v}" for v in vs) + ")"
+        lse = "ln(" + " + ".join(f"exp(l{v} - mx)" for v in vs) + ")"
+        p = ", ".join(f"l{v} - mx - lse AS p{v}" for v in vs)
+        mu = " + ".join(f"exp(p{v}) * p{v}" for v in vs)
+        var = " + ".join(f"exp(p{v}) * (p{v} - mu) * (p{v} - mu)" for v in vs)
+        lp = "CASE obs " + " ".join(f"WHEN {v} THEN p{v}" for v in vs) + " END"
+        top = "CASE greatest(" + ", ".join(f"p{v}" for v in vs) + ") " + " ".join(f"WHEN p{v} THEN {v}" for v in vs) + " END"
+        big = "greatest(" + ", ".join(f"p{v}" for v in vs) + ")"
+        return f"""SELECT *, {lp} AS lp, {var} AS var, {top} AS xh, {big} AS lp_xhat FROM (
+            SELECT *, {mu} AS mu FROM (SELECT *, {p} FROM (SELECT *, {lse} AS lse FROM (SELECT *, {mx} AS mx FROM (
+            SELECT q.*, {l0} FROM {src} q JOIN wa ON wa.a = q.cur)))))"""
+
+    return chain(upto="docs") + f""",
+wa AS (SELECT * FROM (VALUES {wa}) t(a, {heads}, e)),
+rt AS (SELECT * FROM (VALUES {rows}) t(r_ix, r, rname)),
+la_all AS (SELECT * FROM (VALUES {la_all}) t(L)),
+di AS (SELECT doc_id, T, list_transform(toks, lambda t: length(t) % {V}) AS ids FROM docs),
+dp AS (SELECT doc_id, T, unnest(ids) AS cur, unnest(list_concat(ids[2:], [NULL])) AS obs, unnest(range(0, T)) AS p FROM di WHERE T > 0),
+st AS (SELECT doc_id, T, p, cur, obs, e, sum(e) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS tot
+       FROM dp JOIN wa ON wa.a = dp.cur),
+s0 AS (SELECT *, tot / (p + 1) AS s FROM st WHERE p <= T - 2),
+ts AS MATERIALIZED (SELECT doc_id, T, p, cur, obs, tot, lp, mu, var, xh, lp_xhat, (lp - mu) / {sd_floor('var')} AS z_o,
+       (lp_xhat - mu) / {sd_floor('var')} AS z_x FROM ({dist("s0")})),
+al AS (SELECT doc_id, p AS i, obs AS was, xh, unnest(range(1, least({far}, T - 3 - p) + 1)) AS k FROM ts WHERE p <= T - 4),
+ap AS (SELECT al.doc_id, al.i, al.k, ts.z_o, ts.obs, CASE WHEN k = 1 THEN al.xh ELSE ts.cur END AS cur,
+              (ts.tot + eh.e - eo.e) / (ts.p + 1) AS s
+       FROM al JOIN ts ON ts.doc_id = al.doc_id AND ts.p = al.i + al.k JOIN wa eh ON eh.a = al.xh JOIN wa eo ON eo.a = al.was),
+df AS (SELECT doc_id, i, k, z_o - (lp - mu) / {sd_floor('var')} AS x FROM ({dist("ap")})),
+s0m AS MATERIALIZED (SELECT doc_id, i, CASE {" ".join(f"WHEN k <= {L} THEN {L}" for L in LOOK_AHEADS)} END AS b,
+       sum(x) AS x FROM df GROUP BY ALL),
+sm AS (SELECT doc_id, i, L, sum(x) AS later FROM s0m JOIN la_all ON b <= L GROUP BY ALL),
+rl AS (SELECT ts.doc_id, ts.T, la_all.L, ts.z_o - ts.z_x + coalesce(later, 0.0) AS ratio
+       FROM ts CROSS JOIN la_all LEFT JOIN sm ON sm.doc_id = ts.doc_id AND sm.i = ts.p AND sm.L = la_all.L WHERE ts.T >= 3),
+lv AS (SELECT doc_id, T - 1 AS n, 'mink_' AS fam, lp AS v FROM ts
+       UNION ALL SELECT doc_id, T - 1, 'mink++_', {z_token("lp", "mu", "var", False)} FROM ts
+       UNION ALL SELECT doc_id, T - 1, 'infill_' || CAST(L AS VARCHAR) || '_', {nan_to_num("ratio")} FROM rl),
+ks AS (SELECT *, row_number() OVER (PARTITION BY doc_id, fam ORDER BY v) AS rn,
+              sum(v) OVER (PARTITION BY doc_id, fam ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cs FROM lv),
+sc AS (SELECT ks.doc_id, ks.fam || rt.rname AS method, cs / CAST(rn AS DOUBLE) AS score
+       FROM ks JOIN rt ON floor(CAST(ks.n AS DOUBLE) * rt.r) = ks.rn
+       UNION ALL SELECT doc_id, 'loss', avg(lp) FROM ts GROUP BY doc_id
+       UNION ALL SELECT doc_id, f.fam || rname, {NAN} FROM docs, rt, (VALUES ('mink_'), ('mink++_')) f(fam)
+                 WHERE floor(CAST(greatest(T - 1, 0) AS DOUBLE) * r) = 0
+       UNION ALL SELECT doc_id, 'infill_' || CAST(la_all.L AS VARCHAR) || '_' || rname, 0.0 FROM docs, rt, la_all
+                 WHERE T >= 3 AND floor(CAST(T - 1 AS DOUBLE) * r) = 0
+       UNION ALL SELECT doc_id, 'loss', {NAN} FROM docs WHERE T < 2)
+SELECT doc_id, method, round({finite_or0('score')}, 4) AS score FROM sc"""
