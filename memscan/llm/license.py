@@ -15,6 +15,7 @@ extra columns are not read."""
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,15 +185,13 @@ def scan_tokens(index: Index, h: np.ndarray, tmpl: np.ndarray, starts: np.ndarra
             matched, a, b = align(words, h, int(s), int(index.band[t]))
             if matched >= min_coverage * len(words):
                 found.append((matched, a, b))
+        # best first; the spans taken are disjoint, so only two of them can overlap a new one
         taken: list[tuple[int, int, int]] = []
         for m, a, b in sorted(found, key=lambda x: (-x[0], x[1])):
-            if all(b <= y or a >= z for _, y, z in taken[-64:]):
-                taken.append((m, a, b))
-        last = -1
-        for m, a, b in sorted(set(taken), key=lambda x: x[1]):
-            if a >= last:
-                out.append((int(t), m, a, b))
-                last = b
+            k = bisect.bisect_left(taken, (a, b, m))
+            if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= b):
+                taken.insert(k, (a, b, m))
+        out += [(int(t), m, a, b) for a, b, m in taken]
     return out
 
 

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memscan.llm import common
+
 #: Frequent function words of the supported languages.
 COMMON_WORDS = {
     "en": ["the", "of", "and", "to", "a", "in", "is", "it", "that", "for", "was", "on", "with", "as", "by", "be"],
@@ -158,10 +160,11 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", stage=None)
     common_distance (null where a guard skips the test) and kept.
 
     stage: writes a table and reads it back, so that one pass over the texts
-    serves the references and the verdicts; without it the plan reads several times."""
+    serves the references and the verdicts, and no filter on a verdict is
+    pushed into the counting of words; by default all columns are written to
+    the shared folder."""
     h = histograms(base_columns(docs, text), text, lang).drop("_words")
-    if stage is not None:
-        h = stage(h)
+    h = stage(h) if stage is not None else common.stage(h, "quality")
     ref = references(h, lang)
     h = h.withColumn("_ref", F.when(F.col(lang).isin(*COMMON_WORDS), F.col(lang)))
     cls_total = F.aggregate("_cls", F.lit(0.0), lambda a, x: a + x)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memscan.llm import katz, langid, license, quality, vectors
+from memscan.llm import common, katz, langid, license, quality, vectors
 
 from . import brute
 from .conftest import frame, odd_texts
@@ -84,7 +84,7 @@ def test_quality_drops_a_third_of_bad_rows(spark, copies):
     bad = [" ".join(rng.choice(["###", "$$$", "%%%", "a#b", "$x$", "the"]) for _ in range(120)) for _ in range(clean.count() // 2)]
     rows = [(10 ** 9 + i, bad[0] if copies else t, "en") for i, t in enumerate(bad)]
     every = clean.unionAll(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    q = quality.quality(every, stage=lambda h: h.drop("text").localCheckpoint())
+    q = quality.quality(every, stage=lambda h: common.stage(h.drop("text"), "t-quality"))
     share = {r.bad: r.kept for r in q.groupBy((F.col("doc_id") >= 10 ** 9).alias("bad")).agg(
         F.avg(F.col("kept").cast("double")).alias("kept")).collect()}
     assert share[False] > 0.95 and share[True] < 0.01
@@ -178,3 +178,23 @@ def test_vectors_many_blocks(spark, monkeypatch):
     d = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
     got = vectors.near_vectors(d).collect()
     assert {(r.n_links, r.component_id) for r in got} == {(89, 0)}
+
+
+def test_many_notices_keep_the_best_matches(spark):
+    """400 notices side by side, a few words of some changed: whole matches are
+    never lost to weaker ones, against all ways to choose from the candidates."""
+    rng = random.Random(11)
+    line = license.TEMPLATES["cc-by-4.0"].split()
+    parts, whole = [], 0
+    for _ in range(400):
+        w = list(line)
+        if rng.random() < 0.5:
+            w[rng.randrange(len(w))] = "other"
+        else:
+            whole += 1
+        parts.append(" ".join(w))
+    d = spark.createDataFrame([(1, " ".join(parts)), (2, None), (3, "")], "doc_id long, text string")
+    rows = [r for r in license.scan(d, {"cc": license.TEMPLATES["cc-by-4.0"]}).collect()]
+    assert sum(r.coverage == 1.0 for r in rows) == whole
+    spans = sorted((r.start_byte, r.end_byte) for r in rows)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
