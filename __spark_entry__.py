@@ -94,6 +94,26 @@ def q_context_moments(spark, sf_dir):
     return c.select("ctx", "n_c", "d_c", _r("lam", 12), _r("mu", 5), _r("var", 5), "xhat", _r("p_xhat", 12))
 
 
+def q_peaked_contexts(spark, sf_dir):
+    """Moments of the hundred most peaked contexts, to relative precision."""
+    c = cat.model(spark, sf_dir).contexts.filter("d_c = 1").orderBy(F.col("n_c").desc(), "ctx").limit(100)
+    return c.select("ctx", "n_c", F.round(F.ln(-F.col("mu")), 8).alias("ln_minus_mu"), F.round(F.ln("var"), 8).alias("ln_var"))
+
+
+def q_trigram_counts(spark, sf_dir):
+    return cat.backoff(spark, sf_dir).top.grams.select("ctx", "tok", "cnt", _r("p", 12))
+
+
+def q_trigram_moments(spark, sf_dir):
+    c = cat.backoff(spark, sf_dir).top.contexts
+    return c.select("ctx", "n_c", "d_c", _r("lam", 12), _r("mu", 5), _r("var", 5), "xhat", _r("p_xhat", 12))
+
+
+def q_trigram_log_probs(spark, sf_dir):
+    from memscan.operators.backoff import log_probs
+    return log_probs(cat.docs(spark, sf_dir), cat.backoff(spark, sf_dir)).select("doc_id", "pos", "tok", _r("lp", 6))
+
+
 def q_token_stats(spark, sf_dir):
     ts = cat.token_stats(spark, sf_dir)
     return ts.select("doc_id", "pos", "tok", "next_tok", _r("lp", 5), _r("mu", 5), _r("var", 5), "xhat",
@@ -373,6 +393,10 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lm_lookahead": q_lm_lookahead,
         "lm_unbounded": q_lm_unbounded,
         "lm_padding": q_lm_padding,
+        "peaked_contexts": q_peaked_contexts,
+        "trigram_counts": q_trigram_counts,
+        "trigram_moments": q_trigram_moments,
+        "trigram_log_probs": q_trigram_log_probs,
         "stream_score": q_stream_score,
         "results_csv": q_results_csv,
     }
@@ -513,6 +537,10 @@ def _own_oracle_sql() -> dict[str, str]:
     out["lm_unbounded"] = sql.lm_mean_scores_sql(mean.A.tolist(), mean.e.tolist(), mean.w.tolist())
     out["lm_padding"] = (sql.chain(upto="docs") + "\nSELECT count(*)::BIGINT AS n_docs, sum(T)::BIGINT AS n_tokens,"
                          " true AS padding_in_bounds FROM docs")
+    out["peaked_contexts"] = sql.peaked_contexts_sql()
+    out["trigram_counts"] = (sql.chain(upto="model") + "," + sql.trigram_cte() + "\nSELECT ctx, tok, cnt, round(p, 12) AS p FROM tri")
+    out["trigram_moments"] = sql.trigram_moments_sql()
+    out["trigram_log_probs"] = sql.trigram_log_probs_sql()
     out["top_methods"] = (sql.chain() + "," + sql.metrics_cte("scores") + """,
         fm AS (SELECT method, method_order, printf('%.1f%%', auroc * 100) AS auroc,
                       printf('%.1f%%', fpr95 * 100) AS fpr95, printf('%.1f%%', tpr05 * 100) AS tpr05 FROM metrics)

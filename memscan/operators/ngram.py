@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..constants import UNK
 from ..functions.numeric import dlit
-from .tokens import positions, token_pairs, tokens
+from .moments import context_moments, with_p
+from .tokens import token_pairs
 
 
 @dataclass
@@ -32,14 +33,10 @@ class Scalars:
     lam0: float        # unigram back-off weight V/(N+V)
     q_unk: float       # probability of <unk>
     M1: float          # sum q ln q over the unigram (incl. <unk>)
-    M2: float          # sum q (ln q)^2
+    var_u: float       # sum q (ln q - M1)^2
     top1: str          # most likely unigram token (lowest on ties)
     q_top1: float
 
-    @property
-    def var_u(self) -> float:
-        return self.M2 - self.M1 * self.M1
-
 
 # Estimated in-memory bytes per model-table row (two short strings, a few
 # numbers, row overhead) used by the broadcast size check.
@@ -103,47 +100,18 @@ def fit_bigram(spark: SparkSession, train_dt: DataFrame, store=None) -> BigramMo
            .withColumn("q", F.when(F.col("tok") == UNK, dlit(q_unk)).otherwise(q))
            .withColumn("lnq", F.ln("q")))
     r2 = uni.agg(F.sum(F.col("q") * F.col("lnq")).alias("M1"),
-                 F.sum(F.col("q") * F.col("lnq") * F.col("lnq")).alias("M2"),
                  F.min(F.struct((-F.col("q")).alias("nq"), F.col("tok").alias("tok"))).alias("best")).first()
-    s = Scalars(N=N, V=V, lam0=lam0, q_unk=q_unk, M1=float(r2["M1"]), M2=float(r2["M2"]),
-                top1=r2["best"][1], q_top1=-float(r2["best"][0]))
+    M1 = float(r2["M1"])
+    var_u = uni.agg(F.sum(F.col("q") * (F.col("lnq") - dlit(M1)) * (F.col("lnq") - dlit(M1)))).first()[0]
+    s = Scalars(N=N, V=V, lam0=lam0, q_unk=q_unk, M1=M1, var_u=float(var_u), top1=r2["best"][1], q_top1=-float(r2["best"][0]))
 
     b0 = pairs.filter(F.col("tok").isNotNull())
     c0 = (per_tok.filter(F.col("d_c") > 0).select("ctx", "n_c", "d_c")
           .withColumn("lam", F.col("d_c").cast("double") / (F.col("n_c") + F.col("d_c")).cast("double")))
     u = uni.select("tok", "q", "lnq")
-    big = (b0.join(c0, "ctx").join(u, "tok")
-           .withColumn("p", (dlit(1.0) - F.col("lam")) * F.col("cnt").cast("double")
-                       / F.col("n_c").cast("double") + F.col("lam") * F.col("q")))
-    big = keep("bigram_full", big.select("ctx", "tok", "cnt", "n_c", "d_c", "lam", "p", "q", "lnq"))
-
-    lnp = F.ln("p")
-    agg = big.groupBy("ctx").agg(
-        F.max("n_c").alias("n_c"), F.max("d_c").alias("d_c"), F.max("lam").alias("lam"),
-        F.sum(F.col("p") * lnp).alias("s_plnp"),
-        F.sum(F.col("p") * lnp * lnp).alias("s_plnp2"),
-        F.sum("q").alias("s_q"),
-        F.sum(F.col("q") * F.col("lnq")).alias("s_qlnq"),
-        F.sum(F.col("q") * F.col("lnq") * F.col("lnq")).alias("s_qlnq2"),
-        F.min(F.struct((-F.col("p")).alias("np"), F.col("tok").alias("tok"))).alias("best"),
-        F.max((F.col("tok") == F.lit(s.top1)).cast("int")).alias("has_top1"),
-    )
-    lam, ll = F.col("lam"), F.ln("lam")
-    rest_q = dlit(1.0) - F.col("s_q")
-    m1_rest = dlit(s.M1) - F.col("s_qlnq")
-    m2_rest = dlit(s.M2) - F.col("s_qlnq2")
-    mu = F.col("s_plnp") + lam * (ll * rest_q + m1_rest)
-    m2 = F.col("s_plnp2") + lam * (ll * ll * rest_q + dlit(2.0) * ll * m1_rest + m2_rest)
-    p_best = -F.col("best").getField("np")
-    tok_best = F.col("best").getField("tok")
-    p_un = lam * dlit(s.q_top1)
-    use_top1 = (F.col("has_top1") == 0) & ((p_un > p_best) | ((p_un == p_best) & (F.lit(s.top1) < tok_best)))
-    ctx = (agg.withColumn("mu", mu)
-           .withColumn("var", m2 - F.col("mu") * F.col("mu"))
-           .withColumn("xhat", F.when(use_top1, F.lit(s.top1)).otherwise(tok_best))
-           .withColumn("p_xhat", F.when(use_top1, p_un).otherwise(p_best))
-           .select("ctx", "n_c", "d_c", "lam", "mu", "var", "xhat", "p_xhat"))
-    ctx = keep("contexts", ctx)
+    big = keep("bigram_full", with_p(b0.join(c0, "ctx").join(u, "tok")))
+    low = {"mu_low": dlit(s.M1), "var_low": dlit(s.var_u), "top_low": F.lit(s.top1), "q_top_low": dlit(s.q_top1)}
+    ctx = keep("contexts", context_moments(big.withColumns(low), keep))
     bigram = big.select("ctx", "tok", "cnt", "p")
     n_b = bigram.count()   # Parquet row counts come from file metadata
     n_c = ctx.count()

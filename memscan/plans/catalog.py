@@ -105,6 +105,20 @@ def model(spark: SparkSession, sf_dir: str) -> ngram.BigramModel:
     return _memo(spark, ("model", sf_dir), build)
 
 
+def backoff(spark: SparkSession, sf_dir: str, order: int = 3):
+    """The back-off model of a higher order over the same corpus."""
+    from ..operators.backoff import fit_backoff
+
+    def build():
+        st, prefix = store(spark), tag(spark, sf_dir)
+
+        class _Sub:
+            def put(self, name, df):
+                return st.put(f"{prefix}/backoff{order}/{name}", df)
+        return fit_backoff(spark, load_corpus(spark, sf_dir), order, _Sub(), model(spark, sf_dir))
+    return _memo(spark, ("backoff", sf_dir, order), build)
+
+
 def token_stats_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts_op.token_stats(docs(spark, sf_dir), model(spark, sf_dir), ["label", "clen"],
                              parallelism(spark))

@@ -115,9 +115,10 @@ sc1 AS (SELECT N, V, V / (N + V) AS lam0 FROM sc0),
 uni AS (SELECT tok, cnt, (1.0::DOUBLE - lam0) * CAST(cnt AS DOUBLE) / N + lam0 / (V + 1) AS q FROM uc, sc1
         UNION ALL SELECT '{UNK}', 0, lam0 / (V + 1) FROM sc1),
 uni2 AS (SELECT tok, cnt, q, ln(q) AS lnq FROM uni),
-sc2 AS (SELECT sum(q * lnq) AS M1, sum(q * lnq * lnq) AS M2 FROM uni2),
+sc20 AS (SELECT sum(q * lnq) AS M1 FROM uni2),
+sc2 AS (SELECT max(M1) AS M1, sum(q * (lnq - M1) * (lnq - M1)) AS var_u FROM uni2, sc20),
 top AS (SELECT tok AS top1, q AS q_top1 FROM uni2 ORDER BY q DESC, tok LIMIT 1),
-scal AS (SELECT sc1.*, sc2.*, top.*, sc1.lam0 / (sc1.V + 1) AS q_unk, sc2.M2 - sc2.M1 * sc2.M1 AS var_u
+scal AS (SELECT sc1.*, sc2.*, top.*, sc1.lam0 / (sc1.V + 1) AS q_unk
          FROM sc1, sc2, top),
 b0 AS (SELECT x0 AS ctx, x1 AS tok, count(*) AS cnt FROM tpos GROUP BY x0, x1),
 c0 AS (SELECT ctx, CAST(sum(cnt) AS BIGINT) AS n_c, count(*) AS d_c FROM b0 GROUP BY ctx),
@@ -126,23 +127,79 @@ big AS (SELECT b0.ctx, b0.tok, b0.cnt, c0.n_c, c0.d_c,
         FROM b0 JOIN c0 ON b0.ctx = c0.ctx JOIN uni2 u ON u.tok = b0.tok),
 big2 AS (SELECT *, (1.0::DOUBLE - lam) * CAST(cnt AS DOUBLE) / CAST(n_c AS DOUBLE) + lam * q AS p FROM big),
 cagg AS (SELECT ctx, max(n_c) AS n_c, max(d_c) AS d_c, max(lam) AS lam,
-                sum(p * ln(p)) AS s_plnp, sum(p * ln(p) * ln(p)) AS s_plnp2, sum(q) AS s_q,
-                sum(q * lnq) AS s_qlnq, sum(q * lnq * lnq) AS s_qlnq2,
+                sum(p * ln(p)) AS s_plnp, sum(q) AS s_q, sum(q * lnq) AS s_qlnq,
                 max(CASE WHEN tok = (SELECT top1 FROM top) THEN 1 ELSE 0 END) AS has_top1
          FROM big2 GROUP BY ctx),
 cbest AS (SELECT ctx, tok AS btok, p AS bp FROM (
             SELECT ctx, tok, p, row_number() OVER (PARTITION BY ctx ORDER BY p DESC, tok) AS rn FROM big2)
           WHERE rn = 1),
-cm AS (SELECT a.*, b.btok, b.bp, ln(a.lam) AS ll, s.M1, s.M2, s.top1, s.q_top1,
-              1.0::DOUBLE - a.s_q AS rest_q, s.M1 - a.s_qlnq AS m1_rest, s.M2 - a.s_qlnq2 AS m2_rest,
+cm AS (SELECT a.*, b.btok, b.bp, ln(a.lam) AS ll, s.M1, s.var_u, s.top1, s.q_top1,
+              1.0::DOUBLE - a.s_q AS rest_q, s.M1 - a.s_qlnq AS m1_rest,
               a.lam * s.q_top1 AS p_un
        FROM cagg a JOIN cbest b ON a.ctx = b.ctx, scal s),
 cm2 AS (SELECT *, s_plnp + lam * (ll * rest_q + m1_rest) AS mu,
-               s_plnp2 + lam * (ll * ll * rest_q + 2.0::DOUBLE * ll * m1_rest + m2_rest) AS second_moment,
                (has_top1 = 0 AND (p_un > bp OR (p_un = bp AND top1 < btok))) AS use_top1 FROM cm),
-ctxs AS (SELECT ctx, n_c, d_c, lam, mu, second_moment - mu * mu AS var,
+cent AS (SELECT b.ctx, sum(p * (ln(p) - mu) * (ln(p) - mu)) AS s2, sum(q * (lnq - mu + ll) * (lnq - mu + ll)) AS sq2
+         FROM big2 b JOIN cm2 ON cm2.ctx = b.ctx GROUP BY b.ctx),
+ctxs AS (SELECT cm2.ctx, n_c, d_c, lam, mu,
+                s2 + lam * greatest(var_u + (M1 - mu + ll) * (M1 - mu + ll) - sq2, 0.0) AS var,
                 CASE WHEN use_top1 THEN top1 ELSE btok END AS xhat,
-                CASE WHEN use_top1 THEN p_un ELSE bp END AS p_xhat FROM cm2)"""
+                CASE WHEN use_top1 THEN p_un ELSE bp END AS p_xhat FROM cm2 JOIN cent ON cent.ctx = cm2.ctx)"""
+
+
+def trigram_cte() -> str:
+    """Order 3 over the bigram model of ``tdocs``: probabilities of seen grams."""
+    return """
+g0 AS (SELECT toks[i - 1] AS w1, toks[i] AS w2, toks[i + 1] AS tok FROM (
+         SELECT toks, unnest(range(2, greatest(len(toks), 2))) AS i FROM tdocs)),
+g1 AS (SELECT w1 || ' ' || w2 AS ctx, w2, tok, count(*) AS cnt FROM g0 GROUP BY ALL),
+g2 AS (SELECT ctx, CAST(sum(cnt) AS BIGINT) AS n_c, count(*) AS d_c FROM g1 GROUP BY ctx),
+g3 AS (SELECT g1.*, g2.n_c, g2.d_c, CAST(g2.d_c AS DOUBLE) / CAST(g2.n_c + g2.d_c AS DOUBLE) AS lam, b.p AS q
+       FROM g1 JOIN g2 ON g2.ctx = g1.ctx JOIN big2 b ON b.ctx = g1.w2 AND b.tok = g1.tok),
+tri AS (SELECT *, (1.0::DOUBLE - lam) * CAST(cnt AS DOUBLE) / CAST(n_c AS DOUBLE) + lam * q AS p FROM g3)"""
+
+
+def trigram_moments_sql() -> str:
+    """Moments of order-3 contexts; the unseen part as weight, mean and squared
+    spread of what the suffix's distribution leaves."""
+    return chain(upto="model") + f""",{trigram_cte()},
+t1 AS (SELECT ctx, w2, max(n_c) AS n_c, max(d_c) AS d_c, max(lam) AS lam, sum(p * ln(p)) AS a, sum(q) AS sq, sum(q * ln(q)) AS b
+       FROM tri GROUP BY ctx, w2),
+t2 AS (SELECT t1.*, c.mu AS mu_low, c.var AS var_low, c.xhat AS top_low, c.p_xhat AS q_top,
+              a + t1.lam * (ln(t1.lam) * (1 - sq) + c.mu - b) AS mu FROM t1 JOIN ctxs c ON c.ctx = t1.w2),
+t3 AS (SELECT t2.ctx, any_value(t2.n_c) AS n_c, any_value(t2.d_c) AS d_c, any_value(t2.lam) AS lam, any_value(mu) AS mu,
+              any_value(mu_low) AS mu_low, any_value(var_low) AS var_low, any_value(top_low) AS top_low, any_value(q_top) AS q_top,
+              sum(p * pow(ln(p) - mu, 2)) AS s2, sum(q * pow(ln(q) - mu + ln(t2.lam), 2)) AS sq2,
+              max(CASE WHEN tok = top_low THEN 1 ELSE 0 END) AS has_top
+       FROM t2 JOIN tri ON tri.ctx = t2.ctx GROUP BY t2.ctx),
+tb AS (SELECT ctx, tok, p FROM (SELECT ctx, tok, p, row_number() OVER (PARTITION BY ctx ORDER BY p DESC, tok) AS rn FROM tri) WHERE rn = 1),
+t4 AS (SELECT t3.*, tb.tok AS btok, tb.p AS bp, (has_top = 0 AND (lam * q_top > tb.p OR (lam * q_top = tb.p AND top_low < tb.tok))) AS low
+       FROM t3 JOIN tb ON tb.ctx = t3.ctx)
+SELECT ctx, n_c, d_c, round(lam, 12) AS lam, round(mu, 5) AS mu,
+       round(s2 + lam * greatest(var_low + pow(mu_low - mu + ln(lam), 2) - sq2, 0.0), 5) AS var,
+       CASE WHEN low THEN top_low ELSE btok END AS xhat, round(CASE WHEN low THEN lam * q_top ELSE bp END, 12) AS p_xhat FROM t4"""
+
+
+def trigram_log_probs_sql() -> str:
+    return chain(upto="model") + f""",{trigram_cte()},
+w AS (SELECT doc_id, pos, toks[pos + 1] AS tok, toks[pos] AS w2, CASE WHEN pos >= 2 THEN toks[pos - 1] || ' ' || toks[pos] END AS ctx
+      FROM (SELECT doc_id, toks, unnest(range(1, greatest(len(toks), 1))) AS pos FROM docs))
+SELECT w.doc_id, w.pos::INTEGER AS pos, w.tok, round(ln(coalesce(t.p, coalesce(g2.lam3, 1.0) * coalesce(b.p, coalesce(c.lam, 1.0)
+       * coalesce(u.q, s.q_unk)))), 6) AS lp
+FROM w LEFT JOIN uni2 u ON u.tok = w.tok LEFT JOIN big2 b ON b.ctx = w.w2 AND b.tok = w.tok LEFT JOIN ctxs c ON c.ctx = w.w2
+     LEFT JOIN tri t ON t.ctx = w.ctx AND t.tok = w.tok
+     LEFT JOIN (SELECT ctx, CAST(d_c AS DOUBLE) / CAST(n_c + d_c AS DOUBLE) AS lam3 FROM g2) g2 ON g2.ctx = w.ctx, scal s"""
+
+
+def peaked_contexts_sql(k: int = 100) -> str:
+    """Mean and variance of the most peaked contexts (one continuation, seen
+    most often), summed over the whole vocabulary from the definition."""
+    return chain(upto="model") + f""",
+pk AS (SELECT ctx, tok, n_c, lam FROM big2 WHERE d_c = 1 ORDER BY n_c DESC, ctx LIMIT {k}),
+pv AS (SELECT pk.ctx, pk.n_c, CASE WHEN u.tok = pk.tok THEN 1 - lam ELSE 0.0 END + lam * u.q AS p FROM pk, uni2 u),
+pm AS (SELECT ctx, sum(p * ln(p)) AS mu FROM pv GROUP BY ctx)
+SELECT pv.ctx, any_value(n_c) AS n_c, round(ln(-any_value(mu)), 8) AS ln_minus_mu, round(ln(sum(p * pow(ln(p) - mu, 2))), 8) AS ln_var
+FROM pv JOIN pm ON pm.ctx = pv.ctx GROUP BY pv.ctx"""
 
 
 def stats_cte() -> str:
