@@ -337,6 +337,29 @@ def q_stream_score(spark, sf_dir):
     return out.filter(F.col("method") != "zlib").select("doc_id", "method", _r("score", 4))
 
 
+def q_load_snippets(spark, sf_dir):
+    """All documents through the named variants: short, middle and long texts
+    in the plain source, with other vowels in the paraphrased one."""
+    import uuid
+
+    from memscan.constants import VARIANTS
+    from memscan.sources import load_snippets
+    base = f"{cat.store(spark).base}/snippets/{uuid.uuid4().hex}"
+    n = F.length("text")
+    size = F.when(n < 500, 32).when(n < 2000, 64).otherwise(128)
+    raw = documents_snippets(spark, sf_dir).filter(F.col("text").isNotNull()).select(
+        "doc_id", F.col("text").alias("input"), "label", size.alias("size"))
+    out = None
+    for v in VARIANTS:
+        other = "paraphrased" in v
+        part = raw.filter(F.col("size") == int(v.split("length")[1].split("_")[0])).drop("size")
+        part = part.withColumn("input", F.translate("input", "e", "a")) if other else part
+        part.write.parquet(f"{base}/{'other' if other else 'plain'}/{v}")
+        got = load_snippets(spark, v, f"{base}/plain", f"{base}/other")
+        out = got if out is None else out.unionByName(got)
+    return out.select("variant", "doc_id", "label", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def q_results_csv(spark, sf_dir):
     """The result table through the sink: CSV (header, no index) read back."""
     from memscan.sources import write_results
@@ -393,6 +416,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "lm_lookahead": q_lm_lookahead,
         "lm_unbounded": q_lm_unbounded,
         "lm_padding": q_lm_padding,
+        "load_snippets": q_load_snippets,
         "peaked_contexts": q_peaked_contexts,
         "trigram_counts": q_trigram_counts,
         "trigram_moments": q_trigram_moments,
@@ -537,6 +561,10 @@ def _own_oracle_sql() -> dict[str, str]:
     out["lm_unbounded"] = sql.lm_mean_scores_sql(mean.A.tolist(), mean.e.tolist(), mean.w.tolist())
     out["lm_padding"] = (sql.chain(upto="docs") + "\nSELECT count(*)::BIGINT AS n_docs, sum(T)::BIGINT AS n_tokens,"
                          " true AS padding_in_bounds FROM docs")
+    out["load_snippets"] = """SELECT 'WikiMIA_length' || CASE WHEN length(text) < 500 THEN 32 WHEN length(text) < 2000 THEN 64
+            ELSE 128 END || suffix AS variant, doc_id, CAST(doc_id % 2 = 0 AS INTEGER) AS label,
+            md5(CASE WHEN suffix = '' THEN text ELSE translate(text, 'e', 'a') END) AS text_md5
+        FROM documents, (VALUES (''), ('_paraphrased')) s(suffix) WHERE text IS NOT NULL"""
     out["peaked_contexts"] = sql.peaked_contexts_sql()
     out["trigram_counts"] = (sql.chain(upto="model") + "," + sql.trigram_cte() + "\nSELECT ctx, tok, cnt, round(p, 12) AS p FROM tri")
     out["trigram_moments"] = sql.trigram_moments_sql()

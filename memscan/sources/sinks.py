@@ -3,6 +3,8 @@ unformatted values as Parquet."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,15 +28,40 @@ def results_name(model_name: str, dataset: str, **flags) -> str:
     return f"{model_id_of(model_name)}_{dataset}{results_suffix(**flags)}_results"
 
 
+def write_one_file(df: DataFrame, path: str, **options) -> None:
+    """Write a small table as one CSV file of exactly this name, on any file
+    system Spark writes to.
+
+    Tasks write into a folder of their own beside it, which Spark's committer
+    makes safe against retried tasks; only after the job has succeeded is its
+    one file renamed to ``path``.  So ``path`` is the old file, the whole new
+    one or, if the driver dies between removing and renaming, missing; never a part."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    folder = f"{path}.{uuid.uuid4().hex}.tmp"
+    try:
+        df.coalesce(1).write.options(**options).csv(folder)
+        made = [s.getPath() for s in fs.listStatus(hadoop.Path(folder)) if s.getPath().getName().startswith("part-")]
+        if len(made) != 1:
+            raise RuntimeError(f"{len(made)} files where one was expected")
+        fs.mkdirs(target.getParent())
+        fs.delete(target, True)
+        if not fs.rename(made[0], target):
+            raise RuntimeError(f"could not rename to {path}")
+    finally:
+        fs.delete(hadoop.Path(folder), True)
+
+
 def write_results(results: DataFrame, output_dir: str, model_name: str, dataset: str, **flags) -> str:
-    """Write ``{model}_{dataset}{suffix}_results.csv`` (a CSV folder, one file)
-    and a Parquet twin with the DOUBLE metrics.  Returns the CSV path."""
+    """Write the file ``{model}_{dataset}{suffix}_results.csv`` and a Parquet
+    twin with the DOUBLE metrics.  Returns the CSV path."""
     name = results_name(model_name, dataset, **flags)
     base = output_dir.rstrip("/")
     table = results.orderBy("method_order")
-    (table.select("method", F.col("auroc_pct").alias("auroc"), F.col("fpr95_pct").alias("fpr95"),
-                  F.col("tpr05_pct").alias("tpr05"))
-     .coalesce(1)      # 122 rows
-     .write.mode("overwrite").option("header", True).csv(f"{base}/{name}.csv"))
+    shown = table.select("method", F.col("auroc_pct").alias("auroc"), F.col("fpr95_pct").alias("fpr95"),
+                         F.col("tpr05_pct").alias("tpr05"))
+    write_one_file(shown, f"{base}/{name}.csv", header="true")     # 122 rows
     table.write.mode("overwrite").parquet(f"{base}/{name}.parquet")
     return f"{base}/{name}.csv"

@@ -46,6 +46,24 @@ def test_write_results(spark):
     row = spark.read.option("header", True).csv(path).first()
     assert (row["method"], row["auroc"], row["tpr05"]) == ("loss", "93.1%", "6.2%")
     assert os.path.isdir(path.replace(".csv", ".parquet"))
+    assert os.path.basename(path) == "b_WikiMIA_length64_optimized_results.csv" and os.path.isfile(path)
+    assert open(path).read() == "method,auroc,fpr95,tpr05\nloss,93.1%,10.0%,6.2%\n"
+
+
+def test_one_named_file(spark):
+    """A second run replaces the file; a failed one leaves it, and no scraps."""
+    from memscan.sources.sinks import write_one_file
+    out = tempfile.mkdtemp(prefix="memscan-one-")
+    path = f"{out}/new/table.csv"
+    rows = spark.range(50).repartition(4).orderBy("id")
+    write_one_file(rows, path, header="true")
+    assert open(path).read().split() == ["id", *map(str, range(50))]
+    write_one_file(rows.limit(3), path, header="true")
+    assert open(path).read().split() == ["id", "0", "1", "2"]
+    with pytest.raises(Exception):
+        write_one_file(rows.withColumn("bad", F.raise_error(F.lit("no"))), path, header="true")
+    assert open(path).read().split() == ["id", "0", "1", "2"]
+    assert sorted(x for x in os.listdir(f"{out}/new") if not x.endswith(".crc")) == ["table.csv"]
 
 
 def test_dataset_statistics(spark):
