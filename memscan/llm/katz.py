@@ -203,7 +203,7 @@ def unigrams(blocks: DataFrame, parts: int, hot_count: float) -> DataFrame:
                 yield _rows(UNIGRAMS, [{"word": int(words[k].view(np.int64)), "count": int(total[k])} for k in hot])
             yield _rows(UNIGRAMS, [{"v": int((total > 0).sum())} | {s: int((total == r).sum()) for r, s in enumerate(_STATS, 1)}])
 
-    return blocks.mapInArrow(send, SENT).select("part", "block", "a", "b").repartition(parts, "part").mapInArrow(gather, UNIGRAMS)
+    return blocks.mapInArrow(send, SENT).select("part", "block", "a", "b").repartitionById(parts, F.col("part").cast("int")).mapInArrow(gather, UNIGRAMS)
 
 
 def discounts(n: list[int], k: int = K) -> np.ndarray:
@@ -322,7 +322,7 @@ def bigrams(blocks: DataFrame, parts: int, hot: np.ndarray, uni: Unigram) -> Dat
                 yield _rows(BIGRAMS, [{"block": blk.as_py(), "part": part, "counts": pack24(count[lo:hi]),
                                        "classes": pack24(classes[at].T.ravel()), "mass": pack48(mass[at].view(_U))}])
 
-    return blocks.mapInArrow(send, SENT).repartition(parts, "part").mapInArrow(gather, BIGRAMS)
+    return blocks.mapInArrow(send, SENT).repartitionById(parts, F.col("part").cast("int")).mapInArrow(gather, BIGRAMS)
 
 
 # ---------------------------------------------------------------- scoring
