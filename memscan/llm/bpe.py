@@ -329,7 +329,7 @@ def round_trip_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(tokenizer)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in common.chunks(batches, "t", 2 << 20):
+        for b in common.chunks(batches, "t", max_bytes=2 << 20):
             n, a, d = [], [], []
             texts = [m.segments(t or "") for t in b.column(1).to_pylist()]
             joined, decoded = m.lookup(set(itertools.chain.from_iterable(texts)).difference(m.special))

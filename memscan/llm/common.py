@@ -63,13 +63,13 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d[o[0]:o[-1]], o - o[0]
 
 
-def chunks(batches, text: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``max_bytes`` of text each (one row at least), so the
-    memory of vectorised steps does not follow the Arrow batch size."""
+def chunks(batches, *text: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``max_bytes`` of the text columns each (one row at least),
+    so the memory of vectorised steps does not follow the Arrow batch size."""
     for b in batches:
         if b.num_rows == 0:
             continue
-        _, off = text_buffer(b.column(b.schema.get_field_index(text)))
+        off = sum(text_buffer(b.column(b.schema.get_field_index(t)))[1] for t in text)
         i = 0
         while i < b.num_rows:
             j = int(np.searchsorted(off, off[i] + max_bytes, side="right")) - 1

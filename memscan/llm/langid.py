@@ -152,7 +152,7 @@ def identify(docs: DataFrame, is_train: Column, held_out: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in common.chunks(batches, "text", 2 << 20):
+        for b in common.chunks(batches, "text", max_bytes=2 << 20):
             letters = b.column("letters").to_numpy(zero_copy_only=False)
             if m is None:
                 pred, score = ["und"] * b.num_rows, np.zeros(b.num_rows)

@@ -51,14 +51,27 @@ def char_shingles(lines: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.nda
         return np.zeros(0, _U), count
     end = np.repeat(np.cumsum(n), n)
     at = np.arange(len(cp))
-    start = np.repeat(np.cumsum(n) - n, n)
-    keep = np.flatnonzero((at + k <= end) | ((at == start) & (end - start < k)))
+    h = cp * _KEYS[0]
+    for j in range(1, k):
+        h[:-j] += cp[j:] * _KEYS[j]
+    whole = at + k <= end
+    short = np.flatnonzero(n[n > 0] < k)
+    if not len(short):
+        return mix(h[whole]), count
+    first = (np.cumsum(n) - n)[n > 0][short]          # lines that are one element
+    size = n[n > 0][short]
     pad = np.concatenate([cp, np.zeros(k, _U)])
-    h = np.zeros(len(keep), _U)
-    room = end[keep] - keep
-    for j in range(k):
-        h += np.where(room > j, pad[keep + j], _U(0)) * _KEYS[j]
-    return mix(h), count
+    h[first] = sum(np.where(size > j, pad[first + j], _U(0)) * _KEYS[j] for j in range(k))
+    whole[first] = True
+    return mix(h[whole]), count
+
+
+def distinct_sets(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each line, concatenated, and counts."""
+    h, n = char_shingles(lines)
+    off = np.append(0, np.cumsum(n))
+    sets = [np.unique(h[off[i]:off[i + 1]]) for i in range(len(n))]
+    return np.concatenate([np.zeros(0, _U), *sets]), np.array([len(x) for x in sets], np.int64)
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -68,7 +81,7 @@ def signatures(lines: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in common.chunks(batches, "line", 2 << 20):
+        for b in common.chunks(batches, "line", max_bytes=2 << 20):
             for at in range(0, b.num_rows, 20_000):
                 part = b.slice(at, 20_000)
                 ids = part.column("id").to_pylist()
@@ -99,22 +112,12 @@ def line_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     spark = common.prepare(docs.sparkSession)
     lines = lines_of(docs)
     full = lines.filter(~F.col("line").rlike(BLANK)).select("id", "line")
-    sig = stage(signatures(full).dropDuplicates(["id"]), "linesig")
+    sig = stage(signatures(full), "linesig")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         return full.join(ids, "id", "leftsemi").dropDuplicates(["id"]).withColumnRenamed("line", "text")
 
-    def to_sets(texts: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in common.chunks(batches, "text", 2 << 20):
-                h, n = char_shingles(b.column("text"))
-                off = np.append(0, np.cumsum(n))
-                sets = [np.unique(h[off[i]:off[i + 1]]) for i in range(len(n))]
-                yield setjoin.set_batch(b.column("id"), np.concatenate(sets), np.array([len(x) for x in sets]))
-
-        return texts.select("id", "text").mapInArrow(run, "id long, elements binary")
-
-    label = setjoin.links(sig, texts_of, to_sets, percent, LEAST)
+    label = setjoin.links(sig, texts_of, distinct_sets, percent, LEAST)
     place = F.struct("doc_id", "t", "line_no")
     narrow = stage(lines.select("doc_id", "t", "line_no", F.length("line").alias("n_chars"), "id",
                                 F.col("line").rlike(BLANK).alias("blank")), "lines")

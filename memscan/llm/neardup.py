@@ -69,7 +69,7 @@ def distinct_sets(buf: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[n
 def signatures(docs: DataFrame) -> DataFrame:
     """id, n, f1, f2 (set fingerprint), keys, brief of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.chunks(batches, "text", 2 << 20):
+        for b in common.chunks(batches, "text", max_bytes=2 << 20):
             h, n = distinct_sets(*common.text_buffer(b.column("text")))
             some = n > 0
             head = (np.cumsum(n) - n)[some]
@@ -99,19 +99,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         d = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "leftsemi")
         return d.groupBy("id").agg(F.min("text").alias("text")) if repeated else d
 
-    def to_sets(texts: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in common.chunks(batches, "text", 2 << 20):
-                yield setjoin.set_batch(b.column("id"), *distinct_sets(*common.text_buffer(b.column("text"))))
-
-        return texts.select("id", "text").mapInArrow(run, "id long, elements binary")
+    def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return distinct_sets(*common.text_buffer(texts))
 
     full = sig.filter("n > 0 and id is not null")
     classes = stage(full.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep")), "classes")
     repeated = full.groupBy("id").count().filter("count > 1").limit(1).count() > 0
     reps = full.join(classes.select(F.col("rep").alias("id"), "n", "f1", "f2"), ["id", "n", "f1", "f2"], "leftsemi")
     reps = stage((reps.dropDuplicates(["id"]) if repeated else reps).select("id", "keys", "brief"), "reps")
-    comp = setjoin.links(reps, texts_of, to_sets, percent)
+    comp = setjoin.links(reps, texts_of, sets, percent)
     if repeated:     # one id with several sets ties their classes together
         tie = full.join(classes, ["n", "f1", "f2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
         comp = common.components(tie.unionAll(comp.select("id", "component")), "tie")

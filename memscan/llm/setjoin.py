@@ -36,6 +36,7 @@ LOCAL_HOT = 64           # rows of a key in one task beyond which they travel si
 STEP = 3                 # minwise tokens a large node branches by at once
 FIRST, LATER = 8, 4      # children of a node of the first level and of deeper ones; more than (4/3) ** STEP
 FRESH = 64               # minwise tokens a level draws from the full sets
+CHUNK = 2 << 20          # bytes of text whose sets are made at once
 ENTRIES = 4_000_000      # (key, id) entries of a part
 MARK = np.iinfo(np.int64).min
 _U = np.uint64
@@ -113,11 +114,13 @@ def binary_rows(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(off), pa.py_buffer(x)])
 
 
-def set_batch(ids: pa.Array, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """(id, elements) from concatenated sets and their sizes."""
-    off = np.append(0, np.cumsum(n)) * 8
-    data = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(h))])
-    return pa.RecordBatch.from_arrays([ids, data.cast(pa.binary())], ["id", "elements"])
+Sets = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+"""A text column as its sets: sorted distinct hashes, concatenated, and sizes."""
+
+
+def _cut(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    off = np.append(0, np.cumsum(n))
+    return [h[off[i]:off[i + 1]] for i in range(len(n))]
 
 
 # ---------------------------------------------------------------- nodes
@@ -203,16 +206,16 @@ def _distinct(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return key[new], ident[new]
 
 
-def fresh_tokens(sets: DataFrame, level: int) -> DataFrame:
+def fresh_tokens(texts: DataFrame, sets: Sets, level: int) -> DataFrame:
     """id, fresh: FRESH one-byte minwise tokens of full sets, others on each level."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.chunks(batches, "elements", 2 << 20):
-            buf, off = common.text_buffer(b.column("elements"))
-            h = mix(np.ascontiguousarray(buf).view(np.uint64) + _U(level) * common.BASE)
+        for b in common.chunks(batches, "text", max_bytes=CHUNK):
+            h, n = sets(b.column("text"))
+            h = mix(h + _U(level) * common.BASE)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), binary_rows(brief(minwise(h, off[:-1] // 8, FRESH)))], ["id", "fresh"])
+                [b.column("id"), binary_rows(brief(minwise(h, np.cumsum(n) - n, FRESH)))], ["id", "fresh"])
 
-    return sets.select("id", "elements").mapInArrow(run, "id long, fresh binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, fresh binary")
 
 
 def _estimate(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -232,22 +235,23 @@ def _estimate(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
             .select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def confirm(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union on full sets.
-    ``sets_of`` maps a table of ids to (id, elements), sorted hashes packed."""
-    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stage(sets_of(ids), "sets")
+    ``texts`` (id, text) travel, being smaller than their sets by far; a
+    chunk makes the set of each of its texts once."""
+    def distinct(ids: pa.Array, text: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        _, first, at = np.unique(ids.to_numpy(), return_index=True, return_inverse=True)
+        return _cut(*sets(text.take(pa.array(first)))), at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"), strict=True)):
-                ok[i] = _similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], ["a", "b"])
-
-    return (pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b")
+        for b in common.chunks(batches, "x", "y", max_bytes=CHUNK):
+            xs, i = distinct(b.column("a"), b.column("x"))
+            ys, j = distinct(b.column("b"), b.column("y"))
+            ok = pa.array([_similar(xs[u], ys[v], percent) for u, v in zip(i, j, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
+
+    return (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
             .select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
@@ -282,17 +286,18 @@ def candidates_in_blocks(rows: DataFrame, least: float) -> DataFrame:
     return rows.groupBy("key").applyInArrow(run, "key long, id long, c long")
 
 
-def links_in_blocks(rows: DataFrame, percent: int, least: float) -> DataFrame:
+def links_in_blocks(rows: DataFrame, sets: Sets, percent: int, least: float) -> DataFrame:
     """Confirmed links between components within nodes, at most one fewer than
-    the rows of a node.  rows: key, id, c, brief, elements."""
+    the rows of a node.  rows: key, id, c, brief, text."""
     def run(t: pa.Table) -> pa.Table:
         x = _matrix(t.column("brief").combine_chunks(), np.uint8)
         ident, c = t.column("id").to_numpy(), t.column("c").to_numpy().copy()
-        sets = [np.frombuffer(e.as_buffer(), np.uint64) for e in t.column("elements")]
+        full = [u for b in common.chunks(t.select(["text"]).to_batches(), "text", max_bytes=CHUNK)
+                for u in _cut(*sets(b.column("text")))]
         out = []
         for i in range(len(x)):
             for j in _alike_rows(x, i, least):
-                if c[i] != c[j] and _similar(sets[i], sets[j], percent):
+                if c[i] != c[j] and _similar(full[i], full[j], percent):
                     out.append((ident[i], ident[j]))
                     c[c == c[j]] = c[i]
         a, b = zip(*out, strict=True) if out else ((), ())
@@ -322,25 +327,25 @@ def merge(label: DataFrame | None, edges: DataFrame, name: str) -> DataFrame | N
                  .select("id", "component"), f"{name}-m")
 
 
-def links(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets: Callable[[DataFrame], DataFrame],
+def links(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets,
           percent: int = 75, least: float = 0.45) -> DataFrame:
     """(id, component) of all ids that have a confirmed link.
 
-    texts_of: (id, text) of a table of ids, read once for all ids that meet
-    another; to_sets: those rows as (id, elements), sorted hashes packed."""
+    sigs may hold an id more than once, with the same signature.  texts_of:
+    (id, text) of a table of ids, read once for all ids that meet another;
+    sets: the sets of a text column."""
     spark = sigs.sparkSession
     label: DataFrame | None = None
     small: list[DataFrame] = []
     mid: list[DataFrame] = []
-    nodes = meet(sigs)
+    nodes = meet(sigs).distinct()
     level = 0
     while True:
         nodes = stage(nodes, f"nodes{level}")
         if level == 0:      # from here on only ids that meet another matter
             met = stage(nodes.select("id").distinct(), "met")
-            sigs = stage(sigs.select("id", "brief").join(met, "id", "leftsemi"), "metsigs")
+            sigs = stage(sigs.select("id", "brief").join(met, "id", "leftsemi").dropDuplicates(["id"]), "metsigs")
             texts = stage(texts_of(met), "texts")
-            sets_of = lambda ids: to_sets(texts.join(ids, "id", "leftsemi"))
         # a pivot by hashed choice, so that the nodes of a group try different ones
         size = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"),
                                         F.min_by("id", F.xxhash64("key", "id")).alias("pivot"))
@@ -355,7 +360,7 @@ def links(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets:
             star = labelled(labelled(star, label, "a", "ca"), label, "b", "cb").filter("ca <> cb").select("a", "b")
         alike = stage(_estimate(star, sigs, least), f"alike{level}")
         if not alike.isEmpty():
-            sure = stage(confirm(alike, sets_of, percent), f"sure{level}")
+            sure = stage(confirm(alike, texts, sets, percent), f"sure{level}")
             label = merge(label, sure, f"cc{level}")
         # nodes whose rows are one component are done
         mid.append(large.filter(F.col("n") <= BLOCK).select("key", "id"))
@@ -368,7 +373,7 @@ def links(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets:
             rest = rest.join(open_, "key", "leftsemi")
         level += 1
         rest = stage(rest.select("key", "id"), f"rest{level}")
-        fresh = stage(fresh_tokens(sets_of(rest.select("id").distinct()), level), f"fresh{level}")
+        fresh = stage(fresh_tokens(texts.join(rest.select("id").distinct(), "id", "leftsemi"), sets, level), f"fresh{level}")
         child = F.explode(F.array(*map(F.lit, range(FIRST if level == 1 else LATER)))).alias("j")
         byte = lambda i: F.expr(f"substring(fresh, cast(pmod(xxhash64(key, j, {i}), {FRESH}) as int) + 1, 1)")
         nodes = (rest.join(fresh, "id").select("key", "id", "fresh", child)
@@ -382,7 +387,7 @@ def links(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets:
              .select("x", F.explode(F.filter("m", lambda y: (y["id"] > F.col("x")["id"]) & (y["c"] != F.col("x")["c"]))).alias("y"))
              .select(F.col("x")["id"].alias("a"), F.col("y")["id"].alias("b")).distinct())
     alike = stage(_estimate(pairs, sigs, least), "pairs")
-    label = merge(label, stage(confirm(alike, sets_of, percent), "links"), "cc")
+    label = merge(label, stage(confirm(alike, texts, sets, percent), "links"), "cc")
     if mid:
         rows = mid[0]
         for m in mid[1:]:
@@ -392,7 +397,6 @@ def links(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], to_sets:
         open_ = rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key")
         rows = stage(candidates_in_blocks(rows.join(open_, "key", "leftsemi").join(brief_of, "id"), least), "block")
         if not rows.isEmpty():
-            sets = stage(sets_of(rows.select("id").distinct()), "blocksets")
-            found = links_in_blocks(rows.join(brief_of, "id").join(sets, "id"), percent, least)
+            found = links_in_blocks(rows.join(brief_of, "id").join(texts, "id"), sets, percent, least)
             label = merge(label, stage(found, "blocklinks"), "ccb")
     return label if label is not None else spark.createDataFrame([], "id long, component long")
