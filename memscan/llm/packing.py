@@ -39,8 +39,9 @@ class WordEncoder:
 
     #: white space for str.split() but not for the tokenizer
     ODD = re.compile("[\x1c-\x1f]")
-    #: letters whose case folds one to one, then ASCII marks
-    MARKED = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-įıĲ-ɏ]+)([!-/:-@\[-`{-~]*)")
+    #: words that may part other words where they encode as one id
+    MARKS = ("§", "¤", "|", "~", "#")
+    RUN = 256             # words encoded as one text
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,23 +51,29 @@ class WordEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.cache: dict[str, bytes] = {}
+        alone = ((m, self.tok.encode(m, add_special_tokens=False).ids) for m in self.MARKS)
+        self.mark = next(((m, i[0]) for m, i in alone if len(i) == 1), None)
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-
-    def _encode_new(self, new: list[str], cache: dict[str, bytes]) -> None:
-        """The pre-tokenizer folds case and parts letters from marks, so a
-        word with marks behind it is its folded letters, then its marks."""
-        forms = [(w, m[1].lower(), m[2]) for w in new if (m := self.MARKED.fullmatch(w))]
-        made = {w for w, *_ in forms}
-        plain = {w for w in new if w not in made}
-        plain.update(x for _, a, b in forms for x in (a, b) if x)
-        todo = [w for w in plain if w not in cache]
-        for at in range(0, len(todo), 50_000):
-            part = todo[at:at + 50_000]
-            cache.update(zip(part, self.whole(part), strict=True))
-        for w, a, b in forms:
-            cache[w] = cache[a] + cache[b] if b else cache[a]
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, encoded as texts of ``RUN`` words parted by a mark.  A
+        text whose ids hold the mark's id just once between two words is cut
+        there; others (a word holds it itself) are encoded word by word."""
+        if self.mark is None:
+            return self.whole(words)
+        mark, mark_id = self.mark
+        runs = [words[at:at + self.RUN] for at in range(0, len(words), self.RUN)]
+        out: list[bytes] = []
+        for run, ids in zip(runs, self.whole([f" {mark} ".join(r) for r in runs]), strict=True):
+            at = np.flatnonzero(np.frombuffer(ids, "<u4") == mark_id)
+            if len(at) != len(run) - 1:
+                out += self.whole(run)
+                continue
+            at = (4 * at).tolist()
+            out += [ids[i:j] for i, j in zip([0, *(i + 4 for i in at)], [*at, len(ids)], strict=True)]
+        return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of many texts; their new words are encoded in one batch."""
@@ -85,7 +92,9 @@ class WordEncoder:
             new = list(words)
         if len(new) > CACHE_WORDS:      # more words than the cache holds
             cache = {}
-        self._encode_new(new, cache)
+        for at in range(0, len(new), 50_000):
+            part = new[at:at + 50_000]
+            cache.update(zip(part, self.words(part), strict=True))
         for i, w in split.items():
             out[i] = b"".join(map(cache.__getitem__, w))
         return out
