@@ -4,6 +4,7 @@ distributed connected components."""
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_root(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[id(out)] = (weakref.ref(out, lambda _, k=id(out): _folders.pop(k, None)), path)
+    return out
+
+
+_folders: dict[int, tuple] = {}      # folder of each staged table that is still referenced
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of staged tables whose readers are all written
+    themselves; other tables are left alone.  What was made from them is
+    durable, so a lost executor never needs them again."""
+    for t in tables:
+        known = _folders.pop(id(t), None)
+        if known and known[0]() is t:
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(known[1])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -163,6 +181,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     e = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
               .filter("a <> b").distinct(), f"{name}-e0")
     label = None
+    hooks = []
     k = 0
     while not e.isEmpty():
         k += 1
@@ -170,6 +189,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         hook = (both.groupBy(F.col("a").alias("v")).agg(F.min(pr(F.col("b"))).alias("m"))
                 .select("v", F.least(F.col("m"), pr(F.col("v")))["v"].alias("to")))
         hook = stage(hook, f"{name}-h{k}")
+        hooks.append(hook)
         if label is None:
             label = hook.select(F.col("v").alias("id"), F.col("to").alias("component"))
         else:
@@ -178,11 +198,14 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
                      .select("id", F.coalesce("to", "component").alias("component")))
         ha = hook.select(F.col("v").alias("a"), F.col("to").alias("ta"))
         hb = hook.select(F.col("v").alias("b"), F.col("to").alias("tb"))
+        before = e
         e = stage(e.join(ha, "a").join(hb, "b")
                   .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
                   .filter("a <> b").distinct(), f"{name}-e{k}")
+        discard(before)
     if label is None:
         return spark.createDataFrame([], "id long, component long")
     label = stage(label, f"{name}-l")
+    discard(e, *hooks)
     least = label.groupBy("component").agg(F.min("id").alias("least"))
     return label.join(least, "component").select("id", F.col("least").alias("component"))

@@ -45,24 +45,26 @@ HOT = 2048
 BLOCK_TOKENS = 1_000_000
 PART_WORDS = 1_500_000
 PART_PAIRS = 1_500_000
+SLICE = 1 << 16          # bigrams whose probabilities are computed at once
 _U = np.uint64
 END = _U(0x5EED0E0F5EED0E0F)
 
 
 # ---------------------------------------------------------------- packing
 def pack24(x: np.ndarray) -> bytes:
-    """Numbers as little-endian byte planes (3 if they fit, else 4): planes
+    """Numbers as little-endian byte planes (3 if they fit, else 4 or 8): planes
     compress where whole numbers do not."""
-    width = 3 if not len(x) or x.max() < 1 << 24 else 4
-    return bytes([width]) + np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T).tobytes()
+    top = int(x.max()) if len(x) else 0
+    width = 3 if top < 1 << 24 else 4 if top < 1 << 32 else 8
+    return bytes([width]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def unpack24(raw) -> np.ndarray:
     b = np.frombuffer(raw, np.uint8)
     width = int(b[0])
-    out = np.zeros(((len(b) - 1) // width, 4), np.uint8)
+    out = np.zeros(((len(b) - 1) // width, 8), np.uint8)
     out[:, :width] = b[1:].reshape(width, -1).T
-    return out.view("<u4").ravel().astype(np.int64)
+    return out.view("<i8").ravel()
 
 
 def pack48(x: np.ndarray) -> bytes:
@@ -159,9 +161,10 @@ class Block:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct (history, word), each token's pair, training counts."""
-        key, at = np.unique(self.history() * np.int64(len(self.words)) + self.tokens, return_inverse=True)
-        count = np.bincount(at, self.train(), len(key)).astype(np.int64)
-        return key // len(self.words), key % len(self.words), at, count
+        n = np.int64(len(self.words))
+        key, at = np.unique(self.history() * n + self.tokens, return_inverse=True)
+        count = np.bincount(at, self.train(), len(key)).astype(np.int32)
+        return (key // n).astype(np.int32), (key % n).astype(np.int32), at.astype(np.int32), count
 
 
 # ---------------------------------------------------------------- unigrams
@@ -291,7 +294,7 @@ def bigrams(blocks: DataFrame, parts: int, hot: np.ndarray, uni: Unigram) -> Dat
                 hh.append(np.repeat(unpack48(raw(a)), ih))
                 ww.append(words[iw])
                 pw.append(counts[iw])
-                cc.append(unpack24(raw(e)))
+                cc.append(unpack24(raw(e)).astype(np.int32))
             cut = np.cumsum([0, *map(len, hh)])
             h, w, c, cw = (np.concatenate(v) for v in (hh, ww, cc, pw))
             del hh, ww, cc, pw
@@ -300,9 +303,12 @@ def bigrams(blocks: DataFrame, parts: int, hot: np.ndarray, uni: Unigram) -> Dat
             new_h = np.append(True, hs[1:] != hs[:-1])
             new = new_h | np.append(True, ws[1:] != ws[:-1])
             first = np.flatnonzero(new)
-            total = np.add.reduceat(c[order], first)                    # of each distinct bigram
+            total = np.add.reduceat(c[order], first, dtype=np.int64)    # of each distinct bigram
             count = np.empty(len(h), np.int64)
             count[order] = np.repeat(total, np.diff(np.append(first, len(h))))
+            cw = cw[order][first]
+            uh = hs[new_h]
+            del h, w, c, ws, hs, order, new
             # per history
             own = np.cumsum(new_h)[first] - 1
             n_h = int(own[-1]) + 1
@@ -310,8 +316,7 @@ def bigrams(blocks: DataFrame, parts: int, hot: np.ndarray, uni: Unigram) -> Dat
             classes = np.zeros((n_h, K), np.int64)
             for r in range(1, K + 1):
                 classes[:, r - 1] = np.bincount(own[total == r], minlength=n_h)
-            mass = np.bincount(own[seen], uni.p(cw[order][first][seen]), n_h)
-            uh = hs[new_h]
+            mass = np.bincount(own[seen], uni.p(cw[seen]), n_h)
             hot_h = np.isin(uh, hot48)
             yield _rows(BIGRAMS, [{s: int((total == r).sum()) for r, s in enumerate(_STATS, 1)}])
             for k in np.flatnonzero(hot_h):
@@ -358,8 +363,8 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
     hot_rows = uni_rows.filter("word is not null").select("word", "count").collect()        # at most HOT rows
     hot = np.array(sorted(r["word"] for r in hot_rows), np.int64).view(_U)
 
-    # few blocks in a partition, so that an Arrow batch holds few
-    spread = max(common.slots(spark), min(int(sums["b"]) // 3, 20_000))
+    # about one block in a partition, so that an Arrow batch holds few
+    spread = max(common.slots(spark), min(int(sums["b"]), 100_000))
     counts = (uni_rows.filter("block is not null").repartition(spread, "block").groupBy("block")
               .agg(F.array_sort(F.collect_list(F.struct("part", "counts"))).alias("u")))
 
@@ -399,7 +404,7 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
                 c = unpack24(raw(b.column("counts")[i]))
                 ph, pw, at, _ = x.pairs()
                 count = np.zeros(len(ph), np.int64)
-                classes = np.zeros((len(x.words), K), np.int64)       # by history
+                classes = np.zeros((len(x.words), K), np.int32)       # by history
                 mass = np.zeros(len(x.words))
                 known = np.flatnonzero(c[ph] > 0)
                 h = x.words[ph[known]]
@@ -417,7 +422,10 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
                     k = np.minimum(np.searchsorted(hot_keys, short), len(hot_keys) - 1)
                     mine = np.flatnonzero(hot_keys[k] == short)
                     classes[mine], mass[mine] = hot_classes[k[mine]], hot_mass[k[mine]]
-                lp = log_probs(count, c[pw], c[ph], classes[ph], mass[ph], d2, uni)
+                lp = np.empty(len(ph))
+                for lo in range(0, len(ph), SLICE):
+                    hs, ws = ph[lo:lo + SLICE], pw[lo:lo + SLICE]
+                    lp[lo:lo + SLICE] = log_probs(count[lo:lo + SLICE], c[ws], c[hs], classes[hs], mass[hs], d2, uni)
                 head = np.cumsum(x.lens) - x.lens
                 cw = c[x.tokens]
                 base = np.log10((cw + 1) / (total + 1 * (v + 1)))

@@ -8,7 +8,12 @@ of a node are candidates of each other:
 * of larger nodes every row is compared with a pivot; nodes whose rows are then
   one component are done; of the others, those of at most ``BLOCK`` rows are
   compared exhaustively inside a task, which returns only links that join
-  components, and the rest branch into child nodes by minwise tokens drawn
+  components;
+* in a node of more rows in which all but at most ``BLOCK`` are one component,
+  these others are a smaller node of their own, and each of them is compared
+  with the whole component, once for all nodes and trees it meets it in, both
+  dealt in blocks;
+* the rest branch into child nodes by minwise tokens drawn
   anew from the full sets for each level, and so on until no node is left.
   A pair of similarity 0.75 stays together in more than one child on average,
   so the chance that a start loses it does not grow with the depth.
@@ -20,6 +25,7 @@ group of unbounded size meets in one task."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -269,14 +275,23 @@ def _alike_rows(x: np.ndarray, i: int, least: float) -> np.ndarray:
     return np.flatnonzero((x[i + 1:] == x[i]).mean(1) >= least) + i + 1
 
 
+def _others_first(t: pa.Table) -> tuple[pa.Table, int]:
+    """Rows outside the largest component first, and how many they are: any
+    two rows of different components have one of them."""
+    _, at, size = np.unique(t.column("c").to_numpy(), return_inverse=True, return_counts=True)
+    own = at == size.argmax()
+    return t.take(pa.array(np.argsort(own, kind="stable"))), int(len(own) - own.sum())
+
+
 def candidates_in_blocks(rows: DataFrame, least: float) -> DataFrame:
     """(key, id, c) of the rows of a node that have a similar signature in
     another component of their node.  rows: key, id, c, brief."""
     def run(t: pa.Table) -> pa.Table:
+        t, others = _others_first(t)
         x = _matrix(t.column("brief").combine_chunks(), np.uint8)
         c = t.column("c").to_numpy()
         hit = np.zeros(len(x), bool)
-        for i in range(len(x)):
+        for i in range(others):
             j = _alike_rows(x, i, least)
             j = j[c[j] != c[i]]
             hit[j] = True
@@ -290,12 +305,13 @@ def links_in_blocks(rows: DataFrame, sets: Sets, percent: int, least: float) ->
     """Confirmed links between components within nodes, at most one fewer than
     the rows of a node.  rows: key, id, c, brief, text."""
     def run(t: pa.Table) -> pa.Table:
+        t, others = _others_first(t)
         x = _matrix(t.column("brief").combine_chunks(), np.uint8)
         ident, c = t.column("id").to_numpy(), t.column("c").to_numpy().copy()
         full = [u for b in common.chunks(t.select(["text"]).to_batches(), "text", max_bytes=CHUNK)
                 for u in _cut(*sets(b.column("text")))]
         out = []
-        for i in range(len(x)):
+        for i in range(others):
             for j in _alike_rows(x, i, least):
                 if c[i] != c[j] and _similar(full[i], full[j], percent):
                     out.append((ident[i], ident[j]))
@@ -306,6 +322,23 @@ def links_in_blocks(rows: DataFrame, sets: Sets, percent: int, least: float) ->
     return rows.groupBy("key").applyInArrow(run, "a long, b long")
 
 
+def against_bodies(outside: DataFrame, body: DataFrame, label: DataFrame) -> DataFrame:
+    """(key, id, c): blocks in which each row of ``outside`` (top, id) meets each
+    row of ``body`` (top, id) of the component that ``top`` belongs to by now,
+    unless it has joined it."""
+    o = labelled(labelled(outside, label, "top", "g"), label, "id", "c").filter("g <> c").select("g", "id", "c").distinct()
+    o = stage(o, "outside")
+    b = (labelled(body, label, "top", "g").join(o.select("g").distinct(), "g", "leftsemi")
+         .select("g", "id", F.col("g").alias("c")).distinct())
+    cut = lambda df, n: df.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
+    size = cut(b, "nb").join(cut(o, "no"), "g")
+    at = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    deal = lambda df, i, j: (df.join(size, "g").withColumn("i", F.explode(i)).withColumn("j", F.explode(j))
+                             .select(F.xxhash64("g", "i", "j").alias("key"), "id", "c"))
+    return deal(b, at("nb"), every("no")).unionAll(deal(o, every("nb"), at("no")))
+
+
 def labelled(rows: DataFrame, label: DataFrame | None, col: str, out: str) -> DataFrame:
     """Adds the component of ``col`` (itself where it has no link yet)."""
     if label is None:
@@ -319,12 +352,14 @@ def merge(label: DataFrame | None, edges: DataFrame, name: str) -> DataFrame | N
     if edges.isEmpty():
         return label
     if label is None:
-        return common.components(edges, name)
+        return stage(common.components(edges, name), f"{name}-m")
     e = labelled(labelled(edges, label, "a", "ca"), label, "b", "cb")
     comp = common.components(e.select(F.col("ca").alias("a"), F.col("cb").alias("b")), name)
     ids = label.unionAll(comp.select("id", F.col("id").alias("component")).join(label.select("id"), "id", "leftanti"))
-    return stage(labelled(ids.withColumnRenamed("component", "before"), comp.select("id", "component"), "before", "component")
-                 .select("id", "component"), f"{name}-m")
+    out = stage(labelled(ids.withColumnRenamed("component", "before"), comp.select("id", "component"), "before", "component")
+                .select("id", "component"), f"{name}-m")
+    common.discard(label, edges)
+    return out
 
 
 def links(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Sets,
@@ -338,6 +373,8 @@ def links(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Set
     label: DataFrame | None = None
     small: list[DataFrame] = []
     mid: list[DataFrame] = []
+    outside: list[DataFrame] = []
+    body: list[DataFrame] = []
     nodes = meet(sigs).distinct()
     level = 0
     while True:
@@ -350,6 +387,7 @@ def links(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Set
         size = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"),
                                         F.min_by("id", F.xxhash64("key", "id")).alias("pivot"))
         sized = stage(nodes.join(size.filter("n > 1"), "key"), f"sized{level}")
+        common.discard(nodes)
         small.append(sized.filter(F.col("n") <= LIMIT).select("key", "id"))
         large = sized.filter(F.col("n") > LIMIT)
         if large.isEmpty():
@@ -361,6 +399,7 @@ def links(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Set
         alike = stage(_estimate(star, sigs, least), f"alike{level}")
         if not alike.isEmpty():
             sure = stage(confirm(alike, texts, sets, percent), f"sure{level}")
+            common.discard(alike)
             label = merge(label, sure, f"cc{level}")
         # nodes whose rows are one component are done
         mid.append(large.filter(F.col("n") <= BLOCK).select("key", "id"))
@@ -369,8 +408,18 @@ def links(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Set
             break
         rest = labelled(large, label, "id", "c")
         if label is not None:
-            open_ = rest.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key")
-            rest = rest.join(open_, "key", "leftsemi")
+            share = (rest.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
+                     .groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.max("k").alias("k"), F.sum("k").alias("n")))
+            rest = rest.join(share.filter("k < n").select("key", "top", (F.col("n") - F.col("k")).alias("m")), "key")
+            rest = stage(rest.select("key", "id", "c", "top", "m"), f"open{level}")
+            few = rest.filter(F.col("m") <= BLOCK)
+            outside.append(few.filter("c <> top").select("top", "id").distinct())
+            body.append(few.filter("c = top").select("top", "id").distinct())
+            small.append(few.filter((F.col("m") <= LIMIT) & F.expr("m > 1 and c <> top")).select("key", "id"))
+            mid.append(few.filter((F.col("m") > LIMIT) & F.expr("c <> top")).select("key", "id"))
+            rest = rest.filter(F.col("m") > BLOCK)
+            if rest.isEmpty():
+                break
         level += 1
         rest = stage(rest.select("key", "id"), f"rest{level}")
         fresh = stage(fresh_tokens(texts.join(rest.select("id").distinct(), "id", "leftsemi"), sets, level), f"fresh{level}")
@@ -378,25 +427,30 @@ def links(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Set
         byte = lambda i: F.expr(f"substring(fresh, cast(pmod(xxhash64(key, j, {i}), {FRESH}) as int) + 1, 1)")
         nodes = (rest.join(fresh, "id").select("key", "id", "fresh", child)
                  .select(F.xxhash64("key", "j", *map(byte, range(STEP))).alias("key"), "id").distinct())
-    rows = small[0]
-    for s in small[1:]:
-        rows = rows.unionAll(s)
-    groups = (labelled(rows, label, "id", "c").groupBy("key")
+    groups = (labelled(functools.reduce(DataFrame.unionAll, small), label, "id", "c").groupBy("key")
               .agg(F.sort_array(F.collect_set(F.struct("id", "c"))).alias("m")).select("m").distinct())
     pairs = (groups.select("m", F.explode("m").alias("x"))
              .select("x", F.explode(F.filter("m", lambda y: (y["id"] > F.col("x")["id"]) & (y["c"] != F.col("x")["c"]))).alias("y"))
              .select(F.col("x")["id"].alias("a"), F.col("y")["id"].alias("b")).distinct())
     alike = stage(_estimate(pairs, sigs, least), "pairs")
     label = merge(label, stage(confirm(alike, texts, sets, percent), "links"), "cc")
-    if mid:
-        rows = mid[0]
-        for m in mid[1:]:
-            rows = rows.unionAll(m)
-        brief_of = sigs.select("id", "brief")
-        rows = labelled(rows, label, "id", "c")
-        open_ = rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key")
-        rows = stage(candidates_in_blocks(rows.join(open_, "key", "leftsemi").join(brief_of, "id"), least), "block")
+    common.discard(alike)
+    union = lambda tables: functools.reduce(DataFrame.unionAll, tables)
+    brief_of = sigs.select("id", "brief")
+
+    def inside(rows: DataFrame, name: str) -> None:
+        """Links of all rows (key, id, c) that share a key."""
+        nonlocal label
+        rows = stage(candidates_in_blocks(rows.join(brief_of, "id"), least), name)
         if not rows.isEmpty():
             found = links_in_blocks(rows.join(brief_of, "id").join(texts, "id"), sets, percent, least)
-            label = merge(label, stage(found, "blocklinks"), "ccb")
+            label = merge(label, stage(found, f"{name}links"), f"cc{name}")
+        common.discard(rows)
+
+    if outside and label is not None:
+        inside(against_bodies(union(outside), union(body), label), "body")
+    if mid:
+        rows = labelled(union(mid), label, "id", "c")
+        open_ = rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key")
+        inside(rows.join(open_, "key", "leftsemi"), "block")
     return label if label is not None else spark.createDataFrame([], "id long, component long")
