@@ -11,6 +11,7 @@ import importlib.util
 import os
 import sys
 from collections.abc import Callable
+from functools import reduce
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -89,6 +90,27 @@ def q_bigram_model(spark, sf_dir):
             .select("ctx", "tok", "cnt", _r("lam", 12), _r("p", 12)))
 
 
+def q_merged_model(spark, sf_dir):
+    """The model after documents were added and others taken out again."""
+    m = cat.merged_model(spark, sf_dir)
+    return (m.bigram.join(m.contexts.select("ctx", "lam", "mu", "xhat"), "ctx")
+            .select("ctx", "tok", "cnt", _r("lam", 12), _r("p", 12), _r("mu", 5), "xhat"))
+
+
+def q_count_versions(spark, sf_dir):
+    """Documents, tokens and distinct pairs as of each version of the counts."""
+    ledger = cat.count_ledger(spark, sf_dir)
+    none = F.lit(0).cast("long")
+    parts = []
+    for v in (x["version"] for x in ledger.versions()):
+        parts.append(ledger.counts(v).agg(none.alias("n_docs"), F.sum("cnt").alias("n_tokens"), F.count("tok").alias("n_pairs"))
+                     .withColumn("version", F.lit(v).cast("long")))
+        parts.append(ledger.documents(v).agg(F.count(F.lit(1)).alias("n_docs"), none.alias("n_tokens"), none.alias("n_pairs"))
+                     .withColumn("version", F.lit(v).cast("long")))
+    rows = reduce(DataFrame.unionAll, parts)
+    return rows.groupBy("version").agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_pairs")])
+
+
 def q_context_moments(spark, sf_dir):
     c = cat.model(spark, sf_dir).contexts
     return c.select("ctx", "n_c", "d_c", _r("lam", 12), _r("mu", 5), _r("var", 5), "xhat", _r("p_xhat", 12))
@@ -383,6 +405,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bigram_counts": q_bigram_counts,
         "bigram_model": q_bigram_model,
         "context_moments": q_context_moments,
+        "merged_model": q_merged_model,
+        "count_versions": q_count_versions,
         "token_stats": q_token_stats,
         "loss_score": _family("loss", exact=True),
         "mink": _family("mink_"),
@@ -455,6 +479,18 @@ def _own_oracle_sql() -> dict[str, str]:
         "bigram_counts": sql.chain(upto="model") + "\nSELECT ctx, tok, cnt FROM b0",
         "bigram_model": sql.chain(upto="model") +
             "\nSELECT ctx, tok, cnt, round(lam, 12) AS lam, round(p, 12) AS p FROM big2",
+        "merged_model": sql.chain(upto="model") +
+            "\nSELECT ctx, tok, cnt, round(lam, 12) AS lam, round(p, 12) AS p, round(mu, 5) AS mu, xhat"
+            " FROM big2 JOIN (SELECT ctx, mu, xhat FROM ctxs) USING (ctx)",
+        "count_versions": sql.chain(upto="docs") + """,
+            v AS (SELECT unnest([1, 2, 3, 4]) AS version),
+            m AS (SELECT version, doc_id, toks, T FROM docs, v
+                  WHERE version = 2 OR (version = 1 AND label = 0) OR (version >= 3 AND label = 1)),
+            n AS (SELECT version, count(*) AS n_docs, CAST(sum(T) AS BIGINT) AS n_tokens FROM m GROUP BY version),
+            p AS (SELECT DISTINCT version, toks[i] AS a, toks[i + 1] AS b
+                  FROM (SELECT version, toks, unnest(range(1, T)) AS i FROM m))
+            SELECT CAST(n.version AS BIGINT) AS version, n_docs, n_tokens, count(*) AS n_pairs
+            FROM n JOIN p ON n.version = p.version GROUP BY ALL""",
         "context_moments": sql.chain(upto="model") +
             "\nSELECT ctx, n_c, d_c, round(lam, 12) AS lam, round(mu, 5) AS mu, round(var, 5) AS var, xhat,"
             " round(p_xhat, 12) AS p_xhat FROM ctxs",

@@ -73,15 +73,22 @@ class BigramModel:
 
 def fit_bigram(spark: SparkSession, train_dt: DataFrame, store=None) -> BigramModel:
     """Estimate the model from training documents (doc_tokens rows)."""
-    def keep(name, df):
-        return store.put(name, df) if store is not None else df
-
     # one pass over the corpus: counts of (token, successor), successor NULL
     # after a document's last token; from these distinct pairs one small
     # aggregation gives unigram counts (all pairs) and context counts
     # (pairs with a successor) together
-    pairs = keep("pair_counts", token_pairs(train_dt).groupBy(F.col("x0").alias("ctx"), F.col("x1").alias("tok"))
-                 .agg(F.count(F.lit(1)).alias("cnt")))
+    pairs = (token_pairs(train_dt).groupBy(F.col("x0").alias("ctx"), F.col("x1").alias("tok"))
+             .agg(F.count(F.lit(1)).alias("cnt")))
+    return fit_from_counts(spark, pairs, store)
+
+
+def fit_from_counts(spark: SparkSession, pairs: DataFrame, store=None) -> BigramModel:
+    """Estimate the model from (ctx, tok, cnt), tok null after a document's
+    last token: counted in one pass or merged by a ``CountLedger``."""
+    def keep(name, df):
+        return store.put(name, df) if store is not None else df
+
+    pairs = keep("pair_counts", pairs)
     per_tok = keep("token_counts", pairs.groupBy("ctx").agg(
         F.sum("cnt").alias("cnt"),
         F.sum(F.when(F.col("tok").isNotNull(), F.col("cnt"))).alias("n_c"),

@@ -20,6 +20,7 @@ from ..operators import token_stats as ts_op
 from ..operators import tokens as tk
 from ..session import StageStore, tune
 from ..sources import benchmark_snippets, documents_snippets, table
+from ..sources.count_ledger import CountLedger
 
 _cache: dict[tuple, object] = {}
 
@@ -105,6 +106,32 @@ def model(spark: SparkSession, sf_dir: str) -> ngram.BigramModel:
     return _memo(spark, ("model", sf_dir), build)
 
 
+def count_ledger(spark: SparkSession, sf_dir: str) -> CountLedger:
+    """Versioned counts: 1 documents outside the corpus, 2 all documents,
+    3 the corpus alone (the others taken out again), 4 a snapshot of it."""
+    def build():
+        ledger = CountLedger(spark, store(spark).path(f"{tag(spark, sf_dir)}/ledger"))
+        others = docs(spark, sf_dir).filter(F.col("label") == 0)
+        ledger.add(others)
+        ledger.add(load_corpus(spark, sf_dir))
+        ledger.remove(others)
+        ledger.compact()
+        return ledger
+    return _memo(spark, ("ledger", sf_dir), build)
+
+
+def merged_model(spark: SparkSession, sf_dir: str) -> ngram.BigramModel:
+    """The model from merged counts; no document is counted for it."""
+    def build():
+        st, prefix = store(spark), tag(spark, sf_dir)
+
+        class _Sub:
+            def put(self, name, df):
+                return st.put(f"{prefix}/merged/{name}", df)
+        return ngram.fit_from_counts(spark, count_ledger(spark, sf_dir).counts(), _Sub())
+    return _memo(spark, ("merged", sf_dir), build)
+
+
 def backoff(spark: SparkSession, sf_dir: str, order: int = 3):
     """The back-off model of a higher order over the same corpus."""
     from ..operators.backoff import fit_backoff
