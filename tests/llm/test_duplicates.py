@@ -66,6 +66,38 @@ def test_pairs_stay_together_in_branching_nodes(spark, monkeypatch):
     assert len(found) >= 0.93 * 400
 
 
+def test_outsiders_meet_the_whole_component(spark, monkeypatch):
+    """One node that a component fills but for a few rows: some are near one
+    member alone, two are near each other, the others near nothing."""
+    import numpy as np
+
+    monkeypatch.setattr(setjoin, "BLOCK", 20)
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(1, 2**64, n, dtype=np.uint64)
+
+    def changed(x, n):
+        return np.concatenate([rng.permutation(x)[n:], draw(n)])
+
+    base, other = draw(100), draw(100)
+    sets = [base] + [changed(base, 4) for _ in range(60)]
+    sets += [changed(base, 13) for _ in range(3)]                     # 61 to 63: near the first alone
+    sets += [other, changed(other, 5)] + [draw(100) for _ in range(4)]
+    sets = [np.sort(x) for x in sets]
+    h, n = np.concatenate(sets), np.array([len(x) for x in sets])
+    sig = setjoin.brief(setjoin.minwise(h, np.cumsum(n) - n, 64))
+    d = spark.createDataFrame([(i, bytearray(np.uint64(1).tobytes()), bytearray(sig[i].tobytes()), bytearray(x.tobytes()))
+                               for i, x in enumerate(sets)], "id long, keys binary, brief binary, text binary")
+    common.prepare(spark)
+    met = []
+    kept = setjoin.against_bodies
+    monkeypatch.setattr(setjoin, "against_bodies", lambda *a: met.append(1) or kept(*a))
+    got = setjoin.links(d.select("id", "keys", "brief"), lambda ids: d.select("id", "text").join(ids, "id", "leftsemi"),
+                        packed_sets)
+    found = {r.id: r.component for r in got.collect()}
+    assert met
+    assert found == dict.fromkeys(range(64), 0) | {64: 64, 65: 64}
+
+
 def test_near_duplicates_of_documents(documents, nothing):
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(documents).collect()}
     want = brute.near_duplicates(pairs(documents))
