@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tokens import token_pairs
@@ -70,10 +71,30 @@ class CountLedger:
         return reader.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     # ------------------------------------------------------------ reading
-    def counts(self, as_of: int | None = None) -> DataFrame:
-        """(ctx, tok, cnt): pairs of neighbours; tok is null after a document's last token."""
-        return (self._read("counts", COUNTS, as_of).groupBy("ctx", "tok").agg(F.sum("cnt").alias("cnt"))
-                .filter("cnt <> 0"))
+    def counts(self, as_of: int | list[int] | None = None) -> DataFrame:
+        """(ctx, tok, cnt): pairs of neighbours; tok is null after a document's last token.
+        With a list of versions, (version, ctx, tok, cnt) of all of them in one pass."""
+        if isinstance(as_of, list):
+            return self._counts_of(as_of)
+        pairs = self._read("counts", COUNTS, as_of)
+        if len(self._parts("counts", as_of)) > 1:       # one batch or snapshot has a pair once
+            pairs = pairs.groupBy("ctx", "tok").agg(F.sum("cnt").alias("cnt"))
+        return pairs.filter("cnt <> 0")
+
+    def _counts_of(self, versions: list[int]) -> DataFrame:
+        """Each batch is read and shuffled once, whatever the versions it is in."""
+        parts = {v: self._parts("counts", v) for v in versions}
+        paths = sorted({p for some in parts.values() for p in some})
+        if not paths:
+            return self.spark.createDataFrame([], f"version long, {COUNTS}")
+        read = [self.spark.read.schema(COUNTS).parquet(p).withColumn("part", F.lit(k)) for k, p in enumerate(paths)]
+        sums = reduce(DataFrame.unionAll, read).groupBy("ctx", "tok").agg(
+            *[F.sum(F.when(F.col("part") == k, F.col("cnt"))).alias(f"p{k}") for k in range(len(paths))])
+        zero = F.lit(0).cast("long")
+        of = [F.struct(F.lit(v).cast("long").alias("version"),
+                       reduce(Column.__add__, [F.coalesce(f"p{paths.index(p)}", zero) for p in some], zero).alias("cnt"))
+              for v, some in parts.items()]
+        return sums.select("ctx", "tok", F.inline(F.array(*of))).filter("cnt <> 0").select("version", "ctx", "tok", "cnt")
 
     def documents(self, as_of: int | None = None) -> DataFrame:
         """(doc_id, digest) of the documents that are counted."""
@@ -81,11 +102,9 @@ class CountLedger:
                 .filter("s > 0").select("doc_id", "digest"))
 
     # ------------------------------------------------------------ writing
-    def _write(self, counts: DataFrame, docs: DataFrame, kind: str, version: int) -> int:
-        folder = f"{version:09d}-{uuid.uuid4().hex}"
-        docs.write.parquet(f"{self.root}/data/{folder}/docs")
-        counts.write.parquet(f"{self.root}/data/{folder}/counts")
-        return self._commit(kind, folder, version)
+    @staticmethod
+    def _folder(version: int) -> tuple[str, int]:
+        return f"{version:09d}-{uuid.uuid4().hex}", version
 
     def _batch(self, docs: DataFrame, sign: int) -> int:
         rows = (docs.filter("doc_id is not null")
@@ -96,14 +115,19 @@ class CountLedger:
             raise ValueError("a batch names a doc_id more than once")
         last = self.versions()
         there = self.documents()
-        if sign > 0:
-            rows = rows.join(there.select("doc_id"), "doc_id", "leftanti")
-        else:
-            rows = rows.join(there, ["doc_id", "digest"], "leftsemi")
+        ids = rows.select("doc_id", "digest")
+        touched = ids.join(there.select("doc_id"), "doc_id", "leftanti") if sign > 0 else \
+            ids.join(there, ["doc_id", "digest"], "leftsemi")
+        # ids are joined without their tokens; the tokens are only where a part of the batch counts
+        folder, version = self._folder(last[-1]["version"] + 1 if last else 1)
+        touched.withColumn("sign", F.lit(sign).cast("int")).write.parquet(f"{self.root}/data/{folder}/docs")
+        touched = self.spark.read.schema(DOCS).parquet(f"{self.root}/data/{folder}/docs")
+        if touched.count() != rows.count():
+            rows = rows.join(touched.select("doc_id"), "doc_id", "leftsemi")
         counts = (token_pairs(rows).groupBy(F.col("x0").alias("ctx"), F.col("x1").alias("tok"))
                   .agg((F.lit(sign) * F.count(F.lit(1))).cast("long").alias("cnt")))
-        touched = rows.select("doc_id", "digest", F.lit(sign).cast("int").alias("sign"))
-        return self._write(counts, touched, "delta", last[-1]["version"] + 1 if last else 1)
+        counts.write.parquet(f"{self.root}/data/{folder}/counts")
+        return self._commit("delta", folder, version)
 
     def add(self, docs: DataFrame) -> int:
         """Count the documents (doc_id, toks) that are not there yet; the new version."""
@@ -119,5 +143,7 @@ class CountLedger:
         if not last:
             raise ValueError("nothing to compact")
         top = last[-1]["version"]
-        docs = self.documents(top).withColumn("sign", F.lit(1))
-        return self._write(self.counts(top), docs, "snapshot", top + 1)
+        folder, version = self._folder(top + 1)
+        self.documents(top).withColumn("sign", F.lit(1)).write.parquet(f"{self.root}/data/{folder}/docs")
+        self.counts(top).write.parquet(f"{self.root}/data/{folder}/counts")
+        return self._commit("snapshot", folder, version)

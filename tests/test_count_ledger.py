@@ -77,3 +77,18 @@ def test_model_of_merged_counts_is_the_refitted_one(spark, ledger):
     key = lambda df: sorted(tuple(r) for r in df.collect())
     assert key(merged.contexts) == key(again.contexts)
     assert key(merged.bigram) == key(again.bigram)
+
+
+def test_all_versions_in_one_pass(spark, ledger):
+    ledger.add(frame(spark, A))
+    ledger.add(frame(spark, B))
+    ledger.remove(frame(spark, A[:1]))
+    ledger.compact()
+    ledger.remove(frame(spark, [A[0]]))                  # nothing to take out
+    got = {}
+    for r in ledger.counts([1, 2, 3, 4, 5]).collect():
+        got.setdefault(r["version"], {})[r["ctx"], r["tok"]] = r["cnt"]
+    assert got == {v: rows(ledger.counts(v)) for v in (1, 2, 3, 4, 5)} and got[4] == got[5] == recount(A[1:4] + B[1:])
+    plan = ledger.counts([1, 2, 3, 4])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Exchange" not in ledger.counts(4)._jdf.queryExecution().executedPlan().toString()     # a snapshot alone
