@@ -2,8 +2,10 @@
 and without tables that the driver could not hold."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from memscan.operators import lookup, ngram
+import __spark_entry__ as entry
+from memscan.operators import backoff, lookup, ngram
 from memscan.operators import token_stats as ts_op
 from memscan.operators.scores import position_values
 from memscan.operators.tokens import doc_tokens
@@ -55,3 +57,31 @@ def test_default_bounds_spare_the_driver(spark, docs):
     assert SETTINGS["spark.sql.autoBroadcastJoinThreshold"] == SETTINGS["spark.sql.adaptive.autoBroadcastJoinThreshold"] == "10m"
     plan = ts_op.token_stats(docs, model, ["label", "clen"])._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "strategy=broadcast" not in plan
+
+
+def joins(df):
+    """Names of the joins as Spark means to run them, with thresholds that let it broadcast all."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [j for j in ("BroadcastHashJoin", "BroadcastNestedLoopJoin", "SortMergeJoin", "ShuffledHashJoin") if j in plan]
+
+
+def test_no_table_that_grows_goes_through_the_driver(spark, docs, tmp_path):
+    """Small files of a model, that the size of the files would broadcast."""
+    class Store:
+        def put(self, name, df):
+            seen.append(joins(df))
+            df.write.parquet(f"{tmp_path}/{name}")
+            return spark.read.parquet(f"{tmp_path}/{name}")
+    seen = []
+    model = backoff.fit_backoff(spark, docs.filter("label = 0"), 3, Store())
+    seen += [joins(lookup.answers(lookup.segments(docs, [], 2), model.bigram)), joins(backoff.log_probs(docs, model))]
+    assert {j for s in seen for j in s} == {"SortMergeJoin"}
+
+
+def test_queries_join_documents_by_shuffle(spark, docs, tmp_path, monkeypatch):
+    scores = docs.select("doc_id", "label", F.lit("zlib").alias("method"), F.lit(0.5).alias("score"))
+    docs.select("doc_id", F.lit("a b").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(entry.cat, "scores", lambda *a: scores)
+    monkeypatch.setattr(entry.cat, "docs", lambda *a: docs)
+    assert joins(entry.queries()["all_scores"](spark, str(tmp_path))) == ["ShuffledHashJoin"]
+    assert joins(entry.queries()["zlib_score"](spark, str(tmp_path))) == ["SortMergeJoin"]
