@@ -384,6 +384,8 @@ def katz_scores(docs: DataFrame, held: Column) -> DataFrame:
     cols = ["block", "docs", "held", "n_tokens", "words", "tokens"]
     counted = blocks.repartition(spread, "block").join(counts, "block").select(*cols, "u").mapInArrow(
         align, "block long, docs binary, held binary, n_tokens binary, words binary, tokens binary, counts binary")
+    counted = stage(counted, "counted")     # read twice; the blocks and their counts are not needed beside it
+    common.discard(blocks, uni_rows)
     tokens = int(sums["t"] or 0)
     big_parts = tokens // PART_PAIRS + 1
     bi_rows = stage(bigrams(counted, big_parts, hot, uni), "bigrams")

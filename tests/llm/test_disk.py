@@ -1,0 +1,38 @@
+"""What stages leave on disk."""
+
+import time
+
+from pyspark.sql import functions as F
+
+from memscan.llm import common, katz
+
+from .conftest import frame
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def test_a_stage_leaves_no_shuffle_files(spark, monkeypatch):
+    monkeypatch.setattr(common, "release", lambda spark: None)      # garbage collection may be a stage too late
+    rows = spark.range(1000).withColumn("k", F.col("id") % 7)
+    before = _shuffle_files(spark)
+    out = common.stage(rows.groupBy("k").count().repartition(3, "k"), "counts")
+    for _ in range(50):
+        if not _shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not _shuffle_files(spark) - before
+    assert {(r["k"], r["count"]) for r in out.collect()} == {(k, 143 if k < 6 else 142) for k in range(7)}
+    assert spark.conf.get(common.CLEANUP) == "false"                # the user's setting is as before
+
+
+def test_katz_keeps_blocks_once(spark, monkeypatch):
+    gone = []
+    discard = common.discard
+    monkeypatch.setattr(common, "discard", lambda *tables: (gone.extend(t.columns for t in tables), discard(*tables)))
+    d = frame(spark, [(i, f"the cat {i % 5} sat on the mat {i}") for i in range(60)])
+    out = katz.katz_scores(d, F.col("doc_id") % 7 == 2)
+    assert ["block", "docs", "held", "n_tokens", "words", "tokens", "train", "size"] in gone
+    assert out.count() == 60 and len({r["doc_id"] for r in out.collect()}) == 60
