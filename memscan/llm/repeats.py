@@ -207,7 +207,7 @@ def repeated_blocks(rows: DataFrame, parts: int, gram: int) -> DataFrame:
                 yield _found(kind, *map(np.ascontiguousarray, cols(e[at[i:i + 200_000]])))
 
     return (rows.select("doc", "base", "text").mapInArrow(send, "part int, kind int, entries binary")
-            .repartition(parts, "part").mapInArrow(gather, FOUND))
+            .repartitionById(parts, "part").mapInArrow(gather, FOUND))      # by hash, parts would share a task
 
 
 # ---------------------------------------------------------------- suffix array

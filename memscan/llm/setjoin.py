@@ -43,7 +43,7 @@ STEP = 3                 # minwise tokens a large node branches by at once
 FIRST, LATER = 8, 4      # children of a node of the first level and of deeper ones; more than (4/3) ** STEP
 FRESH = 64               # minwise tokens a level draws from the full sets
 CHUNK = 2 << 20          # bytes of text whose sets are made at once
-ENTRIES = 4_000_000      # (key, id) entries of a part
+ENTRIES = 2_000_000      # (key, id) entries of a part
 MARK = np.iinfo(np.int64).min
 _U = np.uint64
 
@@ -202,7 +202,7 @@ def meet(sigs: DataFrame) -> DataFrame:
             yield rows(key[keep[at:at + 200_000]], ident[keep[at:at + 200_000]])
 
     return (sigs.select("id", "keys").mapInArrow(send, "part int, hot int, keys binary, ids binary")
-            .repartition(parts, "part").mapInArrow(gather, "key long, id long"))
+            .repartitionById(parts, "part").mapInArrow(gather, "key long, id long"))      # by hash, parts would share a task
 
 
 def _distinct(key: np.ndarray, ident: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,10 +1,10 @@
-"""What stages leave on disk."""
+"""What stages leave on disk and what meets in one task."""
 
 import time
 
 from pyspark.sql import functions as F
 
-from memscan.llm import common, katz
+from memscan.llm import common, katz, linededup, repeats, setjoin
 
 from .conftest import frame
 
@@ -36,3 +36,27 @@ def test_katz_keeps_blocks_once(spark, monkeypatch):
     out = katz.katz_scores(d, F.col("doc_id") % 7 == 2)
     assert ["block", "docs", "held", "n_tokens", "words", "tokens", "train", "size"] in gone
     assert out.count() == 60 and len({r["doc_id"] for r in out.collect()}) == 60
+
+
+def _parts_of_tasks(found, parts):
+    """The parts that each task's rows (key) belong to."""
+    rows = found.select("key", F.spark_partition_id().alias("task")).collect()
+    tasks = {}
+    for r in rows:
+        tasks.setdefault(r["task"], set()).add(r["key"] % 2**64 % parts)
+    return list(tasks.values())
+
+
+def test_each_part_has_its_own_task(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "ENTRIES", 1000)
+    sigs = linededup.signatures(spark.range(1200).select("id", F.expr("md5(string(id div 2))").alias("line")))
+    parts = 1200 * linededup.BANDS // 1000 + 1
+    tasks = _parts_of_tasks(setjoin.meet(sigs), parts)
+    assert len(tasks) == parts and all(len(t) == 1 for t in tasks)
+
+
+def test_each_part_of_repeats_has_its_own_task(spark):
+    rows = spark.range(400).select(F.col("id").alias("doc"), F.lit(0).cast("long").alias("base"),
+                                   F.expr("concat_ws('', transform(sequence(1, 9), i -> md5(concat(id % 200, '-', i))))").alias("text"))
+    tasks = _parts_of_tasks(repeats.repeated_blocks(rows, 7, 32).filter("kind = 'whole'"), 7)
+    assert len(tasks) > 1 and all(len(t) == 1 for t in tasks)
