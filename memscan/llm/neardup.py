@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from memscan.llm import common, setjoin
 from memscan.llm.common import mix, stage
+from memscan.session import by_shuffle
 
 SHINGLE = 5
 TREES = 12
@@ -96,7 +97,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sig = stage(signatures(docs), "sig")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        d = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "leftsemi")
+        d = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(by_shuffle(ids), "id", "leftsemi")
         return d.groupBy("id").agg(F.min("text").alias("text")) if repeated else d
 
     def sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memscan.llm import common
-from memscan.llm.common import mix, stage
+from memscan.llm.common import mix, stage, stage_dealt
 
 LIMIT = 16               # rows of a node that are compared pair by pair
 BLOCK = 2048             # rows of a node that one task compares exhaustively
@@ -382,7 +382,7 @@ def links(sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sets: Set
         if level == 0:      # from here on only ids that meet another matter
             met = stage(nodes.select("id").distinct(), "met")
             sigs = stage(sigs.select("id", "brief").join(met, "id", "leftsemi").dropDuplicates(["id"]), "metsigs")
-            texts = stage(texts_of(met), "texts")
+            texts = stage_dealt(texts_of(met), "texts", "id")     # joined by id again and again
         # a pivot by hashed choice, so that the nodes of a group try different ones
         size = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n"),
                                         F.min_by("id", F.xxhash64("key", "id")).alias("pivot"))

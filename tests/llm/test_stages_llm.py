@@ -4,7 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from memscan.llm import common, katz, linededup, repeats, setjoin
+from memscan.llm import common, katz, linededup, neardup, repeats, setjoin
 
 from .conftest import frame
 
@@ -60,3 +60,44 @@ def test_each_part_of_repeats_has_its_own_task(spark):
                                    F.expr("concat_ws('', transform(sequence(1, 9), i -> md5(concat(id % 200, '-', i))))").alias("text"))
     tasks = _parts_of_tasks(repeats.repeated_blocks(rows, 7, 32).filter("kind = 'whole'"), 7)
     assert len(tasks) > 1 and all(len(t) == 1 for t in tasks)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_dealt_stage_is_not_shuffled_again(spark):
+    rows = [(1, "a"), (2, "b"), (2, "b"), (2, None), (3, "c"), (None, "d")]
+    d = spark.createDataFrame(rows, "id long, text string")
+    dealt, plain = common.stage_dealt(d, "dealt", "id"), common.stage(d, "plain")
+    asked = common.stage(spark.createDataFrame([(2,), (3,), (9,)], "id long"), "asked").hint("merge")
+    joined = asked.join(dealt, "id")
+    assert _plan(joined).count("Exchange hashpartitioning") == 1
+    assert _plan(asked.join(plain, "id")).count("Exchange hashpartitioning") == 2
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, joined.collect()), key=key) == [(2, None), (2, "b"), (2, "b"), (3, "c")]
+    assert sorted(map(tuple, dealt.collect()), key=key) == sorted(rows, key=key)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("dealt_")]
+    _, path = common._folders[id(dealt)]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert fs.exists(hadoop)
+    common.discard(dealt)
+    assert not fs.exists(hadoop)
+
+
+def test_texts_that_meet_are_read_by_shuffle(spark, monkeypatch):
+    plans, links = [], setjoin.links
+
+    def watched(sigs, texts_of, *rest):
+        def texts(ids):
+            plans.append(_plan(out := texts_of(ids)))
+            return out
+        return links(sigs, texts, *rest)
+
+    monkeypatch.setattr(setjoin, "links", watched)
+    words = " ".join(f"w{i}" for i in range(40))
+    d = frame(spark, [(1, words), (2, words + " tail"), (3, "another text"), (5, None)])
+    out = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(d).collect()}
+    assert out == {1: 1, 2: 1, 3: 3, 5: 5}
+    assert plans and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
