@@ -5,6 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from memscan.plans import catalog as cat
 from memscan.streaming import start_stream_score
 
@@ -52,3 +53,16 @@ def test_restart_without_explicit_checkpoint(spark):
     start_stream_score(spark, files, model, sink).awaitTermination()
     got = spark.read.parquet(sink)
     assert got.count() == 2 * n and got.select("batch_id").distinct().count() == 2
+
+
+def test_query_streams_a_table_that_is_a_folder_of_files(spark, tmp_path):
+    """A large table is a folder of part files: the stream finds all of them."""
+    rows = [(i, t, i) for i, t in enumerate(["the cat saw the dog", "a dog saw the cat and ran", "the cat", "one two three four five"] * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/many/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/part")
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "part").glob("part-*.parquet")).rename(tmp_path / "one" / "documents.parquet")
+    key = lambda name: sorted(map(tuple, entry.queries()["stream_score"](spark, f"{tmp_path}/{name}").collect()))
+    got = key("many")
+    assert {r[0] for r in got} == set(range(12)) and got == key("one")
