@@ -45,6 +45,20 @@ def test_equal_to_the_broadcast_plan(spark, small, monkeypatch, clip, twice, lon
     assert os.listdir(store.base.removeprefix("file:")) == ["means"]        # what the result reads
 
 
+@pytest.mark.parametrize("clip", [False, True])
+def test_scaled_statistics_equal_those_of_rows(spark, small, clip):
+    """Zero and negative variances, bounds that bind: the query's own change of the statistics."""
+    docs = doc_tokens(spark.createDataFrame([(100 + i, *r[1:]) for i, r in enumerate(ROWS)], "doc_id long, text string, label int")).persist()
+    model = ngram.fit_bigram(spark, docs.filter("label = 0"))
+    pv = sc.position_values(cat._scaled_rows(ts_op.token_stats(docs, model, ["label", "clen"])), clip)
+    want = sc.raw_scores(pv, docs.select("doc_id", "T", "clen", "label"), ["label"])
+    got = nb.raw_scores_by_rounds(docs, model, ["label"], 120, StageStore(spark), 3, clip, cat.scaled, cat._scaled_rows)
+    close = lambda df: {(r["doc_id"], r["method"]): r["score"] for r in df.collect()}
+    a, b = close(want), close(got)
+    assert a.keys() == b.keys() and len(a) > 1000
+    assert all(x == pytest.approx(b[k], rel=1e-9, nan_ok=True) for k, x in a.items())
+
+
 def test_packed_arrays_come_back():
     arrays = [np.array([3, -1, 2 ** 40], np.int64), np.zeros(0, np.int32), np.array([0.5, np.nan, -np.inf]), np.arange(300, dtype=np.int32)]
     for a, b in zip(arrays, nb.unpack(nb.pack(*arrays), *[a.dtype for a in arrays]), strict=True):
@@ -66,7 +80,7 @@ def test_scores_of_a_large_table_make_no_positions(spark, large):
     """A position shuffled by document was 32 bytes, its lookups 50 more."""
     n = cat.scores(spark, large).filter(F.col("method") == "loss").count()
     assert n == spark.read.parquet(f"{large}/documents.parquet").count()
-    assert cat.scores(spark, large, True).count() == cat.scores(spark, large).count()
+    assert cat.scaled_scores(spark, large, True).count() == cat.scores(spark, large).count()
 
 
 def test_stages_that_nothing_reads_are_deleted(spark, large):
