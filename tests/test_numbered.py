@@ -77,7 +77,7 @@ def large(spark, tmp_path, monkeypatch):
 
 
 def test_scores_of_a_large_table_make_no_positions(spark, large):
-    """A position shuffled by document was 32 bytes, its lookups 50 more."""
+    """Neither a position nor its lookups are shuffled."""
     n = cat.scores(spark, large).filter(F.col("method") == "loss").count()
     assert n == spark.read.parquet(f"{large}/documents.parquet").count()
     assert cat.scaled_scores(spark, large, True).count() == cat.scores(spark, large).count()
